@@ -1,0 +1,11 @@
+"""Every named query with the SQL it must equal."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracles() -> dict:
+    return {}
