@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tracelake.llm.language_id import op8_language_id
+from tracelake.llm.packing import op6_best_fit_packing
 from tracelake.llm.quality_rules import op2_quality_rules
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_best_fit_packing, op8_language_id)}
 
 ORACLES: dict[str, str] = {}
