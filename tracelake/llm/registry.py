@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tracelake.llm.html_extraction import op10_html_extraction
 from tracelake.llm.language_id import op8_language_id
 from tracelake.llm.packing import op6_best_fit_packing
 from tracelake.llm.quality_rules import op2_quality_rules
+from tracelake.llm.toxicity import op4_toxicity
+from tracelake.llm.url_filters import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_best_fit_packing, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op4_toxicity, op6_best_fit_packing, op8_language_id, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {}
