@@ -11,7 +11,10 @@ extra columns are ignored; an empty table packs into nothing.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,9 +28,14 @@ CAPACITY = 2048
 END_ID = 0
 SHARD_DOCS = 16_000
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHED_WORDS = 400_000
+#: Runs whose ids a worker remembers; beyond it the memory starts anew.
+CACHED_RUNS = 1_200_000
 #: Separators of str.split that are ordinary characters for the tokenizer, and the start of special tokens.
+#: The runs that the vocabulary's tokens stay in, and the end mark of a run's last token.
+RUN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RUN_END = "</w>"
+#: Lower-cased by its place in a word in Python, but not in the tokenizer.
+SIGMA = "\u03a3"
 UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
@@ -37,29 +45,65 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; a text is encoded word by word, for no token crosses white space."""
+class RunEncoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    No token crosses white space, nor the runs of letters, digits and signs that the vocabulary is made for. Runs not seen before go to the tokenizer in groups and are
+    told apart by the mark that ends a run's last token.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.runs_of = regex.compile(RUN).findall
+        self.ascii_runs = re.compile(RUN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(RUN_END)]] = True
+        self.runs: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn_runs(self, fresh: list[str]) -> None:
+        groups = [" ".join(fresh[k : k + 200]) for k in range(0, len(fresh), 200)]
+        found = self.tokenizer.encode_batch(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found]) if found else np.zeros(0, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(fresh):
+            self.runs.update(zip(fresh, self._ids(fresh), strict=True))
+            return
+        data, begin = ids.tobytes(), 0
+        for run, end in zip(fresh, (4 * ends).tolist(), strict=True):
+            self.runs[run] = data[begin:end]
+            begin = end
+
+    def _runs(self, text: str) -> list[str] | None:
+        """Runs of a text; None if only the tokenizer can tell them."""
+        if any(u in text for u in UNUSUAL):
+            return None
+        if text.isascii():
+            return self.ascii_runs(text.lower())
+        return self.runs_of(text.lower()) if SIGMA not in text and unicodedata.is_normalized("NFC", text) else None
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(u in t for u in UNUSUAL) else t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        fresh = list({w for words in split if words for w in words if w not in self.known})
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        get = self.known.__getitem__
-        return [self._ids([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        split = [self._runs(t) for t in texts]
+        if len(self.runs) > CACHED_RUNS:
+            self.runs.clear()
+        self._learn_runs(list(set().union(*(runs for runs in split if runs)) - self.runs.keys()))
+        get = self.runs.__getitem__
+        return [self._ids([t])[0] if runs is None else b"".join(map(get, runs)) for t, runs in zip(texts, split, strict=True)]
+
+
+@lru_cache(1)
+def encoder_for(path: str) -> RunEncoder:
+    """One encoder for all tasks of a worker, so that what it has learnt serves them all."""
+    return RunEncoder(path)
 
 
 class CapacityTree:
@@ -122,7 +166,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
     def encode(batches):
-        encoder = WordEncoder(path)
+        encoder = encoder_for(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
