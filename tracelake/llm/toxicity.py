@@ -29,6 +29,8 @@ BATCH = 16
 RATE = 0.02
 HEAD_BYTES = (4, 7)
 SEED = 7
+#: How many false alarms a missed toxic text weighs in the calibration.
+MISS_COST = 3
 
 #: Frequent short words by which a text's language is guessed.
 STOP_WORDS = {
@@ -56,11 +58,19 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     langs = np.where(votes.max(1) > 0, votes.argmax(1), len(STOP_WORDS))
     pad = max(WIDTHS)
     shift = np.repeat(np.arange(len(texts)) * pad, np.diff(offsets))
-    out = np.zeros((len(h) + pad * len(texts), rows.shape[1]), np.int64)
+    out = np.zeros((len(h) + pad * len(texts), rows.shape[1]), np.int32)
     out[np.arange(len(h)) + shift] = rows
     return out, offsets + pad * np.arange(len(offsets)), langs
 
 
+def all_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of many texts, a bounded part at a time."""
+    parts = [features(texts[a:b]) for a, b in chunks(texts, lambda t: len(t or ""), 500_000)]
+    ends = np.cumsum([0] + [len(p[0]) for p in parts])
+    offsets = np.concatenate([[0], *(p[1][1:] + e for p, e in zip(parts, ends, strict=False))])
+    return np.concatenate([p[0] for p in parts]), offsets, np.concatenate([p[2] for p in parts])
+
+
 _stop: list[np.ndarray] = []
 
 
@@ -149,13 +159,13 @@ class TextCnn:
                 step(self.table, total, unique)
 
     def calibrate(self, rows: np.ndarray, offsets: np.ndarray, langs: np.ndarray, y: np.ndarray) -> None:
-        """For each language, the threshold with the fewest errors; languages with few rows take the common one."""
-        z = self.logits(rows, offsets)
+        """For each language, the threshold of least cost; languages with few rows take the common one."""
+        z = np.concatenate([self.logits(rows[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(list(range(len(y))), lambda _: 1, 100)])
 
         def best(z, y):
             order = np.argsort(z, kind="stable")
             z, y = z[order], y[order]
-            errors = np.concatenate(([0], np.cumsum(y))) + np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
+            errors = MISS_COST * np.concatenate(([0], np.cumsum(y))) + np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
             ties = np.flatnonzero(errors == errors.min())
             cut = ties[len(ties) // 2]
             low, high = z[max(cut - 1, 0)], z[min(cut, len(z) - 1)]
@@ -184,9 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> TextCnn
     check = np.arange(len(y)) % 5 == 4 if len(y) >= 500 else np.ones(len(y), bool)
     fitted = ~check if len(y) >= 500 else check
     texts = rows["text"].tolist()
-    grams, offsets, _ = features([t for t, ok in zip(texts, fitted, strict=True) if ok])
+    grams, offsets, _ = all_features([t for t, ok in zip(texts, fitted, strict=True) if ok])
     model.fit(grams, offsets, y[fitted])
-    model.calibrate(*features([t for t, ok in zip(texts, check, strict=True) if ok]), y[check])
+    model.calibrate(*all_features([t for t, ok in zip(texts, check, strict=True) if ok]), y[check])
     return model
 
 
