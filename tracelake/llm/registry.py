@@ -6,11 +6,13 @@ from tracelake.llm.decontamination import op5_decontamination
 from tracelake.llm.html_extraction import op10_html_extraction
 from tracelake.llm.language_id import op8_language_id
 from tracelake.llm.license_scan import op1_license_scan
+from tracelake.llm.near_dedup import op9_near_dedup
 from tracelake.llm.packing import op6_best_fit_packing
 from tracelake.llm.quality_rules import op2_quality_rules
+from tracelake.llm.suffix_dedup import op7_suffix_dedup
 from tracelake.llm.toxicity import op4_toxicity
 from tracelake.llm.url_filters import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_url_filters, op4_toxicity, op5_decontamination, op6_best_fit_packing, op8_language_id, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_url_filters, op4_toxicity, op5_decontamination, op6_best_fit_packing, op7_suffix_dedup, op8_language_id, op9_near_dedup, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {}
