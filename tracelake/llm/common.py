@@ -37,6 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(rows: DataFrame, name: str, value: Column, drop: list[str]) -> DataFrame:
+    """rows without `drop` and with a struct column that filters above do not compute anew (they stay above the generator)."""
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in drop), F.explode(F.array(value)).alias(name))
+
+
 def small_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join that broadcasts the right side if it has at most `limit` rows, and shuffles otherwise."""
     few = right.limit(limit + 1).count() <= limit

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import free_name, table
+from tracelake.llm.common import free_name, settle, table
 
 SHINGLE = 5
 WINDOW = 8
@@ -126,8 +126,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> tuple[DataFr
     found = F.when(F.size(F.coalesce(F.col(keys), F.array().cast("array<bigint>"))) > 0, verified.cast(kind)).otherwise(none)
     n = F.size(F.col(s))
     n_windows = F.when(n > 0, F.ceil(F.greatest(n - WINDOW, F.lit(0)) / STEP) + 1).otherwise(0).cast("long")
-    rows = rows.withColumn(name, F.struct(F.size(w).cast("long").alias("n_words"), n_windows.alias("n_windows"), found.alias("licenses")))
-    return rows.drop(*names[1:]), name
+    out = F.struct(F.size(w).cast("long").alias("n_words"), n_windows.alias("n_windows"), found.alias("licenses"))
+    return settle(rows, name, out, names[1:]), name
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

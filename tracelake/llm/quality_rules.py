@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import SEPARATORS, free_name, literal_doubles, small_join, table, words_of
+from tracelake.llm.common import SEPARATORS, free_name, literal_doubles, settle, small_join, table, words_of
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
@@ -122,7 +122,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     rows = rows.withColumn(b, stats)
     failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
     out = F.struct(x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"], failed.alias("base_failed"), x["score"], (~failed & (x["score"] >= threshold)).alias("kept"))
-    return rows.withColumn(name, out).drop(*names[1:]), name
+    return settle(rows, name, out, names[1:]), name
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
