@@ -1,11 +1,413 @@
-"""Every named query with the SQL it must equal."""
+"""Every named query with the SQL it must equal.
+
+A query takes (spark, sf_dir) and runs over whole tables; limits stand only where a page or a top-k is the feature.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions import classify, redaction
+from tracelake.functions.text import compact, ends_with_path, entropy, path_tokens, snippet, tokens
+from tracelake.operators import analytics, search, sessions, trace
+from tracelake.plans.canonical import ACTIVITY_SQL, CONVERSATIONS_SQL, activity_events, conversation_events, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+SEARCH = "the with erat"
+TERMS = tuple(search.query_terms(SEARCH))
+PAGE = 20
+AFTER = ("2024-01-01 00:06:00", "40")
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",".join(c.strip() for c in ctes)
+
+
+CV, EV = _with(CONVERSATIONS_SQL), _with(ACTIVITY_SQL)
+
+
+def _tc(spark, d):
+    return trace.conversation_trace(conversation_events(spark, d))
+
+
+def _te(spark, d):
+    return trace.conversation_trace(activity_events(spark, d))
+
+
+COUNTS = """count(*) AS total_events, count(*) FILTER (WHERE actor_kind = 'user' AND event_kind = 'message') AS user_messages,
+ count(*) FILTER (WHERE actor_kind = 'assistant' AND event_kind = 'message') AS assistant_messages, count(*) FILTER (WHERE event_kind = 'tool_call') AS tool_calls,
+ count(*) FILTER (WHERE event_kind = 'tool_result') AS tool_results, count(*) FILTER (WHERE event_kind = 'reasoning') AS reasoning_items"""
+
+
+@query(f"{CV} SELECT session_id, min(event_ts) AS first_event_time, max(event_ts) AS last_event_time, max(turn_seq) AS total_turns, {COUNTS} FROM tc GROUP BY session_id")
+def session_summary(spark, d):
+    return trace.session_summary(_tc(spark, d))
+
+
+@query(f"{EV} SELECT session_id, min(event_ts) AS first_event_time, max(event_ts) AS last_event_time, max(turn_seq) AS total_turns, {COUNTS} FROM te GROUP BY session_id")
+def session_summary_activity(spark, d):
+    return trace.session_summary(_te(spark, d))
+
+
+@query(f"{EV} SELECT session_id, turn_seq, min(event_ts) AS started_at, max(event_ts) AS ended_at, {COUNTS} FROM te GROUP BY session_id, turn_seq")
+def turn_summary(spark, d):
+    return trace.turn_summary(_te(spark, d))
+
+
+@query(f"{EV} SELECT session_id, event_uid, event_order, turn_seq, row_number() OVER (PARTITION BY session_id, turn_seq ORDER BY event_order) AS event_ordinal FROM te")
+def conversation_trace(spark, d):
+    return _te(spark, d).select("session_id", "event_uid", "event_order", "turn_seq", "event_ordinal")
+
+
+@query("""SELECT event_id, event_type, max(v) AS event_version, arg_max(val, v) AS value FROM (
+  SELECT event_id, event_type, 1 AS v, value AS val FROM events UNION ALL SELECT event_id, event_type, 2, value + 1 FROM events WHERE event_id % 3 = 0) GROUP BY event_id, event_type""")
+def latest_version_dedup(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", F.lit(1).alias("event_version"), "value")
+    newer = e.filter("event_id % 3 = 0").select("event_id", "event_type", F.lit(2).alias("event_version"), (F.col("value") + 1).alias("value"))
+    return trace.latest(e.unionByName(newer), ["event_id"], "event_version")
+
+
+@query(f"""{EV} SELECT session_id, CASE
+  WHEN count(*) FILTER (WHERE payload_type IN ('web_search_call', 'search_results_received') OR (payload_type = 'tool_use' AND tool_name IN ('WebSearch', 'WebFetch'))) > 0 THEN 'web_search'
+  WHEN count(*) FILTER (WHERE tool_name = 'tool4' AND session_id LIKE '%1') > 0 THEN 'mcp_internal'
+  WHEN count(*) FILTER (WHERE event_kind IN ('tool_call', 'tool_result') OR payload_type = 'tool_use') > 0 THEN 'tool_calling' ELSE 'chat' END AS mode FROM ev GROUP BY session_id""")
+def session_mode(spark, d):
+    e = activity_events(spark, d)
+    internal = classify.internal_tool(F.coalesce("tool_name", F.lit("")), ("tool4",), "own") & F.col("session_id").endswith("1")
+    return e.groupBy("session_id").agg(classify.session_mode(F.col("event_kind"), F.col("payload_type"), F.coalesce("tool_name", F.lit("")), internal).alias("mode"))
+
+
+@query(f"{EV} SELECT session_id, event_uid, lag(event_uid) OVER w AS prev_uid, lead(event_uid) OVER w AS next_uid FROM te WINDOW w AS (PARTITION BY session_id ORDER BY event_order)")
+def prev_next_event(spark, d):
+    return trace.neighbours(_te(spark, d)).select("session_id", "event_uid", "prev_uid", "next_uid")
+
+
+@query(f"""{EV} SELECT a.session_id, a.event_uid AS target_uid, b.event_uid, b.event_order, a.event_uid = b.event_uid AS is_target
+  FROM te a JOIN te b ON a.session_id = b.session_id AND b.event_order BETWEEN a.event_order - 3 AND a.event_order + 3 WHERE a.event_type = 'purchase'""")
+def context_window(spark, d):
+    te = _te(spark, d)
+    return trace.context_window(te, te.filter("event_type = 'purchase'")).select("session_id", "target_uid", "event_uid", "event_order", "is_target")
+
+
+@query(f"""{EV} SELECT session_id, turn_seq, arg_min(text_content, event_order) FILTER (WHERE actor_kind = 'user' AND event_kind = 'message') AS user_input,
+  arg_max(text_content, event_order) FILTER (WHERE actor_kind = 'assistant' AND event_kind = 'message') AS final_response, arg_max(event_uid, event_order) AS terminal_uid FROM te GROUP BY session_id, turn_seq""")
+def first_last_by_group(spark, d):
+    return trace.turn_digest(_te(spark, d)).select("session_id", "turn_seq", "user_input", "final_response", "terminal_uid")
+
+
+@query(f"""{EV}, f AS (SELECT session_id, turn_seq, tool_name, min(event_order) AS o FROM te WHERE event_kind = 'tool_call' GROUP BY ALL)
+  SELECT s.session_id, s.turn_seq, coalesce(string_agg(f.tool_name, ',' ORDER BY f.o), '') AS tools FROM (SELECT DISTINCT session_id, turn_seq FROM te) s
+  LEFT JOIN f ON f.session_id = s.session_id AND f.turn_seq = s.turn_seq GROUP BY s.session_id, s.turn_seq""")
+def tools_first_seen(spark, d):
+    return trace.turn_digest(_te(spark, d)).select("session_id", "turn_seq", F.array_join("tools", ",").alias("tools"))
+
+
+@query(f"{EV} SELECT session_id, turn_seq, sha256(string_agg(event_uid, ',' ORDER BY event_order)) AS snapshot FROM te GROUP BY session_id, turn_seq")
+def turn_snapshot(spark, d):
+    return trace.turn_digest(_te(spark, d)).select("session_id", "turn_seq", "snapshot")
+
+
+POSTINGS = """tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents),
+ po AS (SELECT doc_id, term, CAST(len(t) AS BIGINT) AS doc_len, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM tk) WHERE length(term) BETWEEN 2 AND 64 GROUP BY doc_id, term, len(t))"""
+STATS = "st AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total_doc_len FROM tk WHERE len(t) > 0)"
+IN_TERMS = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
+SCORED = f"""df AS (SELECT term, count(*) AS df FROM po WHERE term IN {IN_TERMS} GROUP BY term),
+ sc AS (SELECT doc_id, round(sum(greatest(ln(1 + (greatest(docs, df) - df + 0.5) / (df + 0.5)), 0) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / greatest(total_doc_len / docs, 1.0))))), 6) AS score, count(*) AS matched_terms
+   FROM po JOIN df USING (term), st GROUP BY doc_id)"""
+
+
+@query(f"WITH {POSTINGS} SELECT doc_id, term, doc_len, tf FROM po")
+def postings(spark, d):
+    return search.build_postings(table(spark, d, "documents"))
+
+
+@query(f"WITH {POSTINGS}, {STATS} SELECT docs, total_doc_len FROM st")
+def corpus_stats(spark, d):
+    return search.corpus_stats(table(spark, d, "documents"))
+
+
+@query(f"WITH {POSTINGS} SELECT term, count(*) AS df FROM po GROUP BY term")
+def term_df(spark, d):
+    return search.term_df(search.build_postings(table(spark, d, "documents")))
+
+
+@query(f"WITH {POSTINGS}, {STATS}, {SCORED} SELECT doc_id, score, matched_terms, text FROM sc JOIN documents USING (doc_id) WHERE matched_terms >= 2 ORDER BY score DESC, doc_id LIMIT 25")
+def bm25_events(spark, d):
+    return search.search_events(table(spark, d, "documents"), SEARCH, min_match=2).select("doc_id", "score", "matched_terms", "text")
+
+
+@query(f"WITH {POSTINGS}, {STATS}, {SCORED} SELECT doc_id, score, matched_terms FROM sc")
+def bm25_scores(spark, d):
+    docs = table(spark, d, "documents")
+    return search.score_postings(search.build_postings(docs, terms=list(TERMS)), search.corpus_stats(docs))
+
+
+@query(f"""WITH {POSTINGS}, {STATS}, {SCORED}, own AS (SELECT doc_id, source FROM documents)
+  SELECT source, round(sum(score), 6) AS score, count(*) AS event_count, max_by(doc_id, (score, doc_id)) AS best_event,
+    (SELECT count(DISTINCT term) FROM po JOIN own o2 USING (doc_id) WHERE o2.source = own.source AND term IN {IN_TERMS}) AS matched_terms
+  FROM sc JOIN own USING (doc_id) GROUP BY source ORDER BY score DESC, source LIMIT 25""")
+def bm25_conversations(spark, d):
+    return search.search_sessions(table(spark, d, "documents"), SEARCH, "source").select("source", "score", "event_count", "best_event", "matched_terms")
+
+
+@query("""SELECT page_id, score FROM (SELECT page_id, CASE WHEN contains(lower(url), 'blog') THEN 2.0 ELSE 0.0 END + CASE WHEN contains(lower(html), 'blog') THEN 1.0 ELSE 0.0 END
+  + CASE WHEN contains(lower(url), 'page') THEN 2.0 ELSE 0.0 END + CASE WHEN contains(lower(html), 'page') THEN 1.0 ELSE 0.0 END AS score FROM pages) WHERE score > 0""")
+def metadata_search(spark, d):
+    return search.search_metadata(table(spark, d, "pages"), "blog page", {"url": 2.0, "html": 1.0}, "page_id")
+
+
+@query(f"""{EV}, h AS (SELECT *, CASE WHEN event_kind IN ('message', 'reasoning') THEN 0 ELSE 1 END AS p FROM ev)
+  SELECT session_id, event_uid FROM (SELECT *, row_number() OVER (PARTITION BY session_id, text_content ORDER BY p, event_uid) AS rn,
+    min(p) OVER (PARTITION BY session_id, text_content) <> max(p) OVER (PARTITION BY session_id, text_content) AS mixed FROM h) WHERE rn = 1 OR NOT mixed""")
+def mirror_dedup(spark, d):
+    hits = activity_events(spark, d).withColumns({"matched_terms": F.lit(1), "score": F.lit(1.0), "preview": F.col("text_content"), "actor_kind": F.lit("assistant")})
+    return search.mirror_dedup(hits).select("session_id", "event_uid")
+
+
+@query(f"""{CV}, two AS (SELECT session_id, event_uid || 'b' AS event_uid, event_ts, actor_kind, event_kind, text_content FROM cv UNION ALL SELECT session_id, event_uid, event_ts, actor_kind, event_kind, text_content FROM cv)
+  SELECT session_id, min(event_uid) AS event_uid FROM two GROUP BY session_id, event_ts, event_kind, text_content""")
+def equivalent_dedup(spark, d):
+    c = conversation_events(spark, d)
+    both = c.union(c.withColumn("event_uid", F.concat("event_uid", F.lit("b"))))
+    turns = trace.conversation_trace(both).withColumn("turn_seq", F.lit(1))
+    return search.equivalent_dedup(turns).select("session_id", "event_uid")
+
+
+@query(f"""{CV}, s AS (SELECT session_id, max(event_ts) AS last_event_time, max(turn_seq) AS total_turns FROM tc GROUP BY session_id)
+  SELECT * FROM s WHERE last_event_time < TIMESTAMP '{AFTER[0]}' OR (last_event_time = TIMESTAMP '{AFTER[0]}' AND session_id < '{AFTER[1]}') ORDER BY last_event_time DESC, session_id DESC LIMIT {PAGE + 1}""")
+def list_sessions_keyset(spark, d):
+    at = F.lit(AFTER[0]).cast("timestamp_ntz")
+    return sessions.list_sessions(trace.session_summary(_tc(spark, d)), PAGE, after=(at, AFTER[1])).select("session_id", "last_event_time", "total_turns")
+
+
+@query(f"""{EV}, s AS (SELECT session_id, min(event_ts) AS first_event_time, max(event_ts) AS last_event_time FROM te GROUP BY session_id)
+  SELECT * FROM s WHERE last_event_time >= TIMESTAMP '2024-01-10' AND first_event_time < TIMESTAMP '2024-01-20' ORDER BY last_event_time DESC, session_id DESC LIMIT {PAGE + 1}""")
+def list_sessions_overlap(spark, d):
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    return sessions.list_sessions(trace.session_summary(_te(spark, d)), PAGE, start=day("2024-01-10"), end=day("2024-01-20")).select("session_id", "first_event_time", "last_event_time")
+
+
+@query(f"{EV} SELECT session_id, event_order, event_uid, event_kind, model FROM te WHERE event_kind IN ('tool_call', 'tool_result') AND model IN ('view') ORDER BY session_id, event_order")
+def export_filtered(spark, d):
+    return sessions.export_events(_te(spark, d), {"event_kind": ["tool_call", "tool_result"], "model": ["view"]}, ["session_id", "event_order", "event_uid", "event_kind", "model"])
+
+
+@query(f"""{EV}, m AS (SELECT epoch_us(event_ts) // 1000000 AS s, * FROM ev), x AS (
+   SELECT s - s % 3600 AS bucket, model, 'value' AS token_bucket, whole AS n, session_id, request_id, event_uid FROM m UNION ALL SELECT s - s % 3600, model, 'k', request_id, session_id, request_id, event_uid FROM m),
+  p AS (SELECT bucket, model, token_bucket, CASE WHEN model = 'click' THEN 'r/' || session_id || '/' || request_id ELSE 'e/' || event_uid END AS unit, max(n) AS n FROM x GROUP BY ALL)
+  SELECT bucket, model, token_bucket, CAST(sum(n) AS BIGINT) AS tokens FROM p GROUP BY ALL""")
+def token_series(spark, d):
+    return analytics.token_series(activity_events(spark, d), 3600, ["click"])
+
+
+@query(f"{EV} SELECT b AS bucket, model, count(*) AS turns FROM (SELECT DISTINCT epoch_us(event_ts) // 1000000 // 3600 * 3600 AS b, model, session_id, request_id FROM ev) GROUP BY b, model")
+def turn_series(spark, d):
+    return analytics.turn_series(activity_events(spark, d), 3600)
+
+
+@query(f"{EV} SELECT epoch_us(event_ts) // 1000000 // 3600 * 3600 AS bucket, count(DISTINCT session_id) AS sessions FROM ev WHERE whole > 0 GROUP BY 1")
+def concurrency_series(spark, d):
+    return analytics.concurrency_series(activity_events(spark, d), 3600, F.floor("value"))
+
+
+@query(f"""{EV}, s AS (SELECT epoch_us(event_ts) // 1000000 // 600 * 600 AS bucket, count(DISTINCT session_id) AS sessions FROM ev WHERE whole > 10 GROUP BY 1)
+  SELECT CAST(g.bucket AS BIGINT) AS bucket, coalesce(s.sessions, 0) AS sessions FROM (SELECT unnest(range(min(bucket), max(bucket) + 600, 600)) AS bucket FROM s) g LEFT JOIN s ON s.bucket = g.bucket""")
+def gap_filled_series(spark, d):
+    return analytics.fill_gaps(analytics.concurrency_series(activity_events(spark, d), 600, F.floor("value") - 10), 600, "sessions")
+
+
+@query(f"""{EV}, s AS (SELECT session_id AS name, epoch_us(event_ts) // 1000000 // 86400 * 86400 AS bucket, CAST(sum(whole) AS BIGINT) AS tokens FROM ev GROUP BY 1, 2),
+  t AS (SELECT name FROM s GROUP BY name ORDER BY sum(tokens) DESC, name LIMIT 8) SELECT name, bucket, tokens FROM s WHERE name IN (SELECT name FROM t)""")
+def top_series(spark, d):
+    e = activity_events(spark, d)
+    s = e.groupBy(F.col("session_id").alias("name"), analytics.bucket(F.col("event_ts"), 86400).alias("bucket")).agg(F.sum(F.floor("value")).alias("tokens"))
+    return analytics.top_series(s, "name", "tokens")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def percentiles(spark, d):
+    return analytics.percentiles(table(spark, d, "events"), ["event_type"], "value")
+
+
+@query("""SELECT event_type || '-' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 10) AS query, count(*) AS runs, round(avg(value), 6) AS avg_latency FROM events GROUP BY 1 ORDER BY runs DESC, avg_latency DESC, query LIMIT 10""")
+def hot_queries(spark, d):
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long") % 10
+    return analytics.hot_queries(e.select(F.concat("event_type", F.lit("-"), k.cast("string")).alias("query"), F.col("value").alias("latency_ms")))
+
+
+@query(f"""{EV}, r AS (SELECT *, epoch_us(event_ts) // 1000 AS ms FROM te WHERE actor_kind IN ('user', 'assistant', 'tool'))
+  SELECT session_id, event_uid, CASE WHEN lag(event_kind) OVER w = 'tool_result' AND actor_kind = 'assistant' THEN greatest(ms - lag(ms) OVER w, 0) END AS latency_ms FROM r WINDOW w AS (PARTITION BY session_id ORDER BY event_order)""")
+def latency_enrichment(spark, d):
+    return trace.latency(_te(spark, d)).select("session_id", "event_uid", "latency_ms")
+
+
+@query(f"""{EV}, p AS (SELECT *, sum(CASE WHEN event_kind = 'tool_call' THEN 1 ELSE -1 END) OVER k AS s FROM te WHERE event_kind IN ('tool_call', 'tool_result') WINDOW k AS (PARTITION BY session_id, turn_seq, tool_call_id ORDER BY event_order)),
+  q AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY session_id, turn_seq, tool_call_id ORDER BY event_order)) AS depth FROM p),
+  l AS (SELECT *, CASE WHEN event_kind = 'tool_call' THEN depth ELSE coalesce(lag(depth) OVER (PARTITION BY session_id, turn_seq, tool_call_id ORDER BY event_order), 0) END AS lvl FROM q)
+  SELECT r.session_id, r.turn_seq, r.tool_call_id, r.event_uid AS result_uid, max(c.event_uid) AS call_uid FROM l r LEFT JOIN l c ON c.session_id = r.session_id AND c.turn_seq = r.turn_seq AND c.tool_call_id = r.tool_call_id
+    AND c.lvl = r.lvl AND r.lvl > 0 AND c.event_kind = 'tool_call' AND c.event_order < r.event_order
+    AND c.event_order = (SELECT max(x.event_order) FROM l x WHERE x.session_id = r.session_id AND x.turn_seq = r.turn_seq AND x.tool_call_id = r.tool_call_id AND x.lvl = r.lvl AND x.event_kind = 'tool_call' AND x.event_order < r.event_order)
+  WHERE r.event_kind = 'tool_result' GROUP BY ALL""")
+def tool_pairing(spark, d):
+    return trace.pair_tools(_te(spark, d))
+
+
+@query(f"""{EV} SELECT event_uid, CASE
+  WHEN actor_kind = 'user' AND (event_kind = 'message' OR (event_kind = 'event_msg' AND payload_type IN ('user_message', 'agent_message', 'message', 'text', 'event_msg'))) THEN 'user_input'
+  WHEN actor_kind = 'assistant' AND (event_kind = 'message' OR (event_kind = 'event_msg' AND payload_type IN ('user_message', 'agent_message', 'message', 'text', 'event_msg'))) THEN 'assistant_response'
+  WHEN actor_kind <> 'system' AND (event_kind = 'reasoning' OR payload_type IN ('agent_reasoning', 'reasoning', 'thinking')) THEN 'reasoning'
+  WHEN actor_kind <> 'system' AND (event_kind = 'tool_call' OR payload_type IN ('tool_use', 'function_call', 'custom_tool_call', 'web_search_call')) THEN 'tool_call'
+  WHEN actor_kind <> 'system' AND (event_kind = 'tool_result' OR payload_type IN ('tool_result', 'function_call_output', 'custom_tool_call_output', 'search_results_received')) THEN 'tool_response'
+  WHEN event_kind IN ('compacted_raw', 'summary') OR payload_type IN ('compacted', 'summary') THEN 'compaction'
+  WHEN event_kind = 'queue_operation' OR payload_type IN ('task_started', 'task_complete', 'turn_aborted', 'item_completed', 'queue-operation') THEN 'runtime'
+  WHEN actor_kind = 'system' OR event_kind IN ('system', 'progress', 'file_history_snapshot') OR payload_type IN ('system', 'progress', 'file-history-snapshot', 'file_history_snapshot') THEN 'system'
+  ELSE 'unknown' END AS event_class FROM ev""")
+def event_type_classify(spark, d):
+    e = activity_events(spark, d)
+    return e.select("event_uid", classify.event_type(F.col("event_kind"), F.col("payload_type"), F.col("actor_kind")).alias("event_class"))
+
+
+@query(f"{EV} SELECT event_uid FROM ev WHERE (actor_kind <> 'system' AND (event_kind = 'tool_call' OR payload_type IN ('tool_use', 'function_call', 'custom_tool_call', 'web_search_call'))) OR event_kind = 'queue_operation' OR payload_type IN ('task_started', 'task_complete', 'turn_aborted', 'item_completed', 'queue-operation')")
+def event_type_filter(spark, d):
+    e = activity_events(spark, d)
+    return e.filter(classify.any_type(F.col("event_kind"), F.col("payload_type"), F.col("actor_kind"), ("tool_call", "runtime"))).select("event_uid")
+
+
+@query(f"""{EV}, o AS (SELECT session_id, arg_min(cwd, (event_ts, event_uid)) FILTER (WHERE cwd <> '') AS origin FROM (SELECT *, CASE WHEN model = 'view' THEN '/srv/p' || (request_id % 4) || '/src' ELSE '' END AS cwd FROM ev) GROUP BY session_id)
+  SELECT session_id, origin FROM o WHERE origin = '/srv/p1' OR starts_with(origin, '/srv/p1/') OR origin = '/srv/p2' OR starts_with(origin, '/srv/p2/')""")
+def scope_semi_join(spark, d):
+    e = activity_events(spark, d).withColumn("cwd", F.when(F.col("model") == "view", F.concat(F.lit("/srv/p"), (F.col("request_id") % 4).cast("string"), F.lit("/src"))).otherwise(""))
+    return sessions.sessions_under(e, ["/srv/p1", "/srv/p2"])
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce('new-' || o_orderkey, 'old-' || l_orderkey) AS uid FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey")
+def uid_remap_join(spark, d):
+    m = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("new-"), F.col("o_orderkey").cast("string")).alias("new"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(m, "l_orderkey", "left")
+    return rows.select("l_orderkey", "l_linenumber", F.coalesce("new", F.concat(F.lit("old-"), F.col("l_orderkey").cast("string"))).alias("uid"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join_seed(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("""WITH u AS (SELECT page_id, '/' || array_to_string(list_slice(string_split(split_part(split_part(url, '?', 1), '#', 1), '/'), 3, 9), '/') AS p FROM pages) SELECT page_id, p AS path FROM u WHERE p <> ''""")
+def path_tokens_json(spark, d):
+    p = table(spark, d, "pages")
+    short = F.substring_index(F.substring_index("url", "?", 1), "#", 1)
+    path = F.concat(F.lit("/"), F.array_join(F.slice(F.split(short, "/"), 3, 7), "/"))
+    found = path_tokens(F.to_json(F.struct(path.alias("file_path"), F.lit(1).alias("n"))))
+    return p.select("page_id", F.explode(found).alias("path"))
+
+
+@query("SELECT page_id, url FROM pages WHERE url = 'index.html' OR ends_with(url, '/7') OR ends_with(url, '/index.html')")
+def path_suffix_match(spark, d):
+    return table(spark, d, "pages").filter(ends_with_path(F.col("url"), "index.html") | F.col("url").endswith("/7")).select("page_id", "url")
+
+
+@query(f"{EV} SELECT session_id, count(*) AS touches, min(event_ts) AS first_touch, max(event_ts) AS last_touch, string_agg(DISTINCT tool_name, ',' ORDER BY tool_name) AS tools FROM ev WHERE tool_call_id = 'c3' GROUP BY session_id")
+def file_touch_rollup(spark, d):
+    return analytics.touch_rollup(activity_events(spark, d).filter("tool_call_id = 'c3'")).withColumn("tools", F.array_join("tools", ","))
+
+
+@query(f"""{EV} SELECT session_id, tool_call_id, event_uid, event_ts, CASE WHEN model = 'view' THEN 'exact' ELSE 'fallback' END AS basis FROM ev WHERE tool_call_id IS NOT NULL""")
+def touch_union(spark, d):
+    e = activity_events(spark, d).filter("tool_call_id is not null").select("session_id", "tool_call_id", "event_uid", "event_ts", "model")
+    exact = e.filter("model = 'view'").withColumn("basis", F.lit("exact")).drop("model")
+    return analytics.merge_touches(exact, e.withColumn("basis", F.lit("fallback")).drop("model"))
+
+
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract(text, '(?i)(\b(?:api[_-]?key|access[_-]?token|auth(?:orization)?|bearer|client[_-]?secret|credential|passwd|password|private[_-]?key|secret|token)\b["'']?\s*[:=]\s*["'']?)([0-9A-Za-z_./+=-]{20,})', 2) AS v FROM documents)
+  SELECT doc_id, CAST(length(v) AS BIGINT) AS n, round((SELECT entropy(c) FROM (SELECT unnest(string_split(v, '')) AS c)), 6) AS bits FROM t WHERE v <> ''""")
+def entropy_secrets(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", redaction.ASSIGNED, 2).alias("v")).filter("v <> ''")
+    return rows.select("doc_id", F.length("v").cast("long").alias("n"), F.round(entropy(F.col("v")), 6).alias("bits"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text || ' AKIA' || 'ABCDEFGHIJKLMNOP' || ' sk-' || 'ant-' || repeat('a1', 12), '\b(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16}\b', '[REDACTED:aws-access-token]', 'g'),
+  '\bsk-ant-[0-9A-Za-z_-]{20,}\b', '[REDACTED:anthropic-api-key]', 'g') AS text FROM conversations""")
+def redact_literals(spark, d):
+    added = F.concat("text", F.lit(" AKIA" + "ABCDEFGHIJKLMNOP" + " sk-" + "ant-" + "a1" * 12))
+    return table(spark, d, "conversations").select("conv_id", "turn", redaction.redact_literals(added).alias("text"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|access[_-]?token|auth(?:orization)?|bearer|client[_-]?secret|credential|passwd|password|private[_-]?key|secret|token)\b["'']?\s*[:=]\s*["'']?[0-9A-Za-z_./+=-]{20,}')) AS BIGINT) AS n FROM documents""")
+def redaction_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", redaction.placeholder_count(redaction.redact(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT event_id, sha256(concat(length(CAST(event_id AS VARCHAR)), ':', event_id, strlen(event_type), ':', event_type, strlen(props), ':', props)) AS uid FROM events")
+def semantic_uid(spark, d):
+    return table(spark, d, "events").select("event_id", trace.semantic_uid([F.col("event_id"), F.col("event_type"), F.col("props")]).alias("uid"))
+
+
+@query("SELECT event_id, user_id || '/' || event_type || CASE WHEN count(*) OVER w > 1 THEN '#' || row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) ELSE '' END AS uid FROM events WINDOW w AS (PARTITION BY user_id, event_type)")
+def sibling_numbers(spark, d):
+    e = table(spark, d, "events").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("uid"))
+    return trace.number_siblings(e, "uid", ["event_id"])
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('message', 'tool_call', 'progress') THEN event_type ELSE 'unknown' END AS event_kind FROM events")
+def domain_validation(spark, d):
+    return table(spark, d, "events").select("event_id", classify.in_domain(F.col("event_type"), "event_kind").alias("event_kind"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text, CAST(coalesce(nullif(instr(lower(text), 'erat'), 0), nullif(instr(lower(text), 'with'), 0), 1) AS BIGINT) AS pos FROM conversations) SELECT conv_id, turn, substr(text, greatest(pos - 40, 1), 80) AS snippet FROM p""")
+def snippet_text(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", snippet(F.col("text"), ["erat", "with"]).alias("snippet"))
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
+def compact_text(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", compact(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS BIGINT) AS doc_len, upper(sha256(text)) AS text_digest FROM documents")
+def event_locator(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("doc_len"), F.upper(F.sha2("text", 256)).alias("text_digest"))
+
+
+@query(f"{EV} SELECT session_id, arg_max(model, (event_ts, event_uid)) AS model, arg_max(tool_name, (event_ts, event_uid)) FILTER (WHERE tool_name IS NOT NULL) AS tool_name FROM ev GROUP BY session_id")
+def latest_non_null(spark, d):
+    return sessions.latest_non_null(activity_events(spark, d), "session_id", ["model", "tool_name"], ["event_ts", "event_uid"])
+
+
+@query("SELECT * FROM events ORDER BY ALL LIMIT 50")
+def preview_rows(spark, d):
+    return sessions.preview(table(spark, d, "events"), 50)
+
+
+@query(f"{CV}, u AS (SELECT session_id, arg_min(text_content, event_order) FILTER (WHERE actor_kind = 'user') AS t FROM tc GROUP BY session_id) SELECT session_id, coalesce(left(nullif(trim(split_part(trim(t), chr(10), 1)), ''), 120), 'session ' || session_id) AS label FROM u")
+def display_labels(spark, d):
+    first = _tc(spark, d).groupBy("session_id").agg(F.min_by(F.when(trace.is_user_message(), F.col("text_content")), F.when(trace.is_user_message(), F.col("event_order"))).alias("t"))
+    none = F.lit(None).cast("string")
+    return first.select("session_id", sessions.display_label(none, F.col("t"), none, none, none, F.concat(F.lit("session "), F.col("session_id"))).alias("label"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracles() -> dict:
-    return {}
+def oracles() -> dict[str, str]:
+    return dict(_SQL)
