@@ -1,0 +1,102 @@
+import json
+import sqlite3
+
+import pytest
+
+from tracelake.sources.adapters import FORMATS, links, normalize, time_errors, tool_rows
+from tracelake.sources.jsonl import read_documents, read_lines, split_records
+from tracelake.sources.keyvalue import SqliteSource, changed
+from tracelake.sources.schemas import EVENTS
+from tracelake.sources.sinks import fold_tools, merge_json, route
+from tracelake.streaming import ingest
+
+BLOCKS = [
+    {"type": "user", "sessionId": "s1", "cwd": "/w/a", "uuid": "u1", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "user", "content": "hello"}},
+    {"type": "assistant", "sessionId": "s1", "cwd": "/w/a", "uuid": "u2", "parentUuid": "u1", "requestId": "r1", "timestamp": "2026-01-01T00:00:01Z", "message": {"role": "assistant", "model": "M One", "content": [
+        {"type": "thinking", "thinking": "hm"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"path": "x.txt"}}, {"type": "text", "text": "ok"}, {"type": "text", "text": "ok"}]}},
+    {"type": "user", "sessionId": "s1", "cwd": "/w/a", "uuid": "u3", "timestamp": "bad time", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "body"}], "is_error": True}]}},
+]
+SAMPLES = {
+    "codex": [{"timestamp": "2026-01-01T00:00:00Z", "type": "session_meta", "payload": {"id": "s", "cwd": "/r"}}, {"timestamp": "2026-01-01T00:00:01Z", "type": "response_item", "payload": {"type": "function_call", "name": "Read", "call_id": "c", "arguments": "{}"}},
+              {"timestamp": "2026-01-01T00:00:02Z", "type": "compacted", "payload": {"message": "m", "replacement_history": [{"role": "user", "content": "old"}]}}],
+    "kimi-cli": [{"timestamp": 1775953944.5, "message": {"type": "TurnBegin", "payload": {"user_input": "hi"}}}, {"timestamp": 1775953945, "message": {"type": "ContentPart", "payload": {"type": "think", "think": "t"}}}],
+    "qwen-code": [{"uuid": "a", "sessionId": "q", "timestamp": "2026-01-01T00:00:00Z", "type": "assistant", "message": {"parts": [{"text": "t", "thought": True}, {"functionCall": {"id": "f", "name": "sh", "args": {}}}]}}],
+    "kiro-cli": [{"kind": "Prompt", "data": {"content": [{"kind": "text", "data": "hi"}], "meta": {"timestamp": 1780000000}}}, {"kind": "Compaction", "data": {"summary": "s"}}],
+    "hermes": [{"timestamp": "2026-01-01T00:00:00", "model": "m", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "<think>t</think>\n<tool_call>{\"name\": \"w\", \"arguments\": {}}</tool_call>"}]}],
+    "opencode": [{"type": "opencode_part", "session_id": "o", "time_created": 1780000001000, "data": {"type": "tool", "tool": "sh", "callID": "c", "state": {"status": "completed", "input": {}, "output": "x"}}}],
+    "pi-coding-agent": [{"type": "message", "id": "1", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "bashExecution", "output": "x"}}],
+    "cursor": [{"key": "bubbleId:cc:bb", "value": {"type": 1, "text": "hi", "createdAt": "2026-01-01T00:00:00Z"}}],
+}
+EXPECTED = {
+    "codex": ["session_meta", "tool_call", "compacted_raw", "message"], "kimi-cli": ["message", "reasoning"], "qwen-code": ["reasoning", "tool_call"], "kiro-cli": ["message", "summary"],
+    "hermes": ["session_meta", "message", "reasoning", "tool_call"], "opencode": ["tool_call", "tool_result"], "pi-coding-agent": ["tool_result"], "cursor": ["message"],
+}
+
+
+def write(path, rows):
+    path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows) + "\n")
+    return str(path)
+
+
+def events_of(spark, path, harness):
+    records, errors = split_records(read_lines(spark, path))
+    return normalize(records, harness), records, errors
+
+
+def test_block_format(spark, tmp_path):
+    path = write(tmp_path / "a.jsonl", [*BLOCKS, "{broken", "[1]", ""])
+    ev, records, errors = events_of(spark, path, "claude-code")
+    assert ev.schema == EVENTS or [f.name for f in ev.schema] == [f.name for f in EVENTS]
+    rows = ev.orderBy("source_line_no", "emission_index").collect()
+    assert [r.event_kind for r in rows] == ["message", "reasoning", "tool_call", "message", "message", "tool_result"]
+    assert len({r.event_uid for r in rows}) == 6  # equal siblings are numbered
+    assert rows[1].model == "m-one" and rows[5].tool_error == 1 and rows[5].text_content == "body"
+    assert str(rows[5].event_ts) == "1970-01-01 00:00:00"
+    assert errors.count() == 2 and time_errors(records, "claude-code").count() == 1
+    assert {r.link_type for r in links(ev).collect()} == {"parent_uuid", "tool_use_id"}
+    folded = fold_tools(ev, tool_rows(ev)).filter("event_kind = 'tool_call'").first()
+    assert json.loads(folded.payload_json)["tool_io"]["input_json"] == '{"path":"x.txt"}'
+    assert {r.backend for r in route(ev, {"/w": "one", "/w/a": "two"}, "none").collect()} == {"two"}
+
+
+@pytest.mark.parametrize("harness", sorted(SAMPLES))
+def test_other_formats(spark, tmp_path, harness):
+    ev, _, _ = events_of(spark, write(tmp_path / "x.jsonl", SAMPLES[harness]), harness)
+    rows = ev.orderBy("source_line_no", "emission_index").collect()
+    assert [r.event_kind for r in rows] == EXPECTED[harness]
+    assert all(r.session_id and len(r.event_uid) >= 64 for r in rows)
+
+
+def test_all_formats_take_empty_input(spark, tmp_path):
+    path = write(tmp_path / "e.jsonl", [""])
+    for harness in FORMATS:
+        assert events_of(spark, path, harness)[0].count() == 0
+
+
+def test_stream_replay_changes_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.jsonl", BLOCKS)
+    base = str(tmp_path / "out")
+    for k in range(2):  # the second run has lost its checkpoint
+        ingest.start(spark, str(tmp_path / "in"), "claude-code", base, str(tmp_path / f"ck{k}")).awaitTermination()
+    assert spark.read.parquet(base + "/events").count() == 12
+    assert ingest.current_events(spark, base).count() == 6
+
+
+def test_documents_and_sqlite(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"id": "s", "messages": [{"role": "user"}, {"role": "assistant"}]}))
+    assert [r.source_line_no for r in read_documents(spark, str(tmp_path / "d.json")).orderBy("source_line_no").collect()] == [0, 1, 2]
+    with sqlite3.connect(tmp_path / "s.db") as db:
+        db.execute("create table kv (key text, value text)")
+        db.executemany("insert into kv values (?, ?)", [("bubbleId:1", "a"), ("other", "b")])
+    spark.dataSource.register(SqliteSource)
+    rows = spark.read.format("sqlite_rows").options(path=str(tmp_path / "*.db"), query="select key, value from kv where key >= 'bubbleId:' and key < 'bubbleId;'").load()
+    assert [(r.key, r.value) for r in rows.collect()] == [("bubbleId:1", "a")]
+    from pyspark.sql import functions as F
+
+    assert changed(rows, rows.withColumn("sha256", F.sha2("value", 256))).count() == 0
+
+
+def test_merge_patch(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": {"c": 2}}', '{"b": {"c": null, "d": 3}}'), ("broken", '{"x": 1}'), (None, None)], "a string, b string")
+    assert [r.m for r in df.select(merge_json("a", "b").alias("m")).collect()] == ['{"a":1,"b":{"d":3}}', '{"x":1}', "{}"]
