@@ -37,6 +37,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of frames that are no longer referenced deleted now, not when memory next runs short."""
+    import gc
+    import time
+
+    for _ in range(2):  # the second round meets what the first has detached
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def settle(rows: DataFrame, name: str, value: Column, drop: list[str]) -> DataFrame:
     """rows without `drop` and with a struct column that filters above do not compute anew (they stay above the generator)."""
     return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in drop), F.explode(F.array(value)).alias(name))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 16
+SHALLOW = 32
 
 
 class BlindTrie:
@@ -106,8 +106,17 @@ def order_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
             swap = pair[new & (wa > wb)]
             order[swap], order[swap + 1] = order[swap + 1], order[swap].copy()
             decided |= new
+        many = np.flatnonzero(sizes > 2)
+        if len(many):  # groups of one string need no trie
+            rows = np.repeat(begins[many] - np.concatenate(([0], np.cumsum(sizes[many])[:-1])), sizes[many]) + np.arange(sizes[many].sum())
+            cuts = np.concatenate(([0], np.cumsum(sizes[many])[:-1]))
+            mixed = np.zeros(len(many), bool)
+            for d in range(depth, length, 8):
+                w = word(starts[order[rows]], d)
+                mixed |= np.minimum.reduceat(w, cuts) != np.maximum.reduceat(w, cuts)
+            many = many[mixed]
         raw = data.tobytes()
-        for begin, size in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        for begin, size in zip(begins[many].tolist(), sizes[many].tolist(), strict=True):
             trie = BlindTrie()
             for i in order[begin : begin + size].tolist():
                 s = int(starts[i])

@@ -24,10 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelake.llm.common import BROADCAST_ROWS, chunks, cut_lineage, free_name, mix64, prefix_sums, table
+from tracelake.llm.common import BROADCAST_ROWS, chunks, cut_lineage, free_name, mix64, prefix_sums, release, table
 from tracelake.llm.deep_shallow import order_windows
 
 SPAN = 50
@@ -35,10 +37,10 @@ GRAM = 20
 BEFORE = SPAN - GRAM
 #: Contexts of one anchor beyond which its strings are dealt out one by one.
 CROWD = 2000
-PART_DOCS = 8000
+PART_DOCS = 4000
 #: Bytes of text that a task works on at once.
-AT_ONCE = 4_000_000
-DECIDED, CONTEXT, CROWDED = 0, 1, 2
+AT_ONCE = 1_000_000
+DECIDED, CONTEXT, CROWDED, RUNS = 0, 1, 2, 3
 
 
 def pack_columns(*columns: np.ndarray) -> bytes:
@@ -54,6 +56,17 @@ def unpack_columns(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def planes(numbers: np.ndarray, width: int) -> np.ndarray:
+    """The low `width` bytes of numbers, one plane after the other, so that planes of small numbers compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def unplanes(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
+
+
 def sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     """least (np.minimum or np.maximum) of `width` values from each position."""
     out, have = values, 1
@@ -94,8 +107,21 @@ def _by_doc(ids: np.ndarray, marks: np.ndarray, kind: np.ndarray, place: np.ndar
     order = np.lexsort((place, kind, marks, ids))
     ids, marks, kind, place = ids[order], marks[order], kind[order], place[order].astype("<u4")
     cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(ids)), bool), (np.diff(ids) != 0) | (np.diff(marks) != 0) | (np.diff(kind) != 0))))
-    ends = np.append(cut[1:], len(ids))
-    return ids[cut], marks[cut], kind[cut], [place[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+    ends = np.append(cut[1:], len(ids))[: len(cut)]
+    return ids[cut], marks[cut], kind[cut], [(place[a:b] if kind[a] != RUNS else runs_of(place[a:b])).tobytes() for a, b in zip(cut, ends, strict=True)]
+
+
+def runs_of(places: np.ndarray) -> np.ndarray:
+    """First and last of each run of consecutive numbers, from sorted ones."""
+    new = np.flatnonzero(np.concatenate(([True], places[1:] - places[:-1] > 1)))
+    return np.stack((places[new], places[np.append(new[1:], len(places)) - 1]), 1).astype("<u4")
+
+
+_MARKS = "doc_id long, mark long, kind int, places binary"
+
+
+def _marks(ids, marks, kinds, places) -> pa.Table:
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "kind": pa.array(kinds, pa.int32()), "places": pa.array(places, pa.binary())})
 
 
 _OUT = "part int, blob binary, doc_id long, mark long, kind int, places binary"
@@ -110,6 +136,29 @@ def _batch(part=None, blob=None, doc_id=None, mark=None, kind=None, places=None)
     )
 
 
+def squeeze(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a text column compressed (binary), for a shuffle of whole texts."""
+    at = rows.columns.index(column)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType) for f in rows.schema])
+
+    def shrink(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else press.compress(t.encode("utf-8", "replace")) for t in columns[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(shrink, schema)
+
+
+def expand(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
     """From (doc_id, mark, text): blobs of anchors for each part, and places decided within the task."""
 
@@ -127,7 +176,8 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
                 new = np.concatenate(([True], np.diff(key[order]) != 0))
                 first = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
                 late = own[order] > first
-                yield _batch(None, None, *(_by_doc(own[order][late], mark[order][late], np.full(late.sum(), DECIDED), place[order][late])))
+                known = _by_doc(own[order][late], mark[order][late], np.full(late.sum(), DECIDED), place[order][late])
+                yield _batch(known[1] % parts, None, *known)
                 left = np.sort(order[~late])
                 part = (h[left] % np.uint64(parts)).astype(np.int64)
                 left = left[np.argsort(part, kind="stable")]
@@ -136,8 +186,8 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
                     x = left[cuts[p] : cuts[p + 1]]
                     some, times = np.unique(doc[x], return_counts=True)
-                    c = around[x]
-                    blobs.append(pack_columns(ids[lo:hi][some], marks[lo:hi][some], times.astype("<u4"), h[x], (c >> np.uint64(32)).astype("<u4"), (c & np.uint64(0xFFFF)).astype("<u2"), place[x].astype("<u4")))
+                    step = np.diff(place[x], prepend=0)  # small, but where a text begins
+                    blobs.append(pack_columns(ids[lo:hi][some], marks[lo:hi][some], times.astype("<u4"), planes(h[x] // np.uint64(parts), 5), planes(around[x] >> np.uint64(16), 6), planes((step << 1) ^ (step >> 63), 5)))
                     numbers.append(p)
                 yield _batch(numbers, blobs)
 
@@ -148,11 +198,16 @@ def meet(found: DataFrame) -> DataFrame:
     """doc_id, mark, kind, places: what each part decides of its anchors, and what tasks have decided."""
 
     def judge(group: pa.Table) -> pa.Table:
-        cols = [unpack_columns(b, "<i8", "<i8", "<u4", "<u8", "<u4", "<u2", "<u4") for b in group.column("blob").to_pylist()]
+        rows = group.filter(pa.compute.is_valid(group.column("blob")))
+        done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
+        if not rows.num_rows:
+            return done
+        cols = [unpack_columns(b, "<i8", "<i8", "<u4", "u1", "u1", "u1") for b in rows.column("blob").to_pylist()]
         own = np.concatenate([np.repeat(c[0], c[2]) for c in cols])
         mark = np.concatenate([np.repeat(c[1], c[2]) for c in cols])
-        h, c1, c2, place = (np.concatenate([c[k] for c in cols]) for k in (3, 4, 5, 6))
-        around = (c1.astype(np.uint64) << np.uint64(16)) | c2
+        h, around = (np.concatenate([unplanes(c[k], n) for c in cols]) for k, n in ((3, 5), (4, 6)))
+        steps = [unplanes(c[5], 5).astype(np.int64) for c in cols]
+        place = np.concatenate([np.cumsum((s >> 1) ^ -(s & 1)) for s in steps])
         order = np.lexsort((own, around, h))
         own, mark, h, around, place = (x[order] for x in (own, mark, h, around, place))
         new_h = np.concatenate(([True], np.diff(h) != 0))
@@ -165,23 +220,25 @@ def meet(found: DataFrame) -> DataFrame:
         kind = np.where(own > least_c, DECIDED, np.where(contexts > CROWD, CROWDED, CONTEXT))
         keep = (own > least_c) | (several & (contexts > 1))
         ids, marks, kinds, places = _by_doc(own[keep], mark[keep], kind[keep], place[keep])
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "kind": pa.array(kinds, pa.int32()), "places": pa.array(places, pa.binary())})
+        return pa.concat_tables([done, _marks(ids, marks, kinds, places)])
 
-    kinds = "doc_id long, mark long, kind int, places binary"
-    return found.filter("part is not null").select("part", "blob").groupBy("part").applyInArrow(judge, kinds)
+    return found.groupBy("part").applyInArrow(judge, _MARKS)
 
 
 def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
     """From (doc_id, mark, text, open: [(kind, places)]): blobs of strings for each part."""
 
     def cut(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, marks, texts, opened = (batch.column(k).to_pylist() for k in range(4))
-            for lo, hi in chunks(texts, lambda t: len(t or ""), AT_ONCE):
+            for lo, hi in chunks(texts, lambda t: 3 * len(t), AT_ONCE):
                 held: dict[int, list] = {}
                 single: dict[bytes, list] = {}
                 for i in range(lo, hi):
-                    raw = (texts[i] or "").encode("utf-8", "replace")
+                    raw = expand(texts[i])
                     for item in opened[i]:
                         for p in np.frombuffer(item["places"], "<u4").tolist():
                             a, b = max(0, p - BEFORE), min(len(raw), p + SPAN)
@@ -199,21 +256,26 @@ def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
                     part = int.from_bytes(hashlib.blake2b(s, digest_size=6).digest(), "big") % parts
                     held.setdefault(part, []).extend((*x, s) for x in places if x[0] == least)
                 if done:
-                    yield _batch(None, None, *_by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1)), np.full(len(done), CROWDED), np.array([x[2] for x in done], np.int64)))
+                    known = _by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1)), np.full(len(done), RUNS), np.array([x[2] for x in done], np.int64))
+                    yield _batch(known[1] % parts, None, *known)
                 blobs = []
                 for entries in held.values():
                     sizes = np.array([len(e[3]) for e in entries], "<u4")
-                    blobs.append(pack_columns(*(np.array([e[k] for e in entries], "<i8") for k in (0, 1)), np.array([e[2] for e in entries], "<u4"), sizes, np.frombuffer(b"".join(e[3] for e in entries), np.uint8)))
+                    blobs.append(press.compress(pack_columns(*(np.array([e[k] for e in entries], "<i8") for k in (0, 1)), np.array([e[2] for e in entries], "<u4"), sizes, np.frombuffer(b"".join(e[3] for e in entries), np.uint8))))
                 yield _batch(list(held), blobs)
 
     return rows.select("doc_id", "mark", "text", "open").mapInArrow(cut, _OUT)
 
 
 def sort_contexts(cut: DataFrame) -> DataFrame:
-    """doc_id, mark, kind, places: starts of strings that a smaller document has too."""
+    """doc_id, mark, kind, places: runs of starts of strings that a smaller document has too."""
 
     def compare(group: pa.Table) -> pa.Table:
-        cols = [unpack_columns(b, "<i8", "<i8", "<u4", "<u4", "u1") for b in group.column("blob").to_pylist()]
+        rows = group.filter(pa.compute.is_valid(group.column("blob")))
+        done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
+        if not rows.num_rows:
+            return done
+        cols = [unpack_columns(expand(b), "<i8", "<i8", "<u4", "<u4", "u1") for b in rows.column("blob").to_pylist()]
         own, mark, start, size, data = (np.concatenate([c[k] for c in cols]) for k in range(5))
         begin = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         count = size.astype(np.int64) - SPAN + 1
@@ -224,18 +286,18 @@ def sort_contexts(cut: DataFrame) -> DataFrame:
         at = np.flatnonzero(np.concatenate(([True], np.diff(rank) != 0)))
         late = ids > np.minimum.reduceat(ids, at)[rank]
         w = order[late]
-        ids, marks, kinds, places = _by_doc(own[entry[w]], mark[entry[w]], np.full(len(w), CROWDED), start[entry[w]] + within[w])
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "kind": pa.array(kinds, pa.int32()), "places": pa.array(places, pa.binary())})
+        ids, marks, kinds, places = _by_doc(own[entry[w]], mark[entry[w]], np.full(len(w), RUNS), start[entry[w]] + within[w])
+        return pa.concat_tables([done, _marks(ids, marks, kinds, places)])
 
-    return cut.filter("part is not null").select("part", "blob").groupBy("part").applyInArrow(compare, "doc_id long, mark long, kind int, places binary")
+    return cut.groupBy("part").applyInArrow(compare, _MARKS)
 
 
 def removed_mask(n: int, marks: list[dict]) -> np.ndarray:
-    """Which of n bytes go: contexts of decided anchors, and single strings at their starts."""
+    """Which of n bytes go: contexts of decided anchors, and runs of strings by their starts."""
     change = np.zeros(n + 1, np.int64)
     for item in marks:
         p = np.frombuffer(item["places"], "<u4").astype(np.int64)
-        a, b = (np.maximum(p - BEFORE, 0), np.minimum(p + SPAN, n)) if item["kind"] == DECIDED else (p, p + SPAN)
+        a, b = (np.maximum(p - BEFORE, 0), np.minimum(p + SPAN, n)) if item["kind"] == DECIDED else (p[0::2], p[1::2] + SPAN)
         np.add.at(change, a, 1)
         np.add.at(change, b, -1)
     return np.cumsum(change[:-1]) > 0
@@ -245,12 +307,11 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), spans: what to remove, for each document with something to remove."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     parts = max(8, -(-docs.count() // PART_DOCS))
-    found = cut_lineage(find_anchors(rows, parts))
-    local = found.filter("part is null").select("doc_id", "mark", "kind", "places")
-    met = cut_lineage(meet(found))
+    met = cut_lineage(meet(find_anchors(rows, parts)))
+    release(docs.sparkSession)
     opened = met.filter(f"kind <> {DECIDED}").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("kind", "places")).alias("open"))
-    cut = cut_lineage(cut_contexts(rows.join(opened, ["doc_id", "mark"]), parts))
-    done = met.filter(f"kind = {DECIDED}").union(local).union(cut.filter("part is null").select("doc_id", "mark", "kind", "places")).union(sort_contexts(cut))
+    cut = cut_contexts(squeeze(rows, "text").join(opened, ["doc_id", "mark"]), parts)
+    done = met.filter(f"kind = {DECIDED}").union(sort_contexts(cut))
     return cut_lineage(done.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("kind", "places")).alias("spans")))
 
 
@@ -271,21 +332,24 @@ def reduced(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, str]:
         rows = rows.join(F.broadcast(keys), same, "left_semi")
     else:
         untouched = None
-    joined = rows.join(found.withColumnRenamed(mark, mark + "2"), same & (F.col(mark) == F.col(mark + "2")), "left").drop("_id", mark + "2")
-    schema = joined.drop(sp).withColumn(name, whole).schema
+    joined = squeeze(rows, "text").join(found.withColumnRenamed(mark, mark + "2"), same & (F.col(mark) == F.col(mark + "2")), "left").drop("_id", mark + "2")
+    schema = rows.withColumn(name, whole).schema
     text_at = docs.columns.index("text")
 
     def remove(batches):
         for batch in batches:
-            out = []
+            out, texts = [], []
             for t, found in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                raw = (t or "").encode("utf-8", "replace")
+                raw = b"" if t is None else expand(t)
+                texts.append(None if t is None else raw.decode("utf-8"))
                 gone = removed_mask(len(raw), found or [])
                 starts = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 out.append({"n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": starts, "kept": left.decode("utf-8", "ignore") if as_text else left})
             kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=schema.names)
+            columns = [*batch.columns[:-1], pa.array(out, kind)]
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     out = joined.mapInArrow(remove, schema)
     if untouched is not None:
