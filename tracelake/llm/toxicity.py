@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import chunks, held_out, mix64, table, word_hashes
 
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 8000
 TABLE = 1 << 16
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 16
-EPOCHS = 4
+EPOCHS = 6
 BATCH = 16
 RATE = 0.02
 HEAD_BYTES = (4, 7)
@@ -101,6 +101,7 @@ class TextCnn:
             part = found[:, j * FILTERS : (j + 1) * FILTERS]
             for k in range(w):
                 part[: len(x) - k] += x[k:] @ f[k]
+        found[rows[:, 0] == 0] = 0  # windows that begin in the blanks between texts
         return x, found
 
     def logits(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -134,10 +135,11 @@ class TextCnn:
                 z = active @ self.out + self.start
                 d = ((1 / (1 + np.exp(-z)) - y[ids]) * weight[ids]).astype(np.float32) / len(ids)
                 back = d[:, None] * self.out * (pooled > 0)
+                live = back * (part[:, 0] != 0)[top]
                 grads = [np.zeros_like(f) for f in self.filters]
                 gx = np.zeros_like(x)
                 for j, (w, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-                    b, t = back[:, j * FILTERS : (j + 1) * FILTERS], top[:, j * FILTERS : (j + 1) * FILTERS]
+                    b, t = live[:, j * FILTERS : (j + 1) * FILTERS], top[:, j * FILTERS : (j + 1) * FILTERS]
                     for k in range(w):
                         inside = t + k < len(x)
                         place = np.minimum(t + k, len(x) - 1)
