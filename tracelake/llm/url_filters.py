@@ -61,14 +61,14 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens of a URL."""
     labels = F.split(host, r"\.")
     parts = F.array_remove(F.split(path, "/"), "")
-    last = F.coalesce(F.element_at(parts, -1), F.lit(""))
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
     names = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda q: F.concat(F.lit("query:"), q))
     found = F.concat(
         F.transform(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: F.concat(F.lit("label:"), x)),
         F.array(
             F.concat(F.lit("domain:"), domain),
-            F.concat(F.lit("top:"), F.element_at(labels, -1)),
+            F.concat(F.lit("top:"), F.try_element_at(labels, F.lit(-1))),
             F.concat(F.lit("part:"), F.coalesce(F.get(parts, F.lit(0)), F.lit(""))),
             F.concat(F.lit("shape:"), F.regexp_replace(F.regexp_replace(last, r"\.\w+$", ""), r"^(\d)\d*$", "$1N")),
             F.concat(F.lit("ext:"), F.regexp_extract(last, r"\.(\w+)$", 1)),
