@@ -87,3 +87,24 @@ def in_domain(c: Column, domain: str) -> Column:
 def canonical_model(model: Column) -> Column:
     """Lower case, trimmed, blanks to dashes."""
     return F.replace(F.lower(F.trim(model)), F.lit(" "), F.lit("-"))
+
+
+#: Payload types of a record log that belong to each kind of search.
+LOGGED = {"message": ("user_message", "agent_message", "message", "text"), "reasoning": ("agent_reasoning",), "tool_call": CALL_PAYLOADS, "tool_result": RESULT_PAYLOADS}
+SEARCHED_KINDS = ("message", "reasoning", "event_msg")
+UNSEARCHED_PAYLOADS = ("token_count", "task_started", "task_complete", "turn_aborted", "item_completed")
+
+
+def of_kinds(kind: Column, payload: Column, wanted: tuple[str, ...]) -> Column:
+    """Events of any wanted kind, or logged as such."""
+    return _any((kind == k) | ((kind == "event_msg") & payload.isin(*LOGGED[k])) for k in wanted)
+
+
+def searched_by_default(kind: Column, payload: Column, with_tools: bool = False) -> Column:
+    """What a search without kinds sees."""
+    return payload != "token_count" if with_tools else kind.isin(*SEARCHED_KINDS) & ~payload.isin(*UNSEARCHED_PAYLOADS)
+
+
+def says_little(actor: Column, payload: Column) -> Column:
+    """System notes that a context view leaves out."""
+    return (F.lower(actor) == "system") & F.lower(payload).isin("progress", "file_history_snapshot", "system")

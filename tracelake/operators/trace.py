@@ -116,3 +116,39 @@ def number_siblings(df: DataFrame, uid: str, order: list[str]) -> DataFrame:
     w = Window.partitionBy(uid)
     n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
     return df.withColumn(uid, F.when(n > 1, F.concat(F.col(uid), F.lit("#"), k.cast("string"))).otherwise(F.col(uid)))
+
+
+def session_steps(trace: DataFrame) -> DataFrame:
+    """Steps of a session: user and assistant messages, thoughts, and calls with the result that answered them and its delay."""
+    calls = pair_tools(trace).filter("call_uid is not null").select("session_id", "call_uid", "result_uid")
+    results = trace.select("session_id", F.col("event_uid").alias("result_uid"), F.col("text_content").alias("result_text"), F.col("event_ts").alias("result_ts"))
+    answered = calls.join(results, ["session_id", "result_uid"]).select("session_id", F.col("call_uid").alias("event_uid"), "result_uid", "result_text", "result_ts")
+    kind = F.col("event_kind")
+    step = F.when(is_user_message(), "user").when((kind == "message") & (F.col("actor_kind") == "assistant"), "assistant").when(kind == "reasoning", "thinking").when(kind == "tool_call", "tool_call")
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    rows = trace.withColumn("step", step).filter("step is not null").join(answered, ["session_id", "event_uid"], "left")
+    return rows.select("session_id", "turn_seq", "event_order", "event_uid", "step", "result_uid", "result_text", (ms("result_ts") - ms("event_ts")).alias("result_ms"))
+
+
+def turn_tokens(trace: DataFrame) -> DataFrame:
+    """Token maps of a turn added up by bucket."""
+    rows = trace.select("session_id", "turn_seq", F.explode("token_usage_buckets").alias("token_bucket", "n"))
+    return rows.groupBy("session_id", "turn_seq", "token_bucket").agg(F.sum(F.greatest("n", F.lit(0))).alias("tokens"))
+
+
+def completed_by_list(trace: DataFrame, terminal: tuple[str, ...] = ("task_complete", "turn_aborted")) -> DataFrame:
+    """A session is complete if its latest terminal event is task_complete and lies in its last turn."""
+    end = F.col("payload_type").isin(*terminal)
+    last = lambda c: F.max_by(F.when(end, F.col(c)), F.when(end, F.col("event_order")))
+    rows = trace.groupBy("session_id").agg(last("payload_type").alias("_p"), last("turn_seq").alias("_t"), F.max("turn_seq").alias("_n"))
+    return rows.select("session_id", F.coalesce((F.col("_p") == "task_complete") & (F.col("_t") == F.col("_n")), F.lit(False)).alias("completed"))
+
+
+def hit_details(hits: DataFrame, trace: DataFrame) -> DataFrame:
+    """Hits (session_id, event_uid, score) with their place in session and turn, and the score against the best one."""
+    from pyspark.sql import Window
+
+    place = trace.select("session_id", "event_uid", "event_order", "turn_seq", "event_ordinal")
+    totals = trace.groupBy("session_id").agg(F.max("turn_seq").alias("total_turns"), F.count(F.lit(1)).alias("total_events"))
+    best = F.max("score").over(Window.partitionBy(F.lit(0)))  # hits are one page
+    return hits.join(place, ["session_id", "event_uid"]).join(totals, "session_id").withColumn("score_share", F.round(F.col("score") / best, 6))

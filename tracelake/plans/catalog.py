@@ -405,6 +405,85 @@ def display_labels(spark, d):
     return first.select("session_id", sessions.display_label(none, F.col("t"), none, none, none, F.concat(F.lit("session "), F.col("session_id"))).alias("label"))
 
 
+@query(f"{EV} SELECT event_uid FROM ev WHERE event_kind IN ('message', 'reasoning', 'event_msg') AND payload_type NOT IN ('token_count', 'task_started', 'task_complete', 'turn_aborted', 'item_completed')")
+def default_search_visibility(spark, d):
+    e = activity_events(spark, d)
+    return e.filter(classify.searched_by_default(F.col("event_kind"), F.col("payload_type"))).select("event_uid")
+
+
+@query(f"{EV} SELECT event_uid FROM ev WHERE event_kind = 'message' OR event_kind = 'reasoning' OR (event_kind = 'event_msg' AND payload_type IN ('user_message', 'agent_message', 'message', 'text', 'agent_reasoning'))")
+def event_kind_filter(spark, d):
+    e = activity_events(spark, d)
+    return e.filter(classify.of_kinds(F.col("event_kind"), F.col("payload_type"), ("message", "reasoning"))).select("event_uid")
+
+
+@query(f"{EV} SELECT session_id, turn_seq, token_bucket, CAST(sum(greatest(n, 0)) AS BIGINT) AS tokens FROM (SELECT session_id, turn_seq, 'value' AS token_bucket, whole AS n FROM te UNION ALL SELECT session_id, turn_seq, 'k', request_id FROM te) GROUP BY ALL")
+def turn_token_totals(spark, d):
+    return trace.turn_tokens(_te(spark, d))
+
+
+@query(f"""{EV}, x AS (SELECT session_id, max(turn_seq) AS n, arg_max(payload_type, event_order) FILTER (WHERE payload_type IN ('task_complete', 'turn_aborted')) AS p,
+  arg_max(turn_seq, event_order) FILTER (WHERE payload_type IN ('task_complete', 'turn_aborted')) AS t FROM te GROUP BY session_id) SELECT session_id, coalesce(p = 'task_complete' AND t = n, false) AS completed FROM x""")
+def session_completed(spark, d):
+    return trace.completed_by_list(_te(spark, d))
+
+
+@query(_SQL["tool_pairing"].replace("SELECT r.session_id, r.turn_seq", ", pr AS (SELECT r.session_id, r.turn_seq", 1) + """)
+  SELECT e.session_id, e.turn_seq, e.event_order, e.event_uid, CASE WHEN e.event_kind = 'tool_call' THEN 'tool_call' WHEN e.event_kind = 'message' THEN e.actor_kind END AS step,
+    g.event_uid AS result_uid, g.text_content AS result_text, epoch_us(g.event_ts) // 1000 - epoch_us(e.event_ts) // 1000 AS result_ms
+  FROM te e LEFT JOIN pr ON pr.call_uid = e.event_uid AND pr.session_id = e.session_id LEFT JOIN te g ON g.event_uid = pr.result_uid AND g.session_id = e.session_id WHERE e.event_kind IN ('tool_call', 'message')""")
+def session_steps(spark, d):
+    return trace.session_steps(_te(spark, d))
+
+
+@query(f"{EV} SELECT event_uid, event_ts, session_id, coalesce(json_extract_string(props, '$.k'), '') AS web_query FROM ev WHERE tool_name = 'tool1' ORDER BY event_ts DESC, event_uid LIMIT 100")
+def web_feed(spark, d):
+    e = activity_events(spark, d)
+    as_json = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("query")))
+    web = e.withColumns({"payload_json": as_json, "tool_name": F.when(F.col("tool_name") == "tool1", "WebSearch").otherwise("other")})
+    return analytics.web_feed(web).select("event_uid", "event_ts", "session_id", "web_query")
+
+
+@query(f"{CV} SELECT session_id, turn_seq, {COUNTS} FROM tc WHERE turn_seq > 1 GROUP BY session_id, turn_seq ORDER BY session_id, turn_seq LIMIT {PAGE}")
+def list_turns(spark, d):
+    rows = trace.turn_summary(_tc(spark, d)).filter("turn_seq > 1").drop("started_at", "ended_at")
+    return rows.orderBy("session_id", "turn_seq").limit(PAGE)
+
+
+@query(f"{EV} SELECT session_id, event_order, event_uid FROM te WHERE session_id = '3' AND (event_order < 40) ORDER BY event_order DESC LIMIT {PAGE + 1}")
+def list_session_events_reverse(spark, d):
+    # the session is a key, so the filter goes below the window to the scan
+    rows = trace.conversation_trace(activity_events(spark, d).filter("session_id = '3'"))
+    return rows.filter("event_order < 40").orderBy(F.desc("event_order")).limit(PAGE + 1).select("session_id", "event_order", "event_uid")
+
+
+@query(f"""{CV}, h AS (SELECT session_id, event_uid, CAST(length(text_content) AS DOUBLE) AS score FROM cv WHERE actor_kind = 'user' ORDER BY score DESC, event_uid LIMIT 25), o AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_seq ORDER BY event_order) AS event_ordinal FROM tc),
+  n AS (SELECT session_id, max(turn_seq) AS total_turns, count(*) AS total_events FROM tc GROUP BY session_id)
+  SELECT h.session_id, h.event_uid, h.score, o.event_order, o.turn_seq, o.event_ordinal, n.total_turns, n.total_events, round(h.score / (SELECT max(score) FROM h), 6) AS score_share FROM h JOIN o ON o.session_id = h.session_id AND o.event_uid = h.event_uid JOIN n ON n.session_id = h.session_id""")
+def hit_details(spark, d):
+    hits = conversation_events(spark, d).filter("actor_kind = 'user'").select("session_id", "event_uid", F.length("text_content").cast("double").alias("score"))
+    return trace.hit_details(hits.orderBy(F.desc("score"), "event_uid").limit(25), _tc(spark, d))
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES))
+def table_summaries(spark, d):
+    out = None
+    for t in _TABLES:
+        one = table(spark, d, t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(DISTINCT source) AS sources FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src4') GROUP BY lang HAVING count(*) >= 2")
+def filtered_rollup(spark, d):
+    rows = table(spark, d, "documents").filter(F.col("source").isin("src1", "src2", "src3", "src4"))
+    per = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("c"))
+    return per.groupBy("lang").agg(F.sum("n").alias("docs"), F.sum("c").alias("n_chars"), F.count(F.lit(1)).alias("sources")).filter("docs >= 2")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
