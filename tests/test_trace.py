@@ -97,3 +97,39 @@ def test_status_is_three_valued():
     assert analytics.ingest_status(1000, None, None, 0)["health"] == "unknown"
     assert analytics.ingest_status(1000, 900, 0, 0) == {"health": "healthy", "freshness": "fresh", "readiness": "ready"}
     assert analytics.ingest_status(99_000, 900, 0, 0)["freshness"] == "stale"
+
+
+def test_text_at_any_depth(spark):
+    from tracelake.functions.json_text import message_text
+
+    rows = ['{"content": [{"text": "a"}, {"content": {"thinking": "b", "input": "c"}}, 5, " "]}', "plain", None, '["x", ["y"]]', '{"other": "z"}']
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r.t for r in df.select(message_text(F.col("t")).alias("t")).collect()] == ["a\nb\nc", "plain", "", "x\ny", ""]
+
+
+def test_paths_and_windows(spark):
+    from tracelake.functions.paths import analytics_window, normal_path
+
+    df = spark.createDataFrame([("/a/../../b/./c",), ("../x/..//y",), ("",), ("/",)], "p string")
+    assert [r.p for r in df.select(normal_path(F.col("p")).alias("p")).collect()] == ["/b/c", "../y", "", "/"]
+    e = spark.createDataFrame([("2024-01-01 10:00:00",), ("2024-01-02 11:00:00",)], "event_ts string").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    row = analytics_window(e, "2024-01-01 12:00:00", "6h").first()
+    assert str(row.display_end) == "2024-01-01 10:00:00" and row.bucket_seconds == 300
+
+
+def test_json_api(spark, sf):
+    import json
+
+    from tracelake.api import Conversations
+    from tracelake.plans.canonical import conversation_events
+
+    c = Conversations(conversation_events(spark, sf))
+    first = json.loads(c.list_conversations_json(3))
+    second = json.loads(c.list_conversations_json(3, first["next_cursor"]))
+    seen = [x["session_id"] for x in first["items"] + second["items"]]
+    assert len(seen) == 6 == len(set(seen))
+    one = json.loads(c.get_conversation_json(seen[0], include_turns=True))
+    assert one["total_turns"] == max(t["turn_seq"] for t in one["turns"]) and c.get_conversation_json("nobody") == "null"
+    hits = json.loads(c.search_events_json("the", 5))
+    assert 0 < len(hits) <= 5 and hits == sorted(hits, key=lambda h: (-h["score"], h["event_uid"]))
+    assert json.loads(c.search_conversations_json("the and", 5, 2))

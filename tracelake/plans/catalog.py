@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import classify, redaction
 from tracelake.functions.text import compact, ends_with_path, entropy, path_tokens, snippet, tokens
-from tracelake.operators import analytics, search, sessions, trace
+from tracelake.functions.paths import normal_path
+from tracelake.operators import analytics, attention, search, sessions, trace
 from tracelake.plans.canonical import ACTIVITY_SQL, CONVERSATIONS_SQL, activity_events, conversation_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,6 +485,43 @@ def filtered_rollup(spark, d):
     return per.groupBy("lang").agg(F.sum("n").alias("docs"), F.sum("c").alias("n_chars"), F.count(F.lit(1)).alias("sources")).filter("docs >= 2")
 
 
+def _touched(spark, d):
+    """Activity as tool events: some record their path, all name it in their tokens."""
+    e = activity_events(spark, d).filter("tool_call_id is not null")
+    path = F.concat(F.lit("src/m"), (F.col("request_id") % 6).cast("string"), F.lit(".py"))
+    exact = F.col("request_id") % 2 == 0
+    return e.withColumns({
+        "tool_phase": F.when(F.col("model") == "view", "request").otherwise("response"), "project_id": F.when(exact, "git:p").otherwise(""), "repo_rel_path": F.when(exact, path).otherwise(""),
+        "path_tokens": F.array(F.concat(F.lit("/w"), (F.col("request_id") % 3).cast("string"), F.lit("/"), path), F.lit("other.txt")),
+    })
+
+
+TOUCHED = f"""{EV}, th AS (SELECT session_id, event_uid, event_ts, tool_call_id, tool_name, CASE WHEN request_id % 2 = 0 THEN 'exact' ELSE 'suffix' END AS basis,
+  CASE WHEN request_id % 2 = 0 THEN 'src/m' || (request_id % 6) || '.py' ELSE '/w' || (request_id % 3) || '/src/m' || (request_id % 6) || '.py' END AS touched_path
+  FROM ev WHERE model = 'view' AND request_id % 6 IN (3, 4) AND 'src/m' || (request_id % 6) || '.py' = 'src/m{{k}}.py')"""
+
+
+@query(TOUCHED.format(k=3) + " SELECT * FROM th")
+def file_attention_suffix(spark, d):
+    return attention.touches(_touched(spark, d), "src/m3.py")
+
+
+@query(TOUCHED.format(k=4) + " SELECT * FROM th ORDER BY event_ts DESC, event_uid LIMIT 101")
+def file_attention_timeline(spark, d):
+    return attention.timeline(attention.touches(_touched(spark, d), "src/m4.py", "git:p"), 100)
+
+
+@query(TOUCHED.format(k=3) + ", r AS (SELECT regexp_replace(left(touched_path, length(touched_path) - 9), '/$', '') AS root, event_ts FROM th) SELECT root, count(*) AS touches, min(event_ts) AS first_touch, max(event_ts) AS last_touch, (SELECT count(DISTINCT root) FROM r) > 1 AS ambiguous FROM r GROUP BY root")
+def file_attention_roots(spark, d):
+    return attention.roots(attention.touches(_touched(spark, d), "src/m3.py"), "src/m3.py")
+
+
+@query("SELECT event_id, '/a/' || event_type || '/' || (event_id % 10) AS path FROM events")
+def path_normalization(spark, d):
+    raw = F.concat(F.lit("/a/./x/../"), F.col("event_type"), F.lit("//y/../"), (F.col("event_id") % 10).cast("string"), F.lit("/"))
+    return table(spark, d, "events").select("event_id", normal_path(raw).alias("path"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
