@@ -138,3 +138,22 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", x["n_words"].alias("n_words"), x["n_windows"].alias("n_windows"), F.size(x["licenses"]).cast("long").alias("n_licenses"),
         F.array_join(x["licenses"]["license"], ",").alias("licenses"), F.coalesce(F.round(F.array_max(x["licenses"]["containment"]), 6), F.lit(0.0)).alias("containment"),
     )
+
+
+def oracle(templates: dict[str, str] = TEMPLATES) -> str:
+    """DuckDB SQL of op1_license_scan: shingles are looked for as words between blanks, without hashes."""
+    import re
+
+    found = []
+    for name, text in sorted(templates.items()):
+        w = [x for x in re.split(r"[^a-z0-9]+", text.lower()) if x]
+        parts = sorted({" ".join(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)})
+        hits = " + ".join(f"CAST(contains(s, ' {x} ') AS INTEGER)" for x in parts)
+        found.append(f"{{'license': '{name}', 'c': ({hits}) / CAST({len(parts)} AS DOUBLE)}}")
+    return rf"""
+WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS s FROM documents),
+n AS (SELECT doc_id, s, CASE WHEN trim(s) = '' THEN 0 ELSE len(string_split(trim(s), ' ')) END AS n_words FROM t),
+f AS (SELECT doc_id, n_words, greatest(n_words - {SHINGLE - 1}, 0) AS k, list_filter([{", ".join(found)}], lambda x: x.c >= {CONTAINMENT}) AS l FROM n)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(CASE WHEN k > 0 THEN ceil(greatest(k - {WINDOW}, 0) / {STEP}.0) + 1 ELSE 0 END AS BIGINT) AS n_windows, CAST(len(l) AS BIGINT) AS n_licenses,
+  array_to_string(list_transform(l, lambda x: x.license), ',') AS licenses, coalesce(round(list_max(list_transform(l, lambda x: x.c)), 6), 0.0) AS containment
+FROM f"""
