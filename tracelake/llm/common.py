@@ -37,6 +37,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What empties the caches that modules keep in a worker between tasks.
+CACHES: list = []
+
+
+def clear_caches() -> None:
+    """Called by tasks that need much memory: a worker may serve another operator's tasks before."""
+    for clear in CACHES:
+        clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free in this worker back to the machine, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Have the shuffle files of frames that are no longer referenced deleted now, not when memory next runs short."""
     import gc
@@ -135,3 +156,12 @@ def chunks(values: list, size_of, most: int = 2_000_000):
         total += n
     if begin < len(values):
         yield begin, len(values)
+
+
+def slices(batches, column: int, most: int = 1_000_000):
+    """Arrow batches cut so that a text or binary column has at most `most` bytes in each (one row at least)."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        for lo, hi in chunks(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), int, most):
+            yield batch.slice(lo, hi - lo)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import BROADCAST_ROWS, chunks, cut_lineage, mix64, small_join, table, word_hashes
+from tracelake.llm.common import BROADCAST_ROWS, chunks, clear_caches, cut_lineage, mix64, small_join, table, word_hashes
 from tracelake.llm.components import connected_components
 
 SHINGLE = 5
@@ -129,6 +129,7 @@ def frequent_words(docs: DataFrame, floor: float = FLOOR) -> Weights:
     """
 
     def task_counts(batches):
+        clear_caches()
         held, n = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -140,7 +141,7 @@ def frequent_words(docs: DataFrame, floor: float = FLOOR) -> Weights:
                 h, doc = h[order], doc[order]
                 new = np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
                 held.append(np.unique(h[new], return_counts=True))
-                if sum(len(k) for k, _ in held) > 4_000_000:
+                if sum(len(k) for k, _ in held) > 1_500_000:
                     held = [_merge(held)]
         return (*_merge(held), n)
 
@@ -179,6 +180,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
+        clear_caches()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts, lambda t: len(t or ""), 1_000_000):
@@ -200,6 +202,7 @@ def contents(rows: DataFrame, weights: Weights) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def pack(batches):
+        clear_caches()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts, lambda t: len(t or "")):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import chunks, table
+from tracelake.llm.common import CACHES, chunks, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,6 +31,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Runs whose ids a worker remembers; beyond it the memory starts anew.
 CACHED_RUNS = 1_200_000
 #: Separators of str.split that are ordinary characters for the tokenizer, and the start of special tokens.
+STAGE_RUNS = 250_000
 #: The runs that the vocabulary's tokens stay in, and the end mark of a run's last token.
 RUN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 RUN_END = "</w>"
@@ -66,6 +67,7 @@ class RunEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(RUN_END)]] = True
         self.runs: dict[str, bytes] = {}
+        self.most = CACHED_RUNS
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -93,7 +95,7 @@ class RunEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._runs(t) for t in texts]
-        if len(self.runs) > CACHED_RUNS:
+        if len(self.runs) > self.most:
             self.runs.clear()
         self._learn_runs(list(set().union(*(runs for runs in split if runs)) - self.runs.keys()))
         get = self.runs.__getitem__
@@ -106,6 +108,9 @@ def encoder_for(path: str) -> RunEncoder:
     return RunEncoder(path)
 
 
+CACHES.append(encoder_for.cache_clear)
+
+
 class CapacityTree:
     """Segment tree over capacities 0..n: which of them some open bin has left."""
 
@@ -160,13 +165,14 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cached_runs: int = CACHED_RUNS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and the checksum of its ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
     def encode(batches):
         encoder = encoder_for(path)
+        encoder.most = cached_runs
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -186,10 +192,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, cached_runs: int = CACHED_RUNS) -> DataFrame:
     """One row per piece with its sequence_id and offset."""
     shards = max(1, -(-docs.count() // shard_docs))
-    cut = pieces(docs, path or vocabulary_path(), capacity)
+    cut = pieces(docs, path or vocabulary_path(), capacity, cached_runs)
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
 
@@ -207,4 +213,4 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: where every piece of every document goes."""
-    return pack(docs)
+    return pack(docs, cached_runs=STAGE_RUNS)  # other stages want the workers' memory too

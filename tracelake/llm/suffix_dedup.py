@@ -25,11 +25,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import BROADCAST_ROWS, chunks, cut_lineage, free_name, mix64, prefix_sums, release, table
+from tracelake.llm.common import BROADCAST_ROWS, clear_caches, cut_lineage, free_name, mix64, prefix_sums, release, slices, table
 from tracelake.llm.deep_shallow import order_windows
 
 SPAN = 50
@@ -37,9 +37,11 @@ GRAM = 20
 BEFORE = SPAN - GRAM
 #: Contexts of one anchor beyond which its strings are dealt out one by one.
 CROWD = 2000
-PART_DOCS = 4000
+PART_DOCS = 3000
+#: Parts of contexts for one of anchors; a context takes its whole text along.
+CONTEXT_PARTS = 4
 #: Bytes of text that a task works on at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 600_000
 DECIDED, CONTEXT, CROWDED, RUNS = 0, 1, 2, 3
 
 
@@ -67,6 +69,17 @@ def unplanes(data: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def steps_of(numbers: np.ndarray) -> np.ndarray:
+    """Differences of neighbours with the sign in the lowest bit; small for numbers in near order."""
+    d = np.diff(numbers.astype(np.int64), prepend=0)
+    return ((d << 1) ^ (d >> 63)).view(np.uint64)
+
+
+def from_steps(steps: np.ndarray) -> np.ndarray:
+    z = steps.astype(np.uint64)
+    return np.cumsum(((z >> np.uint64(1)) ^ (np.uint64(0) - (z & np.uint64(1)))).view(np.int64))
+
+
 def sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     """least (np.minimum or np.maximum) of `width` values from each position."""
     out, have = values, 1
@@ -117,11 +130,43 @@ def runs_of(places: np.ndarray) -> np.ndarray:
     return np.stack((places[new], places[np.append(new[1:], len(places)) - 1]), 1).astype("<u4")
 
 
-_MARKS = "doc_id long, mark long, kind int, places binary"
+_MARKS = "bucket int, blob binary"
+
+
+def _marks(known: pa.Table, ids, marks, kinds, places, buckets: int) -> pa.Table:
+    """Rows (bucket, blob) of what is known (doc_id, mark, kind, places) and found; a document's marks meet in its bucket."""
+    ids = np.concatenate((known.column("doc_id").to_numpy(), ids)).astype(np.int64)
+    marks = np.concatenate((known.column("mark").to_numpy(), marks)).astype(np.int64)
+    kinds = np.concatenate((known.column("kind").to_numpy(), kinds)).astype(np.uint8)
+    places = known.column("places").to_pylist() + list(places)
+    bucket = (mix64(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + marks.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    numbers = np.flatnonzero(np.diff(cuts))
+    blobs = []
+    for k in numbers.tolist():
+        own = order[cuts[k] : cuts[k + 1]]
+        held = [places[i] for i in own.tolist()]
+        blobs.append(pack_columns(ids[own], marks[own].astype("<u4"), kinds[own], np.array([len(x) for x in held], "<u4"), np.frombuffer(b"".join(held), np.uint8)))
+    return pa.table({"bucket": pa.array(numbers, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
 
+def gather(marks: DataFrame, name: str, kinds: tuple[int, ...]) -> DataFrame:
+    """doc_id, mark and an array column of (kind, places) of the wanted kinds, from rows (bucket, blob)."""
 
-def _marks(ids, marks, kinds, places) -> pa.Table:
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "kind": pa.array(kinds, pa.int32()), "places": pa.array(places, pa.binary())})
+    def collect(group: pa.Table) -> pa.Table:
+        clear_caches()
+        found: dict[tuple[int, int], list] = {}
+        for blob in group.column("blob").to_pylist():
+            ids, own, kind, sizes, data = unpack_columns(blob, "<i8", "<u4", "u1", "<u4", "u1")
+            raw, ends = data.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
+            for i, m, k, end, size in zip(ids.tolist(), own.tolist(), kind.tolist(), ends, sizes.tolist(), strict=True):
+                if k in kinds:
+                    found.setdefault((i, m), []).append({"kind": k, "places": raw[end - size : end]})
+        item = pa.struct([("kind", pa.int32()), ("places", pa.binary())])
+        return pa.table({"doc_id": pa.array([k[0] for k in found], pa.int64()), "mark": pa.array([k[1] for k in found], pa.int64()), name: pa.array(list(found.values()), pa.list_(item))})
+
+    return marks.groupBy("bucket").applyInArrow(collect, f"doc_id long, mark long, {name} array<struct<kind: int, places: binary>>")
 
 
 _OUT = "part int, blob binary, doc_id long, mark long, kind int, places binary"
@@ -145,7 +190,7 @@ def squeeze(rows: DataFrame, column: str) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches, at, 4 * AT_ONCE):
             columns = list(batch.columns)
             columns[at] = pa.array([None if t is None else press.compress(t.encode("utf-8", "replace")) for t in columns[at].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -163,53 +208,56 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
     """From (doc_id, mark, text): blobs of anchors for each part, and places decided within the task."""
 
     def find(batches):
-        for batch in batches:
-            ids, marks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for lo, hi in chunks(texts, lambda t: len(t or ""), AT_ONCE):
-                data, offsets = _laid(texts[lo:hi])
-                at, doc, h, around = anchors(data, offsets)
-                if not len(at):
-                    continue
-                own, mark, place = ids[lo:hi][doc], marks[lo:hi][doc], at - offsets[doc]
-                key = mix64(h ^ (around * np.uint64(0x9E3779B97F4A7C15)))
-                order = np.lexsort((own, key))
-                new = np.concatenate(([True], np.diff(key[order]) != 0))
-                first = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-                late = own[order] > first
-                known = _by_doc(own[order][late], mark[order][late], np.full(late.sum(), DECIDED), place[order][late])
-                yield _batch(known[1] % parts, None, *known)
-                left = np.sort(order[~late])
-                part = (h[left] % np.uint64(parts)).astype(np.int64)
-                left = left[np.argsort(part, kind="stable")]
-                cuts = np.searchsorted(np.sort(part), np.arange(parts + 1))
-                blobs, numbers = [], []
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    x = left[cuts[p] : cuts[p + 1]]
-                    some, times = np.unique(doc[x], return_counts=True)
-                    step = np.diff(place[x], prepend=0)  # small, but where a text begins
-                    blobs.append(pack_columns(ids[lo:hi][some], marks[lo:hi][some], times.astype("<u4"), planes(h[x] // np.uint64(parts), 5), planes(around[x] >> np.uint64(16), 6), planes((step << 1) ^ (step >> 63), 5)))
-                    numbers.append(p)
-                yield _batch(numbers, blobs)
+        clear_caches()
+        for batch in slices(batches, 2, AT_ONCE):
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = _laid(batch.column(2).to_pylist())
+            at, doc, h, around = anchors(data, offsets)
+            if not len(at):
+                continue
+            own, mark, place = ids[doc], marks[doc], at - offsets[doc]
+            key = mix64(h ^ (around * np.uint64(0x9E3779B97F4A7C15)))
+            order = np.lexsort((own, key))
+            new = np.concatenate(([True], np.diff(key[order]) != 0))
+            first = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = own[order] > first
+            known = _by_doc(own[order][late], mark[order][late], np.full(late.sum(), DECIDED), place[order][late])
+            yield _batch(known[1] % parts, None, *known)
+            left = np.sort(order[~late])
+            part = (h[left] % np.uint64(parts)).astype(np.int64)
+            left = left[np.argsort(part, kind="stable")]
+            cuts = np.searchsorted(np.sort(part), np.arange(parts + 1))
+            blobs, numbers = [], []
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                x = left[cuts[p] : cuts[p + 1]]
+                some, times = np.unique(doc[x], return_counts=True)
+                blobs.append(pack_columns(planes(steps_of(ids[some]), 8), planes(marks[some], 4), planes(times, 4), planes(h[x] // np.uint64(parts), 5), planes(around[x] >> np.uint64(16), 6), planes(steps_of(place[x]), 5)))
+                numbers.append(p)
+            yield _batch(numbers, blobs)
 
     return rows.select("doc_id", "mark", "text").mapInArrow(find, _OUT)
 
 
-def meet(found: DataFrame) -> DataFrame:
-    """doc_id, mark, kind, places: what each part decides of its anchors, and what tasks have decided."""
+def meet(found: DataFrame, buckets: int) -> DataFrame:
+    """Marks (bucket, blob): what each part decides of its anchors, and what tasks have decided."""
 
     def judge(group: pa.Table) -> pa.Table:
+        clear_caches()
         rows = group.filter(pa.compute.is_valid(group.column("blob")))
         done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
         if not rows.num_rows:
-            return done
-        cols = [unpack_columns(b, "<i8", "<i8", "<u4", "u1", "u1", "u1") for b in rows.column("blob").to_pylist()]
-        own = np.concatenate([np.repeat(c[0], c[2]) for c in cols])
-        mark = np.concatenate([np.repeat(c[1], c[2]) for c in cols])
+            return _marks(done, [], [], [], [], buckets)
+        cols = [unpack_columns(b, *["u1"] * 6) for b in rows.column("blob").to_pylist()]
+        times = [unplanes(c[2], 4).astype(np.int64) for c in cols]
+        own = np.concatenate([np.repeat(from_steps(unplanes(c[0], 8)), n) for c, n in zip(cols, times, strict=True)])
+        mark = np.concatenate([np.repeat(unplanes(c[1], 4).astype(np.int64), n) for c, n in zip(cols, times, strict=True)])
         h, around = (np.concatenate([unplanes(c[k], n) for c in cols]) for k, n in ((3, 5), (4, 6)))
-        steps = [unplanes(c[5], 5).astype(np.int64) for c in cols]
-        place = np.concatenate([np.cumsum((s >> 1) ^ -(s & 1)) for s in steps])
+        place = np.concatenate([from_steps(unplanes(c[5], 5)) for c in cols])
         order = np.lexsort((own, around, h))
-        own, mark, h, around, place = (x[order] for x in (own, mark, h, around, place))
+        own, mark = own[order], mark[order]
+        h, around = h[order], around[order]
+        place = place[order].astype(np.uint32)
+        del cols, times, order
         new_h = np.concatenate(([True], np.diff(h) != 0))
         new_c = new_h | np.concatenate(([True], np.diff(around) != 0))
         at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
@@ -220,7 +268,7 @@ def meet(found: DataFrame) -> DataFrame:
         kind = np.where(own > least_c, DECIDED, np.where(contexts > CROWD, CROWDED, CONTEXT))
         keep = (own > least_c) | (several & (contexts > 1))
         ids, marks, kinds, places = _by_doc(own[keep], mark[keep], kind[keep], place[keep])
-        return pa.concat_tables([done, _marks(ids, marks, kinds, places)])
+        return _marks(done, ids, marks, kinds, places, buckets)
 
     return found.groupBy("part").applyInArrow(judge, _MARKS)
 
@@ -231,50 +279,51 @@ def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
     def cut(batches):
         import zstandard
 
+        clear_caches()
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches, 2, AT_ONCE // 3):
             ids, marks, texts, opened = (batch.column(k).to_pylist() for k in range(4))
-            for lo, hi in chunks(texts, lambda t: 3 * len(t), AT_ONCE):
-                held: dict[int, list] = {}
-                single: dict[bytes, list] = {}
-                for i in range(lo, hi):
-                    raw = expand(texts[i])
-                    for item in opened[i]:
-                        for p in np.frombuffer(item["places"], "<u4").tolist():
-                            a, b = max(0, p - BEFORE), min(len(raw), p + SPAN)
-                            if item["kind"] == CROWDED:
-                                for s in range(a, b - SPAN + 1):
-                                    single.setdefault(raw[s : s + SPAN], []).append((ids[i], marks[i], s))
-                            else:
-                                gram = raw[p : p + GRAM]
-                                part = int.from_bytes(hashlib.blake2b(gram, digest_size=6).digest(), "big") % parts
-                                held.setdefault(part, []).append((ids[i], marks[i], a, raw[a:b]))
-                done = []
-                for s, places in single.items():
-                    least = min(x[0] for x in places)
-                    done += [x for x in places if x[0] > least]
-                    part = int.from_bytes(hashlib.blake2b(s, digest_size=6).digest(), "big") % parts
-                    held.setdefault(part, []).extend((*x, s) for x in places if x[0] == least)
-                if done:
-                    known = _by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1)), np.full(len(done), RUNS), np.array([x[2] for x in done], np.int64))
-                    yield _batch(known[1] % parts, None, *known)
-                blobs = []
-                for entries in held.values():
-                    sizes = np.array([len(e[3]) for e in entries], "<u4")
-                    blobs.append(press.compress(pack_columns(*(np.array([e[k] for e in entries], "<i8") for k in (0, 1)), np.array([e[2] for e in entries], "<u4"), sizes, np.frombuffer(b"".join(e[3] for e in entries), np.uint8))))
-                yield _batch(list(held), blobs)
+            held: dict[int, list] = {}
+            single: dict[bytes, list] = {}
+            for i in range(len(ids)):
+                raw = expand(texts[i])
+                for item in opened[i]:
+                    for p in np.frombuffer(item["places"], "<u4").tolist():
+                        a, b = max(0, p - BEFORE), min(len(raw), p + SPAN)
+                        if item["kind"] == CROWDED:
+                            for s in range(a, b - SPAN + 1):
+                                single.setdefault(raw[s : s + SPAN], []).append((ids[i], marks[i], s))
+                        else:
+                            gram = raw[p : p + GRAM]
+                            part = int.from_bytes(hashlib.blake2b(gram, digest_size=6).digest(), "big") % parts
+                            held.setdefault(part, []).append((ids[i], marks[i], a, raw[a:b]))
+            done = []
+            for s, places in single.items():
+                least = min(x[0] for x in places)
+                done += [x for x in places if x[0] > least]
+                part = int.from_bytes(hashlib.blake2b(s, digest_size=6).digest(), "big") % parts
+                held.setdefault(part, []).extend((*x, s) for x in places if x[0] == least)
+            if done:
+                known = _by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1)), np.full(len(done), RUNS), np.array([x[2] for x in done], np.int64))
+                yield _batch(known[1] % parts, None, *known)
+            blobs = []
+            for entries in held.values():
+                sizes = np.array([len(e[3]) for e in entries], "<u4")
+                blobs.append(press.compress(pack_columns(*(np.array([e[k] for e in entries], "<i8") for k in (0, 1)), np.array([e[2] for e in entries], "<u4"), sizes, np.frombuffer(b"".join(e[3] for e in entries), np.uint8))))
+            yield _batch(list(held), blobs)
 
     return rows.select("doc_id", "mark", "text", "open").mapInArrow(cut, _OUT)
 
 
-def sort_contexts(cut: DataFrame) -> DataFrame:
-    """doc_id, mark, kind, places: runs of starts of strings that a smaller document has too."""
+def sort_contexts(cut: DataFrame, buckets: int) -> DataFrame:
+    """Marks (bucket, blob): runs of starts of strings that a smaller document has too."""
 
     def compare(group: pa.Table) -> pa.Table:
+        clear_caches()
         rows = group.filter(pa.compute.is_valid(group.column("blob")))
         done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
         if not rows.num_rows:
-            return done
+            return _marks(done, [], [], [], [], buckets)
         cols = [unpack_columns(expand(b), "<i8", "<i8", "<u4", "<u4", "u1") for b in rows.column("blob").to_pylist()]
         own, mark, start, size, data = (np.concatenate([c[k] for c in cols]) for k in range(5))
         begin = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
@@ -287,7 +336,7 @@ def sort_contexts(cut: DataFrame) -> DataFrame:
         late = ids > np.minimum.reduceat(ids, at)[rank]
         w = order[late]
         ids, marks, kinds, places = _by_doc(own[entry[w]], mark[entry[w]], np.full(len(w), RUNS), start[entry[w]] + within[w])
-        return pa.concat_tables([done, _marks(ids, marks, kinds, places)])
+        return _marks(done, ids, marks, kinds, places, buckets)
 
     return cut.groupBy("part").applyInArrow(compare, _MARKS)
 
@@ -303,16 +352,20 @@ def removed_mask(n: int, marks: list[dict]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def text_mark() -> Column:
+    """Tells texts of one doc_id apart: 32 bits of a hash."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), spans: what to remove, for each document with something to remove."""
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
     parts = max(8, -(-docs.count() // PART_DOCS))
-    met = cut_lineage(meet(find_anchors(rows, parts)))
+    met = cut_lineage(meet(find_anchors(rows, parts), parts))
     release(docs.sparkSession)
-    opened = met.filter(f"kind <> {DECIDED}").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("kind", "places")).alias("open"))
-    cut = cut_contexts(squeeze(rows, "text").join(opened, ["doc_id", "mark"]), parts)
-    done = met.filter(f"kind = {DECIDED}").union(sort_contexts(cut))
-    return cut_lineage(done.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("kind", "places")).alias("spans")))
+    opened = gather(met, "open", (CONTEXT, CROWDED)).filter(F.size("open") > 0)
+    cut = cut_contexts(squeeze(rows, "text").join(opened, ["doc_id", "mark"]), CONTEXT_PARTS * parts)
+    return cut_lineage(gather(met.union(sort_contexts(cut, parts)), "spans", (DECIDED, RUNS)))
 
 
 def reduced(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, str]:
@@ -322,7 +375,7 @@ def reduced(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, str]:
     """
     name, mark, sp = (free_name(docs, x) for x in ("_kept", "_mark", "_spans"))
     found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("mark").alias(mark), F.col("spans").alias(sp))
-    rows = docs.withColumn(mark, F.xxhash64("text"))
+    rows = docs.withColumn(mark, text_mark())
     same = F.col("doc_id").cast("long") == F.col("_id")
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = F.struct(F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (text if as_text else text.cast("binary")).alias("kept"))
@@ -337,7 +390,8 @@ def reduced(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, str]:
     text_at = docs.columns.index("text")
 
     def remove(batches):
-        for batch in batches:
+        clear_caches()
+        for batch in slices(batches, text_at, AT_ONCE // 3):
             out, texts = [], []
             for t, found in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 raw = b"" if t is None else expand(t)
@@ -370,3 +424,18 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows = rows.filter((k["n_removed"] == 0) | (F.length(k["kept"]) > 0))
     text = F.when(k["n_removed"] > 0, k["kept"]).otherwise(F.col("text"))
     return rows.select(*(text.alias(c) if c == "text" else F.length(text).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
+
+
+#: DuckDB SQL of op7_suffix_dedup: every 50-byte string as 100 hexadecimal digits, its least doc_id, and the spans between.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, c, substr(h, 2 * c + 1, {2 * (500 + SPAN - 1)}) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {SPAN - 1}, 500)) AS c FROM d)),
+w AS (SELECT doc_id, c + j AS i, substr(x, 2 * j + 1, {2 * SPAN}) AS s FROM (SELECT doc_id, c, x, unnest(range(0, len(x) // 2 - {SPAN - 1})) AS j FROM x)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY s) USING (s) WHERE least < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {SPAN} THEN 0 ELSE 1 END AS fresh FROM r),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM (SELECT doc_id, span, min(i) AS a, max(i) + {SPAN} AS b FROM k GROUP BY doc_id, span)),
+q AS (SELECT p.doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS tail, count(*) AS n_spans, sum(b - a) AS n_removed FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(tail, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id)"""
