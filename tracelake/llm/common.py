@@ -145,7 +145,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return h, starts, ends, offsets, data
 
 
-def chunks(values: list, size_of, most: int = 2_000_000):
+def chunks(values: list, size_of, most: int = 1_000_000):
     """Consecutive index ranges of at most `most` total size (one item at least)."""
     begin, total = 0, 0
     for i, v in enumerate(values):

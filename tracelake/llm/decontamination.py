@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import chunks, free_name, mix64, table, word_hashes
+from tracelake.llm.common import chunks, clear_caches, free_name, mix64, table, word_hashes
 
 SEED_WORDS = 3
 #: A triple in at most this share of the documents is rare.
@@ -158,6 +158,7 @@ def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def count(batches):
+        clear_caches()
         items = shared.value
         total = np.zeros(len(items.seeds), np.int64)
         for batch in batches:
@@ -196,6 +197,7 @@ def _find(docs: DataFrame, items: Items, name: str) -> DataFrame:
     place, text_at = docs.columns.index(name), docs.columns.index("text")
 
     def find(batches):
+        clear_caches()
         items, memory = shared.value, {}
         for batch in batches:
             texts = batch.column(text_at).to_pylist()

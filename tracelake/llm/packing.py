@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import CACHES, chunks, table
+from tracelake.llm.common import CACHES, chunks, table, trim
 
 CAPACITY = 2048
 END_ID = 0
@@ -188,6 +188,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cached_runs: in
                     [ids.take(pa.array(at)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        if cached_runs < CACHED_RUNS:  # other operators use this worker next
+            encoder_for.cache_clear()
+            del encoder
+            trim()
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
