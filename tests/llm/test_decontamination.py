@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 
-from tracelake.llm.decontamination import align, drop_leaks, judge, op5_decontamination
+from tracelake.llm.decontamination import align, drop_leaks, judge, op5_decontamination, reach
 
 
 def plain_align(a, b):
@@ -46,6 +46,24 @@ def test_edited_copies_and_clean_texts(spark, make_docs):
     assert {r.doc_id: [m.item_id for m in r[x]] for r in blocks.collect()} == got
 
 
+def test_widely_copied_item_keeps_all_seeds(spark, make_docs):
+    """Full copies make every triple frequent; a copy of the tail alone, and one with an edited head, are found all the same."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    item = words(40)
+    edited = ["changed" if i < 20 and i % 3 == 2 else w for i, w in enumerate(item)]
+    texts = [" ".join(words(30) + x + words(30)) for x in (item[19:], edited, item[:8], words(40))] + [" ".join(words(9) + item) for _ in range(6)]
+    rows, x = judge(make_docs(texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in rows.collect() if r[x]} == {0, 1, *range(4, 10)}
+
+
+def test_passed_over_windows_cannot_align():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (np.array([rng.randint(0, 9) for _ in range(rng.randint(1, 25))], np.uint64) for _ in range(2))
+        assert align(a, b) <= min(reach(a, b), reach(b, a))
+
+
 def test_stage_drops_only_leaks(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bad = {r.doc_id for r in op5_decontamination(spark, sf).filter("contaminated").collect()}

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A first pass counts in how many documents each word triple of the benchmark occurs. Every item keeps the triples
-that are rare in the corpus, and its rarest half in any case, as seeds. A second pass finds seeds in each text, forms windows
-around those of one item that lie close together, and aligns the item with the window word by word; the score
-is the alignment's share of the score of a full copy. Texts stay in their partitions; only counts are shuffled.
+Every word triple of an item is a seed, however frequent it is in the corpus, so a widely copied item loses none. One pass
+finds seeds in each text, forms windows around those of one item that lie close together, and aligns the item with the window
+word by word; the score is the alignment's share of the score of a full copy. Windows whose words cannot reach the
+threshold in any order are passed over (`reach`), which loses no match. Texts stay in their partitions; nothing is shuffled.
 The benchmark is held by every task in blocks of at most `BLOCK_ITEMS` items, one pass for each.
 
 Words are lower-cased, and ASCII punctuation parts them. Defined cases: null and empty texts match nothing; items of
@@ -25,8 +25,6 @@ from pyspark.sql import types as T
 from tracelake.llm.common import chunks, clear_caches, free_name, mix64, table, word_hashes
 
 SEED_WORDS = 3
-#: A triple in at most this share of the documents is rare.
-RARE_SHARE = 0.0005
 MIN_SEEDS = 2
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -52,39 +50,35 @@ def triples(words: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Benchmark items, and an index from the sorted hashes of seeds to (item, place) pairs."""
+    """Benchmark items, and an index from the sorted hashes of seeds to items."""
 
     ids: list
     words: list[np.ndarray]
     seeds: np.ndarray
     first: np.ndarray
     item: np.ndarray
-    place: np.ndarray
     needed: np.ndarray
 
 
-def index_items(ids: list, texts: list[str], df: dict[int, int] | None, n_docs: int) -> Items:
-    """df None: every triple is a seed."""
+def index_items(ids: list, texts: list[str]) -> Items:
     h, offsets = text_words(texts)
     words = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    hashes, item, place, needed = [], [], [], np.ones(len(ids), np.int64)
+    hashes, item, needed = [], [], np.ones(len(ids), np.int64)
     for k, w in enumerate(words):
-        t = triples(w, min(SEED_WORDS, len(w))) if len(w) else np.zeros(0, np.uint64)
-        places = np.arange(len(t))
-        if df is not None and len(t):
-            freq = np.array([df.get(int(x), 0) for x in t])
-            order = np.argsort(freq, kind="stable")
-            keep = freq <= max(1, RARE_SHARE * n_docs)
-            keep[order[: -(-len(t) // 2)]] = True
-            t, places = t[keep], places[keep]
-        needed[k] = min(MIN_SEEDS, len(np.unique(t)))
+        t = np.unique(triples(w, min(SEED_WORDS, len(w)))) if len(w) else np.zeros(0, np.uint64)
+        needed[k] = min(MIN_SEEDS, len(t))
         hashes.append(t)
         item.append(np.full(len(t), k))
-        place.append(places)
-    hashes, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, item, place))
+    hashes, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, item))
     order = np.argsort(hashes, kind="stable")
     seeds, first = np.unique(hashes[order], return_index=True)
-    return Items(ids, words, seeds.astype(np.uint64), np.append(first, len(order)), item[order], place[order], needed)
+    return Items(ids, words, seeds.astype(np.uint64), np.append(first, len(order)), item[order], needed)
+
+
+def reach(words: np.ndarray, others: np.ndarray) -> int:
+    """At least the score of any alignment of two word sequences: a word that the other has not costs one where it lies inside."""
+    total = np.concatenate(([0], np.cumsum(np.where(np.isin(words, others), MATCH, GAP))))
+    return int((total - np.minimum.accumulate(total)).max())
 
 
 def align(item: np.ndarray, window: np.ndarray) -> int:
@@ -122,25 +116,25 @@ def hits_of(items: Items, words: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
 
 def matches(items: Items, words: np.ndarray, positions: np.ndarray, seeds: np.ndarray, memory: dict) -> list[tuple[int, float]]:
     """(item, score) of every item that aligns well enough with one text."""
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for p, s in zip(positions.tolist(), seeds.tolist(), strict=True):
-        for k in items.item[items.first[s] : items.first[s + 1]].tolist():
-            by_item.setdefault(k, []).append((p, s))
+    kinds, kind = np.unique(seeds, return_inverse=True)
+    n = items.first[kinds + 1] - items.first[kinds]
+    owner = items.item[np.arange(n.sum()) + np.repeat(items.first[kinds] - np.cumsum(n) + n, n)]
+    own_kind = np.repeat(np.arange(len(kinds)), n)
+    order = np.argsort(owner, kind="stable")
+    owner, own_kind = owner[order], own_kind[order]
+    ks, starts, counts = np.unique(owner, return_index=True, return_counts=True)
     found = []
-    for k, hits in by_item.items():
-        if len({s for _, s in hits}) < items.needed[k]:
-            continue
+    for at in np.flatnonzero(counts >= items.needed[ks]):
+        k = int(ks[at])
         item = items.words[k]
-        m, hits, best = len(item), sorted(hits), 0
-        begin = 0
-        for j in range(1, len(hits) + 1):
-            if j < len(hits) and hits[j][0] - hits[j - 1][0] <= 2 * m:
+        m, best = len(item), 0
+        hits = np.flatnonzero(np.isin(kind, own_kind[starts[at] : starts[at] + counts[at]]))
+        for group in np.split(hits, np.flatnonzero(np.diff(positions[hits]) > 2 * m) + 1):
+            if len(group) < items.needed[k] or len(np.unique(kind[group])) < items.needed[k]:
                 continue
-            group = hits[begin:j]
-            begin = j
-            if len({s for _, s in group}) < items.needed[k]:
+            window = words[max(0, positions[group[0]] - m) : positions[group[-1]] + m + SEED_WORDS]
+            if min(reach(item, window), reach(window, item)) < THRESHOLD * MATCH * m:
                 continue
-            window = words[max(0, group[0][0] - m) : group[-1][0] + m + SEED_WORDS]
             key = (k, window.tobytes()) if len(window) < 2000 else None
             score = memory.get(key) if key else None
             if score is None:
@@ -153,42 +147,17 @@ def matches(items: Items, words: np.ndarray, positions: np.ndarray, seeds: np.nd
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """Number of documents with each seed, over all documents; as many as the items have triples."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches):
-        clear_caches()
-        items = shared.value
-        total = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in chunks(texts, lambda t: len(t or "")):
-                h, offsets = text_words(texts[lo:hi])
-                _, seeds, doc = hits_of(items, h, offsets)
-                pair = np.unique(doc * len(items.seeds) + seeds)
-                if len(pair):
-                    total += np.bincount(pair % len(items.seeds), minlength=len(items.seeds))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(items.seeds[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    return {h % (1 << 64): n for h, n in rows}
-
-
 def judge(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> tuple[DataFrame, str]:
     """docs with one more array column, and its name: (item_id, score) of every benchmark item found, best first."""
     bench = benchmark.filter("text is not null").select("item_id", "text")
     blocks = max(1, -(-bench.count() // block))
-    n_docs = docs.count()
     name = free_name(docs, "_items")
     id_type = bench.schema["item_id"].dataType
     rows = docs.withColumn(name, F.array().cast(T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("score", T.DoubleType())]))))
     for b in range(blocks):
         own = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         ids, texts = [r[0] for r in own], [r[1] for r in own]
-        df = seed_counts(docs, index_items(ids, texts, None, n_docs))
-        rows = _find(rows, index_items(ids, texts, df, n_docs), name)
+        rows = _find(rows, index_items(ids, texts), name)
     return rows, name
 
 
