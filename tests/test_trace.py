@@ -53,6 +53,22 @@ def test_redaction_is_idempotent_and_counts(spark):
     assert secret not in once.first().t
 
 
+def test_each_assigned_value_is_judged_on_its_own(spark):
+    low, secret, git = "ab" * 15, "q8Zr3LmX7vTn1KcW5yHd9BpF2sGj6", "1111222233334444aaaabbbb1234567800000000"
+    rows = [
+        (f"a token = '{low}', password: {secret} end", f"a token = '{low}', password: [REDACTED:generic-api-key] end"),
+        (f"secret={secret}\npassword={low}", f"secret=[REDACTED:generic-api-key]\npassword={low}"),
+        (f"token={git}", "token=[REDACTED:generic-api-key]"),
+        (f"API_KEY={secret} {secret}", f"API_KEY=[REDACTED:generic-api-key] {secret}"),
+        ("token=abcdefghijabcdefghijklm", "token=abcdefghijabcdefghijklm"),
+        ("token=my.example.q8Zr3LmX7vTn1KcW5yHd", "token=my.example.q8Zr3LmX7vTn1KcW5yHd"),
+        ("token=a1b2.c3d4.e5f6.g7h8.i9", "token=[REDACTED:generic-api-key]"),
+        ("token=" + "0" * 24, "token=" + "0" * 24), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [(r.got, r.want) for r in df.select(redact(F.col("t")).alias("got"), "want").collect()] == [(w, w) for _, w in rows]
+
+
 def test_cursor_round_trip_and_filters():
     c = cursor.encode({"t": 5, "id": "x"}, {"mode": "chat"})
     assert cursor.decode(c, {"mode": "chat"}) == {"t": 5, "id": "x"}
