@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tracelake.llm import language_id, toxicity
 from tracelake.llm.language_id import KneserNey, count_ngrams, encode_chars, keys4, op8_language_id
@@ -54,6 +55,28 @@ def test_toxicity_learns_held_out(spark):
     assert ((rows.score >= 0.5) == (rows.predicted == 1)).all() and rows.score.between(0, 1).all()
 
 
+def test_thresholds_count_every_labelled_row(spark, make_docs):
+    """A rare language is calibrated by rows beyond the sample of the fit."""
+    en, es = "the of and to in is that it", "el los las y por una del para"
+    texts = [f"{en if k % 10 else es} {'idiot' if k % 3 == 0 else 'garden'} w{k}" for k in range(3000)]
+    docs = make_docs(texts)
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(3000)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, 600)
+    counts = toxicity.label_counts(toxicity.raw_scores(docs, model), labels, model.fitted)
+    pool = {r.doc_id for r in docs.select("doc_id").filter(~toxicity.held_out(F.col("doc_id"))).collect()} - set(model.fitted)
+    for k, own in ((0, [i for i in pool if i % 10]), (3, [i for i in pool if i % 10 == 0])):
+        assert sum(r[4] for r in counts if r[0] == k) == sum(i % 3 == 0 for i in own)
+        assert sum(r[5] for r in counts if r[0] == k) == sum(i % 3 != 0 for i in own)
+    got = {r.doc_id: r.score for r in toxicity.calibrated(docs, labels, model).collect()}
+    assert np.mean([(got[k] >= 0.5) == (k % 3 == 0) for k in range(0, 3000, 10)]) > 0.95
+
+
+def test_each_language_has_its_own_threshold():
+    row = lambda lang, b, toxic, clean: (lang, b, b / 64, b / 64, toxic, clean)
+    moves = toxicity.thresholds([row(0, 0, 0, 500), row(0, 64, 500, 0), row(3, 128, 0, 30), row(3, 192, 30, 0), row(1, 0, 5, 0), row(1, 64, 0, 5)])
+    assert moves[0] == 0.5 and moves[3] == 2.5 and moves[1] == moves[2] == moves[4] == 0.5
+
+
 def test_toxicity_odd_texts(spark, make_docs, odd_texts):
     docs = make_docs(odd_texts)
     labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")

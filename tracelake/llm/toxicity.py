@@ -4,7 +4,9 @@ Words and their leading characters hash into one embedding table; filters of sev
 word vectors, max pooling keeps the strongest answer of each filter in the whole text, and a logistic layer
 reads them. The network is fitted on the driver on at most `TRAIN_DOCS` labelled rows, the ones with the
 smallest hashed ids; every document is scored whole, in parallel. Thresholds are calibrated for each language
-that stop words tell apart, on rows kept out of the fit, and move each score so that 0.5 is the threshold.
+that stop words tell apart, on all labelled rows outside the held-out fold and the fit, counted on Spark in narrow bins of
+the score, and move each score so that 0.5 is the threshold. A language with under `LEAST_LABELS` toxic or clean ones of these
+takes the threshold of all languages together. With under 500 labelled rows, the rows of the fit calibrate too.
 
 Defined cases: null and empty texts are scored as texts without words; with labels of one kind or none,
 every score is the share of toxic labels (0 without labels); repeated rows are scored each; extra columns are ignored.
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import chunks, held_out, mix64, table, word_hashes
+from tracelake.llm.common import chunks, cut_lineage, held_out, mix64, table, word_hashes
 
 TRAIN_DOCS = 8000
 TABLE = 1 << 16
@@ -31,6 +33,9 @@ HEAD_BYTES = (4, 7)
 SEED = 7
 #: How many false alarms a missed toxic text weighs in the calibration.
 MISS_COST = 3
+LEAST_LABELS = 20
+#: Bins of a unit of the score before the logistic function, within -LIMIT to LIMIT.
+BINS, LIMIT = 64, 30
 
 #: Frequent short words by which a text's language is guessed.
 STOP_WORDS = {
@@ -90,7 +95,8 @@ class TextCnn:
         self.bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
         self.out = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
         self.start = np.float32(0)
-        self.moves = np.zeros(len(LANGS), np.float32)
+        self.moves = np.zeros(len(LANGS))
+        self.fitted: list = []
 
     def _maps(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.table[rows[:, 0]]
@@ -160,49 +166,76 @@ class TextCnn:
                 total[unique == 0] = 0
                 step(self.table, total, unique)
 
-    def calibrate(self, rows: np.ndarray, offsets: np.ndarray, langs: np.ndarray, y: np.ndarray) -> None:
-        """For each language, the threshold of least cost; languages with few rows take the common one."""
-        z = np.concatenate([self.logits(rows[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(list(range(len(y))), lambda _: 1, 100)])
-
-        def best(z, y):
-            order = np.argsort(z, kind="stable")
-            z, y = z[order], y[order]
-            errors = MISS_COST * np.concatenate(([0], np.cumsum(y))) + np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
-            ties = np.flatnonzero(errors == errors.min())
-            cut = ties[len(ties) // 2]
-            low, high = z[max(cut - 1, 0)], z[min(cut, len(z) - 1)]
-            return (low + high) / 2
-
-        common = best(z, y) if len(y) else 0.0
-        for k in range(len(LANGS)):
-            own = langs == k
-            self.moves[k] = best(z[own], y[own]) if (y[own] == 1).sum() >= 20 and (y[own] == 0).sum() >= 20 else common
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         rows, offsets, langs = features(texts)
         z = self.logits(rows, offsets) - self.moves[langs]
-        return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(z.astype(float), -LIMIT, LIMIT)))
+
+
+def threshold(bins: list[tuple[float, float, int, int]]) -> float:
+    """The threshold of least cost, from (lowest score, highest score, toxic rows, clean rows) of bins in order of score."""
+    low, high, toxic, clean = (np.array(x) for x in zip(*bins, strict=True))
+    errors = MISS_COST * np.concatenate(([0], np.cumsum(toxic))) + np.concatenate((np.cumsum(clean[::-1])[::-1], [0]))
+    ties = np.flatnonzero(errors == errors.min())
+    cut = ties[len(ties) // 2]
+    if cut in (0, len(bins)):
+        return float(low[0] if cut == 0 else high[-1])
+    return float((high[cut - 1] + low[cut]) / 2)
+
+
+def thresholds(counts: list[tuple[int, int, float, float, int, int]]) -> np.ndarray:
+    """By language, from (language, bin, lowest score, highest score, toxic rows, clean rows) of all labelled rows."""
+    def merged(rows):
+        bins: dict[int, tuple] = {}
+        for _, b, low, high, toxic, clean in rows:
+            old = bins.get(b, (low, high, 0, 0))
+            bins[b] = (min(low, old[0]), max(high, old[1]), old[2] + toxic, old[3] + clean)
+        return [bins[b] for b in sorted(bins)]
+
+    common = threshold(merged(counts)) if counts else 0.0
+    moves = np.full(len(LANGS), common)
+    for k in range(len(LANGS)):
+        own = merged([r for r in counts if r[0] == k])
+        if min(sum(r[2] for r in own), sum(r[3] for r in own)) >= LEAST_LABELS:
+            moves[k] = threshold(own)
+    return moves
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    known = labels.filter("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
+    return known.filter(~held_out(F.col("_id")))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> TextCnn | float:
-    """The fitted classifier, or the share of toxic labels where there is nothing to tell apart."""
-    known = labels.filter("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
-    chosen = known.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    """The fitted classifier before its calibration, or the share of toxic labels where there is nothing to tell apart."""
+    chosen = known_labels(labels).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "text").limit(most).toPandas()
     y = rows["_y"].to_numpy()
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.0
     model = TextCnn()
-    check = np.arange(len(y)) % 5 == 4 if len(y) >= 500 else np.ones(len(y), bool)
-    fitted = ~check if len(y) >= 500 else check
+    fitted = np.arange(len(y)) % 5 != 4 if len(y) >= 500 else np.ones(len(y), bool)
     texts = rows["text"].tolist()
     grams, offsets, _ = all_features([t for t, ok in zip(texts, fitted, strict=True) if ok])
     model.fit(grams, offsets, y[fitted])
-    model.calibrate(*all_features([t for t, ok in zip(texts, check, strict=True) if ok]), y[check])
+    model.fitted = sorted(set(rows["_id"][fitted].tolist())) if len(y) >= 500 else []
     return model
 
 
-def score_all(docs: DataFrame, model: TextCnn | float) -> DataFrame:
+def label_counts(raw: DataFrame, labels: DataFrame, fitted: list) -> list[tuple]:
+    """What thresholds() reads, of all labelled rows but the held-out fold and the fitted ids; bounded by languages and bins."""
+    known = known_labels(labels)
+    if fitted:
+        out = raw.sparkSession.createDataFrame([(k,) for k in fitted], raw.select(F.col("doc_id").alias("_id")).schema)
+        known = known.join(F.broadcast(out), "_id", "left_anti")
+    rows = raw.select(F.col("doc_id").alias("_id"), "z", "lang").join(known, "_id")
+    toxic = F.col("_y") == 1
+    bins = rows.groupBy("lang", F.floor(F.col("z") * BINS).alias("bin")).agg(F.min("z"), F.max("z"), F.count_if(toxic), F.count_if(~toxic))
+    return [tuple(r) for r in bins.collect()]
+
+
+def raw_scores(docs: DataFrame, model: TextCnn | float) -> DataFrame:
+    """One row per document: the score before calibration and the logistic function, and the guessed language's number."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -211,13 +244,34 @@ def score_all(docs: DataFrame, model: TextCnn | float) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts, lambda t: len(t or ""), 1_000_000):
-                s = np.full(hi - lo, model) if isinstance(model, float) else model.scores(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s.astype(float))], names=["doc_id", "score"])
+                rows, offsets, langs = features(texts[lo:hi])
+                z = np.clip(model.logits(rows, offsets).astype(float), -LIMIT, LIMIT)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(z), pa.array(langs.astype(np.int32))], names=["doc_id", "z", "lang"])
+
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, z double, lang int")
+
+
+def moved(raw: DataFrame, moves: np.ndarray) -> DataFrame:
+    z = F.col("z") - F.get(F.array(*[F.lit(float(m)) for m in moves]), F.col("lang"))
+    return raw.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), z))))).alias("score"))
+
+
+def score_all(docs: DataFrame, model: TextCnn | float) -> DataFrame:
+    if isinstance(model, float):
+        return docs.select("doc_id", F.lit(model).alias("score"))
+    return moved(raw_scores(docs, model), model.moves)
+
 
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
+def calibrated(docs: DataFrame, labels: DataFrame, model: TextCnn) -> DataFrame:
+    """Scores of all documents; texts are read and scored once, and only ids, scores and languages meet the labels."""
+    raw = cut_lineage(raw_scores(docs, model))
+    model.moves = thresholds(label_counts(raw, labels, model.fitted))
+    return moved(raw, model.moves)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_all(docs, train(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    model = train(docs, labels)
+    scored = score_all(docs, model) if isinstance(model, float) else calibrated(docs, labels, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
