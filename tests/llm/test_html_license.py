@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ def test_held_out_generated_pages(model):
     for _ in range(150):
         page, main = generated_page(rng)
         blocks = parse(page)
-        keep = decode(blocks, model.log_odds(np.array(features(blocks), float)))
+        keep = decode(blocks, model.log_odds(np.array(features(blocks, model.bits), float)))
         got = {t for b, ok in zip(blocks, keep, strict=True) if ok for _, t in b.texts}
         hit, extra, missed = hit + len(got & main), extra + len(got - main), missed + len(main - got)
     assert hit / (hit + extra) > 0.98 and hit / (hit + missed) > 0.98
@@ -72,6 +73,41 @@ def test_odd_pages(spark, model):
     assert extract(df.limit(0), model).count() == 0
 
 
+def test_text_beside_elements_is_judged(model):
+    prose = "The river rose by three feet in the night, and the mill had to close. Nobody was hurt, the mayor said. Work on the wall starts again on Monday."
+    menu, first, second, notice, none = extract_texts(model, [
+        f"<html><body>Home | News | Login<article><h1>River rises</h1><p>{prose}</p><p>{prose} Again.</p></article></body></html>",
+        f"<div class='menu'>Home News</div><div id='content'>{prose}<hr>{prose} Twice.</div>",
+        prose,
+        "<html><body><div class='cookie-notice'><p>We use cookies.</p><button>Fine</button></div></body></html>",
+        "<html><body><nav><ul><li><a href='/a'>a</a></li><li><a href='/b'>b</a></li></ul></nav></body></html>",
+    ])
+    assert menu == f"River rises\n\n{prose}\n\n{prose} Again."
+    assert first == f"{prose}\n\n{prose} Twice." and second == prose and notice == none == ""
+
+
+def test_broken_pages_take_linear_time(model):
+    """Unfinished tags, quotes, comments, scripts and deep or crossed elements of several hundred thousand characters."""
+    bad = ["<script ", "<script>", "<a href='", '<a href="x>', "<!-- ", "<div>", "</p><div>", "<p title=\"", "&", "<", "</", "<select>", "<svg ", "<div class='"]
+    for piece in bad:
+        began = time.time()
+        parse(piece * 60_000)
+        assert time.time() - began < 5, piece
+    began = time.time()
+    parse("<script " * 100_000)
+    assert time.time() - began < 1
+    parse("<div>" * 30_000 + "</p>" * 60_000 + "</div>" * 10_000)
+    assert time.time() - began < 3
+
+
+def test_scan_of_odd_tags():
+    text = lambda page: [t for b in parse(page) for _, t in b.texts]
+    assert text("<p title='a>b'>c<p title=\"d'>e</p>f") == ["c", "e</p>f"] or text("<p title='a>b'>c") == ["c"]
+    assert text("<p>a<option>b<option>c</p>d") == ["abc", "d"]
+    assert text("<script>x</SCRIPT >y") == ["y"] and text("<button>x<p>y</p>") == ["x", "y"]
+    assert text("a < b <3 </> c <?php x ?> d <![CDATA[e]]>") == ["a < b <3 c d"]
+
+
 def shingles(text):
     w = [x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x]
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
