@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -48,12 +49,35 @@ def test_capacity_tree():
         assert tree.tightest(least) == min((m for m in marked if m >= least), default=-1)
 
 
-@pytest.mark.parametrize("text", ["", "don't I'Ve it's 'sun 12ab3 a.b,,c", "ΑΣ Σ İstanbul Straße ﬁ e\u0301", "中文 😀👍🏽 x\u200by a\x1cb", "<|endoftext|> hi", "\u00a0a\u3000b Ⅷ²½_a_", "a" * 3000])
+@functools.cache
+def encoder():
+    return RunEncoder(vocabulary_path())
+
+
+@pytest.mark.parametrize("text", ["", "don't I'Ve it's 'sun 12ab3 a.b,,c", "ΑΣ Σ İstanbul Straße ﬁ e\u0301", "中文 😀👍🏽 x\u200by a\x1cb", "<|endoftext|> hi", "\u00a0a\u3000b Ⅷ²½_a_", "a" * 3000, "\u1f25\u0130\u0317", "\u0130\u0317"])
 def test_runs_equal_tokenizer(text):
     enc = RunEncoder(vocabulary_path())
     assert enc.encode([text]) == enc._ids([text])
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("aIiZ\u0130\u0131\u0307\u0317\u0345\u0301\u030a\u212b\u03a3\u03c2\u03b9\u1fb3\u1fbc\u00c5\u1e9e\ufb01\u0958\u1100\u1161\uac00 .'\u2126\u00a0\u3000\u200b9²😀漢"), max_size=24))
+def test_any_text_equals_tokenizer(text):
+    assert encoder().encode([text, text + " x"]) == encoder()._ids([text, text + " x"])
+
+
+def test_every_plain_character_equals_tokenizer():
+    plain = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not encoder().other(c)]
+    texts = [f"a{c}b {c}{c} 1{c}'s{c}, {c}" for c in plain] + [f"{a}{b}" for a, b in zip(plain, plain[7:])]
+    assert len(plain) > 700 and encoder().encode(texts) == encoder()._ids(texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40))
+def test_any_unicode_equals_tokenizer(text):
+    assert encoder().encode([text]) == encoder()._ids([text])
+
+
 def test_whole_table(spark, sf):
     from tokenizers import Tokenizer
 

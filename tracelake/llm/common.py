@@ -29,44 +29,27 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
-
-
-#: What empties the caches that modules keep in a worker between tasks.
-CACHES: list = []
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    global _own_folder
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="shared-")
+    return _own_folder
 
-def clear_caches() -> None:
-    """Called by tasks that need much memory: a worker may serve another operator's tasks before."""
-    for clear in CACHES:
-        clear()
-    trim()
 
+_own_folder: str | None = None
 
-def trim() -> None:
-    """Give memory that is free in this worker back to the machine, where the C library can."""
-    import ctypes
 
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of frames that are no longer referenced deleted now, not when memory next runs short."""
-    import gc
-    import time
-
-    for _ in range(2):  # the second round meets what the first has detached
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def settle(rows: DataFrame, name: str, value: Column, drop: list[str]) -> DataFrame:

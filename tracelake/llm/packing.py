@@ -12,7 +12,6 @@ extra columns are ignored; an empty table packs into nothing.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -22,22 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import CACHES, chunks, table, trim
+from tracelake.llm.common import chunks, table
 
 CAPACITY = 2048
 END_ID = 0
-SHARD_DOCS = 16_000
+SHARD_DOCS = 8_000
 VOCABULARY = "word_bpe_49k.json"
 #: Runs whose ids a worker remembers; beyond it the memory starts anew.
-CACHED_RUNS = 1_200_000
-#: Separators of str.split that are ordinary characters for the tokenizer, and the start of special tokens.
-STAGE_RUNS = 250_000
+CACHED_RUNS = 250_000
 #: The runs that the vocabulary's tokens stay in, and the end mark of a run's last token.
 RUN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 RUN_END = "</w>"
-#: Lower-cased by its place in a word in Python, but not in the tokenizer.
-SIGMA = "\u03a3"
-UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Latin, Greek and Cyrillic letters and common signs, without marks that combine, the capital I with a dot and the capital sigma,
+#: whose lower case needs more than the letter itself. Texts of these alone are split here, others by the tokenizer.
+PLAIN = r"\t-\r -~\u00a0-\u012f\u0131-\u024f\u0391-\u03a1\u03a4-\u03a9\u03b1-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u203a\u20ac\u2122"
+#: The start of special tokens.
+SPECIAL = "<|"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -61,6 +60,7 @@ class RunEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.other = re.compile(f"[^{PLAIN}]").search
         self.runs_of = regex.compile(RUN).findall
         self.ascii_runs = re.compile(RUN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
         vocabulary = self.tokenizer.get_vocab()
@@ -87,11 +87,9 @@ class RunEncoder:
 
     def _runs(self, text: str) -> list[str] | None:
         """Runs of a text; None if only the tokenizer can tell them."""
-        if any(u in text for u in UNUSUAL):
+        if SPECIAL in text or self.other(text):
             return None
-        if text.isascii():
-            return self.ascii_runs(text.lower())
-        return self.runs_of(text.lower()) if SIGMA not in text and unicodedata.is_normalized("NFC", text) else None
+        return self.ascii_runs(text.lower()) if text.isascii() else self.runs_of(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._runs(t) for t in texts]
@@ -108,9 +106,6 @@ def encoder_for(path: str) -> RunEncoder:
     return RunEncoder(path)
 
 
-CACHES.append(encoder_for.cache_clear)
-
-
 class CapacityTree:
     """Segment tree over capacities 0..n: which of them some open bin has left."""
 
@@ -165,14 +160,13 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cached_runs: int = CACHED_RUNS) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and the checksum of its ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
     def encode(batches):
         encoder = encoder_for(path)
-        encoder.most = cached_runs
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -188,18 +182,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cached_runs: in
                     [ids.take(pa.array(at)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-        if cached_runs < CACHED_RUNS:  # other operators use this worker next
-            encoder_for.cache_clear()
-            del encoder
-            trim()
-
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, cached_runs: int = CACHED_RUNS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per piece with its sequence_id and offset."""
     shards = max(1, -(-docs.count() // shard_docs))
-    cut = pieces(docs, path or vocabulary_path(), capacity, cached_runs)
+    cut = pieces(docs, path or vocabulary_path(), capacity)
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
 
@@ -217,4 +206,4 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: where every piece of every document goes."""
-    return pack(docs, cached_runs=STAGE_RUNS)  # other stages want the workers' memory too
+    return pack(docs)

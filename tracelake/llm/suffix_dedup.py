@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import BROADCAST_ROWS, clear_caches, cut_lineage, free_name, mix64, prefix_sums, release, slices, table
+from tracelake.llm.common import BROADCAST_ROWS, cut_lineage, free_name, mix64, prefix_sums, slices, table
 from tracelake.llm.deep_shallow import order_windows
 
 SPAN = 50
@@ -155,7 +155,6 @@ def gather(marks: DataFrame, name: str, kinds: tuple[int, ...]) -> DataFrame:
     """doc_id, mark and an array column of (kind, places) of the wanted kinds, from rows (bucket, blob)."""
 
     def collect(group: pa.Table) -> pa.Table:
-        clear_caches()
         found: dict[tuple[int, int], list] = {}
         for blob in group.column("blob").to_pylist():
             ids, own, kind, sizes, data = unpack_columns(blob, "<i8", "<u4", "u1", "<u4", "u1")
@@ -208,7 +207,6 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
     """From (doc_id, mark, text): blobs of anchors for each part, and places decided within the task."""
 
     def find(batches):
-        clear_caches()
         for batch in slices(batches, 2, AT_ONCE):
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = _laid(batch.column(2).to_pylist())
@@ -242,7 +240,6 @@ def meet(found: DataFrame, buckets: int) -> DataFrame:
     """Marks (bucket, blob): what each part decides of its anchors, and what tasks have decided."""
 
     def judge(group: pa.Table) -> pa.Table:
-        clear_caches()
         rows = group.filter(pa.compute.is_valid(group.column("blob")))
         done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
         if not rows.num_rows:
@@ -279,7 +276,6 @@ def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
     def cut(batches):
         import zstandard
 
-        clear_caches()
         press = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, 2, AT_ONCE // 3):
             ids, marks, texts, opened = (batch.column(k).to_pylist() for k in range(4))
@@ -319,7 +315,6 @@ def sort_contexts(cut: DataFrame, buckets: int) -> DataFrame:
     """Marks (bucket, blob): runs of starts of strings that a smaller document has too."""
 
     def compare(group: pa.Table) -> pa.Table:
-        clear_caches()
         rows = group.filter(pa.compute.is_valid(group.column("blob")))
         done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
         if not rows.num_rows:
@@ -362,7 +357,6 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
     parts = max(8, -(-docs.count() // PART_DOCS))
     met = cut_lineage(meet(find_anchors(rows, parts), parts))
-    release(docs.sparkSession)
     opened = gather(met, "open", (CONTEXT, CROWDED)).filter(F.size("open") > 0)
     cut = cut_contexts(squeeze(rows, "text").join(opened, ["doc_id", "mark"]), CONTEXT_PARTS * parts)
     return cut_lineage(gather(met.union(sort_contexts(cut, parts)), "spans", (DECIDED, RUNS)))
@@ -390,7 +384,6 @@ def reduced(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, str]:
     text_at = docs.columns.index("text")
 
     def remove(batches):
-        clear_caches()
         for batch in slices(batches, text_at, AT_ONCE // 3):
             out, texts = [], []
             for t, found in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
