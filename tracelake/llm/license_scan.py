@@ -1,12 +1,13 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-A text's words (letters and digits, lower-cased) make shingles of five words; every window of `WINDOW` shingles, `STEP`
-apart, has one minimum of its shingles under each of `BANDS` hash orders, and a window whose minimum under any
-order is a template's minimum retrieves that template. Bands of one row keep the chance of a miss low: a window
-that holds one shingle of a one-shingle template among seven others meets it with probability
-1 - (7/8)^64 = 0.9998. Retrieved templates are verified by the share of their shingles that the
-text has. A window without any template shingle cannot meet a template's minimum, so windows are
-made only in texts that have one, which loses nothing. All work is done by built-in functions.
+A text's words (letters and digits, lower-cased) make shingles of five words. A window begins at every shingle and holds `WINDOW` of
+them (fewer at the end of the text). Under each of `BANDS` hash orders a window and a template have one least shingle; a window whose
+least shingle is a template's retrieves that template. Bands have one row, and windows are short, so that even a
+template of one shingle is met: it is the least shingle of one of its windows with probability 2 / (WINDOW + 1), so
+all bands miss it with probability (1/2)^16 = 1.5e-5. A copy that holds a share c of a longer template's shingles has
+that template's least one under an order with probability c, and then meets it as often, so at c = 0.8 all miss it with probability
+0.6^16 = 2.8e-4 at most. Retrieved templates are verified by the share of their shingles that the text has. Every text is
+windowed; all work is done by built-in functions.
 
 Defined cases: a null or empty text, and one of under five words, has no shingle, no window and no license;
 templates are reported in order of their names; repeated rows are scanned each; extra columns of any name are
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import free_name, settle, table
 
 SHINGLE = 5
-WINDOW = 8
-STEP = 4
-BANDS = 64
+WINDOW = 3
+BANDS = 16
 CONTAINMENT = 0.8
 
 #: Wording of license notices by name.
@@ -34,9 +34,29 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+        "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+        "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -47,12 +67,36 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO "
+        "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "MIT": "Released under the MIT License.",
     "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense."
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal "
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY "
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+        "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute "
+        "it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any "
+        "source distribution."
+    ),
 }
 
 
@@ -76,16 +120,32 @@ def shingles_of(words: Column, pairs: Column) -> Column:
     return F.zip_with(four, _part(words, SHINGLE, n), lambda a, b: F.xxhash64(a, b))
 
 
-def minima(window: Column) -> Column:
-    """Smallest hash of a window under each order, told apart by the order's number."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(F.array_min(F.transform(window, lambda h: F.xxhash64(h, j))), j))
+def order_of(shingles: Column, band: int) -> Column:
+    return F.transform(shingles, lambda h: F.xxhash64(h, F.lit(band)))
+
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def windows_of(shingles: Column) -> Column:
-    """Overlapping windows that cover all shingles."""
+
+def window_minima(shingles: Column, band: int) -> Column:
+    """Least hash of every window under an order; `least` passes over what a window lacks at the text's end."""
     n = F.size(shingles)
-    starts = F.sequence(F.lit(1), F.greatest(n - (WINDOW - STEP), F.lit(1)), F.lit(STEP))
-    return F.when(n > 0, F.transform(starts, lambda at: F.slice(shingles, at, WINDOW))).otherwise(F.array().cast("array<array<bigint>>"))
+    least = lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))
+
+    def of(a: Column) -> Column:
+        out = a
+        for k in range(2, WINDOW + 1):
+            out = least(out, F.slice(a, F.lit(k), n))
+        return out
+
+    return bound(order_of(shingles, band), of)
+
+
+def minima(shingles: Column) -> Column:
+    """Least hash of all shingles under each order."""
+    return F.array(*(F.array_min(order_of(shingles, j)) for j in range(BANDS)))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -103,16 +163,12 @@ def _constant(values: list[int]) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> tuple[DataFrame, str]:
     """docs with one more struct column, and its name: n_words, n_windows, licenses (name and containment), license."""
     known = template_table(docs.sparkSession, templates).collect()
-    parts = _constant(sorted({h for t in known for h in t["shingles"]}))
-    all_keys = _constant(sorted({k for t in known for k in t["keys"]}))
-    names = [free_name(docs, x) for x in ("_license", "_words", "_pairs", "_shingles", "_windows", "_keys")]
-    name, w, p, s, win, keys = names
+    names = [free_name(docs, x) for x in ("_license", "_words", "_pairs", "_shingles", "_keys")]
+    name, w, p, s, keys = names
     rows = docs.withColumn(w, words_of(F.col("text"))).withColumn(p, pairs_of(F.col(w)))
     rows = rows.withColumn(s, shingles_of(F.col(w), F.col(p)))
-    some = F.arrays_overlap(F.col(s), parts)
-    rows = rows.withColumn(win, F.when(some, windows_of(F.col(s))))
-    met = F.array_intersect(F.flatten(F.transform(F.col(win), minima)), all_keys)
-    rows = rows.withColumn(keys, F.when(F.col(win).isNotNull(), met))
+    met = [F.array_intersect(window_minima(F.col(s), j), _constant(sorted({t["keys"][j] for t in known}))) for j in range(BANDS)]
+    rows = rows.withColumn(keys, F.flatten(F.array(*met)))
     checks = [
         F.when(
             F.arrays_overlap(F.col(keys), _constant(t["keys"])),
@@ -123,10 +179,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> tuple[DataFr
     kind = "array<struct<license: string, containment: double>>"
     verified = F.filter(F.array_compact(F.array(*checks)), lambda x: x["containment"] >= CONTAINMENT) if checks else F.array()
     none = F.array().cast(kind)
-    found = F.when(F.size(F.coalesce(F.col(keys), F.array().cast("array<bigint>"))) > 0, verified.cast(kind)).otherwise(none)
-    n = F.size(F.col(s))
-    n_windows = F.when(n > 0, F.ceil(F.greatest(n - WINDOW, F.lit(0)) / STEP) + 1).otherwise(0).cast("long")
-    out = F.struct(F.size(w).cast("long").alias("n_words"), n_windows.alias("n_windows"), found.alias("licenses"))
+    found = F.when(F.size(keys) > 0, verified.cast(kind)).otherwise(none)
+    out = F.struct(F.size(w).cast("long").alias("n_words"), F.size(s).cast("long").alias("n_windows"), found.alias("licenses"))
     return settle(rows, name, out, names[1:]), name
 
 
@@ -154,6 +208,6 @@ def oracle(templates: dict[str, str] = TEMPLATES) -> str:
 WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS s FROM documents),
 n AS (SELECT doc_id, s, CASE WHEN trim(s) = '' THEN 0 ELSE len(string_split(trim(s), ' ')) END AS n_words FROM t),
 f AS (SELECT doc_id, n_words, greatest(n_words - {SHINGLE - 1}, 0) AS k, list_filter([{", ".join(found)}], lambda x: x.c >= {CONTAINMENT}) AS l FROM n)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(CASE WHEN k > 0 THEN ceil(greatest(k - {WINDOW}, 0) / {STEP}.0) + 1 ELSE 0 END AS BIGINT) AS n_windows, CAST(len(l) AS BIGINT) AS n_licenses,
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(k AS BIGINT) AS n_windows, CAST(len(l) AS BIGINT) AS n_licenses,
   array_to_string(list_transform(l, lambda x: x.license), ',') AS licenses, coalesce(round(list_max(list_transform(l, lambda x: x.c)), 6), 0.0) AS containment
 FROM f"""
