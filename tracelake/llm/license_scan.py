@@ -4,9 +4,9 @@ A text's words (letters and digits, lower-cased) make shingles of five words. A
 them (fewer at the end of the text). Under each of `BANDS` hash orders a window and a template have one least shingle; a window whose
 least shingle is a template's retrieves that template. Bands have one row, and windows are short, so that even a
 template of one shingle is met: it is the least shingle of one of its windows with probability 2 / (WINDOW + 1), so
-all bands miss it with probability (1/2)^16 = 1.5e-5. A copy that holds a share c of a longer template's shingles has
-that template's least one under an order with probability c, and then meets it as often, so at c = 0.8 all miss it with probability
-0.6^16 = 2.8e-4 at most. Retrieved templates are verified by the share of their shingles that the text has. Every text is
+all bands miss it with probability (1/2)^12 = 2.4e-4. A copy that holds a share c of a longer template's shingles has
+that template's least one under an order with probability c; inside the copy its windows hold template shingles alone, so it is
+their least, and at c = 0.8 all bands miss it with probability 0.2^12 = 4e-9. Retrieved templates are verified by the share of their shingles that the text has. Every text is
 windowed; all work is done by built-in functions.
 
 Defined cases: a null or empty text, and one of under five words, has no shingle, no window and no license;
@@ -23,7 +23,7 @@ from tracelake.llm.common import free_name, settle, table
 
 SHINGLE = 5
 WINDOW = 3
-BANDS = 16
+BANDS = 12
 CONTAINMENT = 0.8
 
 #: Wording of license notices by name.
