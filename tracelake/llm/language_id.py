@@ -1,14 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Every training text counts: tasks count character 4-grams (packed as four 16-bit codes), Spark sums
-them by language, and the driver keeps those at least `FLOOR` of their language's total, at most 1 / FLOOR
-of them. Lower orders use continuation counts of the kept 4-grams. All models share sorted key arrays with one
-column per language, so a text is scored by binary search. A language wins by the lowest cross-entropy per
-character; a text whose entropy exceeds the calibrated limit of its language gets a score below one half.
+Every training text counts, and every 4-gram of characters (packed as four 16-bit codes) is kept: tasks count, Spark sums by key and
+language, and continuation counts of the lower orders are sums over all distinct grams of the next order. Spark then works out,
+order by order, the bits of every 4-gram that occurs in any document, in each language. These go to the tasks
+as sorted arrays of keys, in parts of at most about `PART_GRAMS` keys, one pass over the documents for each part; a text's entropy is a sum
+over its 4-grams, so parts add up, and the model may grow with the corpus without a bound. A language wins by the lowest
+cross-entropy per character; a text whose entropy exceeds the limit of its language, a quantile over all training texts,
+gets a score below one half.
 
 Defined cases: null text and text without letters give `und` with score 0; without any training row every
-text gives `und`; ties go to the first language in order; very long texts are scored whole, in pieces;
-repeated rows are scored each; extra columns are ignored.
+text gives `und`; ties go to the first language in order; a null doc_id gives a null held_out, and such a row is not learned from;
+very long texts are scored whole, in pieces; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,16 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import chunks, held_out, table
+from tracelake.llm.common import chunks, cut_lineage, held_out, table
 
-#: Least share of a language's 4-grams that a kept 4-gram has; bounds the model at 1 / FLOOR keys a language.
-FLOOR = 2e-6
 DISCOUNT = 0.75
-#: About so many training texts calibrate the rejection limit.
-CALIBRATION_DOCS = 4000
+#: Keys that a pass over the documents looks up; a part is 8 bytes and 4 for each language a key.
+PART_GRAMS = 2_000_000
 LIMIT_QUANTILE = 0.999
 LIMIT_MARGIN = 0.3
 UNKNOWN = "und"
@@ -67,169 +67,155 @@ def inside(offsets: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[: max(0, total - 3)] == doc[3:], doc[: max(0, total - 3)]
 
 
-def count_ngrams(train: DataFrame) -> DataFrame:
-    """lang, key, n: 4-gram counts over all training texts."""
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """label, key, n: 4-gram counts over all texts of (label, text); the label may be null."""
 
-    def count(batches):
-        def emit(lang, parts):
-            keys = np.concatenate([k for k, _ in parts])
-            order = np.argsort(keys)
-            at = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
-            return keys[order][at], np.add.reduceat(np.concatenate([n for _, n in parts])[order], at)
+    def merged(parts):
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys)
+        at = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
+        return keys[order][at], np.add.reduceat(np.concatenate([n for _, n in parts])[order], at)
 
-        held: dict[str, list] = {}
+    def count(batches):
+        held: dict[str | None, list] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            order = sorted(range(len(langs)), key=langs.__getitem__)
+            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            order = sorted(range(len(labels)), key=lambda i: (labels[i] is None, labels[i] or ""))
             for lo, hi in chunks(order, lambda i: len(texts[i] or ""), 1_000_000):
-                for lang in sorted({langs[i] for i in order[lo:hi]}):
-                    codes, offsets = encode_chars([texts[i] for i in order[lo:hi] if langs[i] == lang])
+                for label in {labels[i] for i in order[lo:hi]}:
+                    codes, offsets = encode_chars([texts[i] for i in order[lo:hi] if labels[i] == label])
                     ok, _ = inside(offsets, len(codes))
                     keys, n = np.unique(keys4(codes)[ok], return_counts=True)
                     if len(keys):
-                        parts = held.setdefault(lang, [])
+                        parts = held.setdefault(label, [])
                         parts.append((keys, n))
                         if sum(len(k) for k, _ in parts) > 2_000_000:
-                            held[lang] = [emit(lang, parts)]
-        for lang, parts in held.items():
-            keys, n = emit(lang, parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
-
-    return train.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, at = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(at, values, len(unique))
-
-
-class KneserNey:
-    """Probabilities of 4-grams in several languages, from {lang: (keys, counts)}."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        width = len(self.langs)
-        self.grams: list[np.ndarray] = []  # by order 1..4: sorted keys
-        self.probs: list[np.ndarray] = []  # by order: probability, NaN where the gram is unseen
-        self.contexts: list[np.ndarray] = []  # by order 2..4: sorted context keys
-        self.gammas: list[np.ndarray] = []
-        per_order: list[list] = [[] for _ in range(5)]
-        for lang in self.langs:
-            keys, n = counts[lang]
-            keys, n = keys.astype(np.uint64), n.astype(float)
-            per_order[4].append((keys, n))
-            for order in (3, 2, 1):
-                keys, n = _sums(keys & np.uint64((1 << (16 * order)) - 1), np.ones(len(keys)))
-                per_order[order].append((keys, n))
-        letters = max(2, len(np.unique(np.concatenate([k for k, _ in per_order[1]]))))
-        self.uniform = 1.0 / letters
-        for order in (1, 2, 3, 4):
-            all_keys = np.unique(np.concatenate([k for k, _ in per_order[order]]))
-            heads = np.unique(all_keys >> np.uint64(16)) if order > 1 else np.zeros(1, np.uint64)
-            probs, gammas = np.full((len(all_keys), width), np.nan), np.ones((len(heads), width))
-            lower = self._prob(all_keys & np.uint64((1 << (16 * (order - 1))) - 1), order - 1)
-            for j, (keys, n) in enumerate(per_order[order]):
-                head, total = _sums(keys >> np.uint64(16) if order > 1 else np.zeros(len(keys), np.uint64), n)
-                _, types = _sums(keys >> np.uint64(16) if order > 1 else np.zeros(len(keys), np.uint64), np.ones(len(keys)))
-                at, _ = _lookup(heads, head)
-                gammas[at, j] = DISCOUNT * types / total
-                own, _ = _lookup(head, keys >> np.uint64(16) if order > 1 else np.zeros(len(keys), np.uint64))
-                here, _ = _lookup(all_keys, keys)
-                probs[here, j] = np.maximum(n - DISCOUNT, 0) / total[own] + (DISCOUNT * types / total)[own] * lower[here, j]
-            at, _ = _lookup(heads, all_keys >> np.uint64(16) if order > 1 else np.zeros(len(all_keys), np.uint64))
-            probs = np.where(np.isnan(probs), gammas[at] * lower, probs)
-            self.grams.append(all_keys)
-            self.probs.append(probs)
-            self.contexts.append(heads)
-            self.gammas.append(gammas)
-        self.bits = -np.log2(self.probs[3]).astype(np.float32)
-
-    def _prob(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Interpolated probability of grams of an order, seen or not, in each language."""
-        if not order:
-            return np.full((len(keys), len(self.langs)), self.uniform)
-        at, seen = _lookup(self.grams[order - 1], keys)
-        out = self.probs[order - 1][at]
-        if not seen.all():
-            rest = keys[~seen]
-            heads = rest >> np.uint64(16) if order > 1 else np.zeros(len(rest), np.uint64)
-            c, known = _lookup(self.contexts[order - 1], heads)
-            gamma = np.where(known[:, None], self.gammas[order - 1][c], 1.0)
-            out[~seen] = gamma * self._prob(rest & np.uint64((1 << (16 * (order - 1))) - 1), order - 1)
-        return out
-
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a character in each language, and the number of characters; no characters: infinite."""
-        codes, offsets = encode_chars(texts)
-        ok, doc = inside(offsets, len(codes))
-        keys, doc = keys4(codes)[ok], doc[ok]
-        at, seen = _lookup(self.grams[3], keys)
-        bits = self.bits[at]
-        if not seen.all():
-            bits[~seen] = -np.log2(self._prob(keys[~seen], 4))
-        n = np.bincount(doc, minlength=len(texts))
-        sums = np.stack([np.bincount(doc, bits[:, j], len(texts)) for j in range(len(self.langs))], 1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(n[:, None] > 0, sums / n[:, None], np.inf), n
-
-
-def fit(train: DataFrame, floor: float = FLOOR) -> KneserNey | None:
-    counts = count_ngrams(train.filter("lang is not null and text is not null"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= floor * F.col("total")).select("lang", "key", "n").toPandas()
-    if kept.empty:
-        return None
-    return KneserNey({lang: (np.sort(g["key"].to_numpy().view(np.uint64)), g["n"].to_numpy()[np.argsort(g["key"].to_numpy().view(np.uint64))]) for lang, g in kept.groupby("lang")})
-
-
-def score_all(docs: DataFrame, model: KneserNey | None, limits: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, bits (of the best language)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((model, limits or {}))
-
-    def score(batches):
-        model, limits = shared.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in chunks(texts, lambda t: len(t or ""), 1_000_000):
-                part = texts[lo:hi]
-                lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in part])
-                names, scores, best = [UNKNOWN] * len(part), np.zeros(len(part)), np.full(len(part), np.inf)
-                if model is not None:
-                    bits, n = model.entropies(part)
-                    first = bits.argmin(1)
-                    best = bits[np.arange(len(part)), first]
-                    with np.errstate(invalid="ignore", over="ignore"):
-                        odds = np.exp2(-np.minimum(n, 64)[:, None] * (bits - best[:, None]))
-                        scores = np.where(lettered, 1 / odds.sum(1), 0.0)
-                    names = [model.langs[k] if ok else UNKNOWN for k, ok in zip(first, lettered, strict=True)]
-                    over = np.array([b > limits.get(x, np.inf) for b, x in zip(best, names, strict=True)])
-                    scores = np.where(over, 0.49 * scores, scores)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names), pa.array(scores.astype(float)), pa.array(np.where(lettered, best, np.nan).astype(float))], names=["doc_id", "lang_pred", "score", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double, bits double")
-
-
-def calibrate(train: DataFrame, model: KneserNey | None) -> dict[str, float]:
-    """Entropy limit of each language from a bounded hashed sample of the training texts."""
-    if model is None:
-        return {}
-    share = max(1, train.count() // CALIBRATION_DOCS)
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    rows = score_all(sample, model).filter("not isnan(bits)").groupBy("lang_pred").agg(F.percentile_approx("bits", LIMIT_QUANTILE, 10000).alias("x")).collect()
-    return {lang: x + LIMIT_MARGIN for lang, x in rows}
+                            held[label] = [merged(parts)]
+        for label, parts in held.items():
+            keys, n = merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["label", "key", "n"])
+
+    return docs.select("label", "text").mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
+
+
+def _each(langs: list[str], make) -> Column:
+    return F.array(*(make(j).cast("double") for j in range(len(langs))))
+
+
+def _tail(order: int) -> Column:
+    """Key of a gram without its first character."""
+    return F.col("key").bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1))
+
+
+def _head(order: int) -> Column:
+    """Key of a gram without its last character."""
+    return F.shiftrightunsigned("key", 16) if order > 1 else F.lit(0).cast("long")
+
+
+def gram_bits(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """key, bits: for each 4-gram counted, under any label or none, its bits in each language; nothing is pruned."""
+    at = lambda c, j: F.col(c)[j]
+    grams = {4: cut_lineage(counts.groupBy("key").agg(_each(langs, lambda j: F.coalesce(F.sum(F.when(F.col("label") == langs[j], F.col("n"))), F.lit(0))).alias("c")))}
+    for order in (4, 3, 2):  # continuation counts: in how many distinct grams of a language a gram is the end
+        grams[order - 1] = grams[order].groupBy(_tail(order).alias("key")).agg(_each(langs, lambda j: F.count_if(at("c", j) > 0)).alias("c"))
+    letters = max(2, grams[1].filter(F.exists("c", lambda x: x > 0)).count())
+    lower = None
+    for order in (1, 2, 3, 4):
+        heads = grams[order].groupBy(_head(order).alias("head")).agg(_each(langs, lambda j: F.sum(at("c", j))).alias("total"), _each(langs, lambda j: F.count_if(at("c", j) > 0)).alias("types"))
+        rows = grams[order].select("key", "c", _head(order).alias("head"), _tail(order).alias("tail")).join(heads, "head")
+        rows = rows.withColumn("low", _each(langs, lambda j: F.lit(1.0 / letters))) if lower is None else rows.join(lower.select(F.col("key").alias("tail"), F.col("p").alias("low")), "tail")
+        seen = lambda j: (F.greatest(at("c", j) - DISCOUNT, F.lit(0.0)) + DISCOUNT * at("types", j) * at("low", j)) / at("total", j)
+        lower = rows.select("key", _each(langs, lambda j: F.when(at("total", j) > 0, seen(j)).otherwise(at("low", j))).alias("p"))
+    return cut_lineage(lower.select("key", F.transform("p", lambda x: (-F.log2(x)).cast("float")).alias("bits")))
+
+
+def languages(docs: DataFrame) -> list[str]:
+    return sorted(r[0] for r in docs.select("label").filter("label is not null").distinct().collect())
+
+
+def fit(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """Languages, and the bits of all 4-grams of (label, text); rows with a null label only say which grams are asked for."""
+    counts = cut_lineage(count_ngrams(docs))
+    langs = languages(counts)
+    return langs, gram_bits(counts, langs) if langs else counts.select("key").withColumn("bits", F.array().cast("array<float>"))
+
+
+def _part(bits: DataFrame, part: int, parts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of a part, and their bits (keys x languages)."""
+    rows = bits.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).select("key", *(F.col("bits")[j].alias(f"b{j}") for j in range(width))).toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.stack([rows.column(f"b{j}").to_numpy()[order] for j in range(width)], 1)
+
+
+def sums_of(keys: np.ndarray, bits: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of bits in each language over the 4-grams of each text that are among the keys, and the number of all its 4-grams."""
+    codes, offsets = encode_chars(texts)
+    ok, doc = inside(offsets, len(codes))
+    wanted, doc = keys4(codes)[ok], doc[ok]
+    n = np.bincount(doc, minlength=len(texts))
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+    return np.stack([np.bincount(doc[hit], bits[at[hit], j], len(texts)) for j in range(bits.shape[1])], 1), n
+
+
+def entropies(docs: DataFrame, langs: list[str], bits: DataFrame, part_grams: int = PART_GRAMS) -> DataFrame:
+    """doc_id, label, text, lettered, n, sums: characters of each text, and its bits in each language."""
+    parts = max(1, -(-bits.count() // part_grams))
+    rows = docs.select("doc_id", "label", "text", F.lit(False).alias("lettered"), F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0.0), len(langs)).alias("sums"))
+    for k in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(_part(bits, k, parts, len(langs)))
+
+        def add(batches, shared=shared):
+            keys, own = shared.value
+            for batch in batches:
+                texts = batch.column(2).to_pylist()
+                for lo, hi in chunks(texts, lambda t: len(t or ""), 1_000_000):
+                    part = batch.slice(lo, hi - lo)
+                    found, n = sums_of(keys, own, texts[lo:hi])
+                    found = found + np.array(part.column(5).to_pylist(), float).reshape(found.shape)
+                    lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts[lo:hi]]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lettered), pa.array(n.astype(np.int64)), pa.array(found.tolist(), pa.list_(pa.float64()))], names=part.schema.names)
+
+        rows = rows.mapInArrow(add, rows.schema)
+    return rows
+
+
+def guessed(docs: DataFrame, part_grams: int = PART_GRAMS) -> tuple[DataFrame, int]:
+    """doc_id, text and the number of the guessed language of (doc_id, label, text), and how many languages there are, which is the number of none."""
+    langs, grams = fit(docs)
+    if not langs:
+        return docs.select("doc_id", "text", F.lit(0).alias("lang")), 0
+    rows = entropies(docs, langs, grams, part_grams)
+    first = F.array_position("sums", F.array_min("sums")).cast("int") - 1
+    return rows.select("doc_id", "text", F.when(F.col("lettered"), first).otherwise(len(langs)).alias("lang")), len(langs)
+
+
+def score_all(docs: DataFrame, part_grams: int = PART_GRAMS) -> DataFrame:
+    """doc_id, lang_pred, score, bits (a character, of the best language) of (doc_id, label, text); rows with a label train."""
+    langs, grams = fit(docs)
+    if not langs:
+        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"))
+    rows = entropies(docs, langs, grams, part_grams)
+    rows = rows.withColumn("own", F.transform("sums", lambda x: x / F.greatest(F.col("n"), F.lit(1)))).withColumn("bits", F.array_min("own"))
+    names = F.array(*map(F.lit, langs))
+    odds = F.aggregate(F.transform("own", lambda x: F.pow(F.lit(2.0), -F.least(F.col("n"), F.lit(64)) * (x - F.col("bits")))), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.select(
+        "doc_id", F.col("label").isNotNull().alias("train"), F.when(F.col("lettered"), F.get(names, F.array_position("own", F.col("bits")).cast("int") - 1)).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("lettered"), 1 / odds).otherwise(0.0).alias("score"), F.when(F.col("lettered"), F.col("bits")).alias("bits"),
+    )
+    rows = cut_lineage(rows)
+    limits = rows.filter("train and bits is not null").groupBy("lang_pred").agg((F.percentile_approx("bits", LIMIT_QUANTILE, 10_000) + LIMIT_MARGIN).alias("limit")).collect()
+    limit = F.create_map(*(F.lit(x) for r in limits for x in r)) if limits else F.create_map().cast("map<string, double>")
+    over = F.col("bits") > F.coalesce(F.try_element_at(limit, F.col("lang_pred")), F.lit(float("inf")))
+    return rows.select("doc_id", "lang_pred", F.when(over, 0.49 * F.col("score")).otherwise(F.col("score")).alias("score"), "bits")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, label, text: the language where a row may be learned from, else a null label."""
+    return docs.select("doc_id", F.when(~held_out(F.col("doc_id")) & F.col("text").isNotNull(), F.col("lang")).alias("label"), "text")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    train = docs.filter(~held_out(F.col("doc_id")))
-    model = fit(train)
-    limits = calibrate(train.filter("lang is not null and text is not null"), model)
-    return score_all(docs, model, limits).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+    scored = score_all(labelled(table(spark, sf_dir, "documents")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")

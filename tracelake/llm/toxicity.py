@@ -3,13 +3,14 @@
 Words and their leading characters hash into one embedding table; filters of several widths slide over the
 word vectors, max pooling keeps the strongest answer of each filter in the whole text, and a logistic layer
 reads them. The network is fitted on the driver on at most `TRAIN_DOCS` labelled rows, the ones with the
-smallest hashed ids; every document is scored whole, in parallel. Thresholds are calibrated for each language
-that stop words tell apart, on all labelled rows outside the held-out fold and the fit, counted on Spark in narrow bins of
-the score, and move each score so that 0.5 is the threshold. A language with under `LEAST_LABELS` toxic or clean ones of these
-takes the threshold of all languages together. With under 500 labelled rows, the rows of the fit calibrate too.
+smallest hashed ids, and on at most `TRAIN_BYTES` of text; every document is scored whole, in parallel. Thresholds are calibrated
+for each language that the character models of `language_id` tell, on all labelled rows outside the held-out fold and the fit, counted on
+Spark in narrow bins of the score, and move each score so that 0.5 is the threshold. A language with under `LEAST_LABELS` toxic or clean
+ones of these takes the threshold of all languages together. With under 500 labelled rows, the rows of the fit calibrate too.
 
 Defined cases: null and empty texts are scored as texts without words; with labels of one kind or none,
-every score is the share of toxic labels (0 without labels); repeated rows are scored each; extra columns are ignored.
+every score is the share of toxic labels (0 without labels); a null doc_id gives a null held_out and is not learned from; very long
+texts are scored whole, and one beyond `TRAIN_BYTES` is not fitted; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import chunks, cut_lineage, held_out, mix64, table, word_hashes
+from tracelake.llm.language_id import guessed, labelled
 
 TRAIN_DOCS = 8000
+TRAIN_BYTES = 64_000_000
 TABLE = 1 << 16
 DIM = 16
 WIDTHS = (1, 2, 3)
@@ -37,19 +40,11 @@ LEAST_LABELS = 20
 #: Bins of a unit of the score before the logistic function, within -LIMIT to LIMIT.
 BINS, LIMIT = 64, 30
 
-#: Frequent short words by which a text's language is guessed.
-STOP_WORDS = {
-    "en": ("the", "of", "and", "to", "in", "is", "that", "it"),
-    "de": ("der", "die", "das", "und", "nicht", "ein", "von", "mit"),
-    "fr": ("le", "la", "les", "et", "des", "est", "une", "dans"),
-    "es": ("el", "los", "las", "y", "por", "una", "del", "para"),
-}
-LANGS = (*STOP_WORDS, "other")
 _PUNCTUATION = {ord(c): " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~"}
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding rows of each word (words x 3), text offsets (len + 1) with blank words between texts, and languages."""
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of each word (words x 3), and text offsets (len + 1) with blank words between texts."""
     raw = [(t or "").lower().translate(_PUNCTUATION).encode("utf-8", "replace") for t in texts]
     h, starts, ends, offsets, data = word_hashes(raw)
     rows = np.zeros((len(h), 1 + len(HEAD_BYTES)), np.int64)
@@ -59,31 +54,19 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         code = np.where(np.arange(n) < (ends - starts)[:, None], data[at], 0).astype(np.uint64)
         key = (code << (np.uint64(8) * np.arange(n, dtype=np.uint64))).sum(1, dtype=np.uint64) + (np.uint64(n) << np.uint64(60))
         rows[:, k] = mix64(key) % np.uint64(TABLE - 1) + np.uint64(1)
-    votes = np.stack([np.diff(np.concatenate(([0], np.cumsum(np.isin(h, words))))[offsets]) for words in _stop_hashes()], 1)
-    langs = np.where(votes.max(1) > 0, votes.argmax(1), len(STOP_WORDS))
     pad = max(WIDTHS)
     shift = np.repeat(np.arange(len(texts)) * pad, np.diff(offsets))
     out = np.zeros((len(h) + pad * len(texts), rows.shape[1]), np.int32)
     out[np.arange(len(h)) + shift] = rows
-    return out, offsets + pad * np.arange(len(offsets)), langs
+    return out, offsets + pad * np.arange(len(offsets))
 
 
-def all_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """features() of many texts, a bounded part at a time."""
     parts = [features(texts[a:b]) for a, b in chunks(texts, lambda t: len(t or ""), 500_000)]
     ends = np.cumsum([0] + [len(p[0]) for p in parts])
     offsets = np.concatenate([[0], *(p[1][1:] + e for p, e in zip(parts, ends, strict=False))])
-    return np.concatenate([p[0] for p in parts]), offsets, np.concatenate([p[2] for p in parts])
-
-
-_stop: list[np.ndarray] = []
-
-
-def _stop_hashes() -> list[np.ndarray]:
-    if not _stop:
-        for words in STOP_WORDS.values():
-            _stop.append(word_hashes([" ".join(words).encode()])[0])
-    return _stop
+    return np.concatenate([p[0] for p in parts]), offsets
 
 
 class TextCnn:
@@ -95,7 +78,6 @@ class TextCnn:
         self.bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
         self.out = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
         self.start = np.float32(0)
-        self.moves = np.zeros(len(LANGS))
         self.fitted: list = []
 
     def _maps(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +99,33 @@ class TextCnn:
         pooled = np.maximum(np.maximum.reduceat(found, offsets[:-1]) + self.bias, 0)
         return pooled @ self.out + self.start
 
+    def gradients(self, part: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """Gradients of the mean weighted logistic loss over the texts part[at[i] : at[i + 1]]; only the winning windows have one."""
+        x, found = self._maps(part)
+        top = np.stack([found[a:b].argmax(0) + a for a, b in zip(at[:-1], at[1:], strict=True)])
+        pooled = found[top, np.arange(found.shape[1])] + self.bias
+        active = np.maximum(pooled, 0)
+        z = active @ self.out + self.start
+        d = ((1 / (1 + np.exp(-z)) - y) * weight).astype(np.float32) / len(y)
+        back = d[:, None] * self.out * (pooled > 0)
+        live = back * (part[:, 0] != 0)[top]
+        filters, gx = [np.zeros_like(f) for f in self.filters], np.zeros_like(x)
+        for j, (w, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+            b, t = live[:, j * FILTERS : (j + 1) * FILTERS], top[:, j * FILTERS : (j + 1) * FILTERS]
+            for k in range(w):
+                place = np.minimum(t + k, len(x) - 1)
+                b_in = b * (t + k < len(x))
+                filters[j][k] = np.einsum("nf,nfd->df", b_in, x[place])
+                np.add.at(gx, place.ravel(), (b_in[:, :, None] * f[k].T[None]).reshape(-1, DIM))
+        used = np.flatnonzero(np.abs(gx).sum(1))
+        slots, where = np.unique(part[used].ravel(), return_inverse=True)
+        table = np.zeros((len(slots), DIM), np.float32)
+        np.add.at(table, where, np.repeat(gx[used], part.shape[1], 0))
+        table[slots == 0] = 0
+        return {"out": active.T @ d, "bias": back.sum(0), "filters": filters, "start": d.sum(), "slots": slots, "table": table}
+
     def fit(self, rows: np.ndarray, offsets: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
-        """Adagrad on the logistic loss, positives weighted up to balance; only the winning windows get a gradient."""
+        """Adagrad on the logistic loss, positives weighted up to balance."""
         rng = np.random.default_rng(seed)
         weight = np.where(y == 1, min(5.0, (y == 0).sum() / max(1, (y == 1).sum())), 1.0).astype(np.float32)
         state = {id(p): np.full(p.shape, 1e-3, np.float32) for p in (self.table, *self.filters, self.bias, self.out)}
@@ -133,42 +140,17 @@ class TextCnn:
             for lo in range(0, len(order), BATCH):
                 ids = order[lo : lo + BATCH]
                 part = np.concatenate([rows[offsets[i] : offsets[i + 1]] for i in ids])
-                at = np.concatenate(([0], np.cumsum(np.diff(offsets)[ids])))
-                x, found = self._maps(part)
-                top = np.stack([found[a:b].argmax(0) + a for a, b in zip(at[:-1], at[1:], strict=True)])
-                pooled = found[top, np.arange(found.shape[1])] + self.bias
-                active = np.maximum(pooled, 0)
-                z = active @ self.out + self.start
-                d = ((1 / (1 + np.exp(-z)) - y[ids]) * weight[ids]).astype(np.float32) / len(ids)
-                back = d[:, None] * self.out * (pooled > 0)
-                live = back * (part[:, 0] != 0)[top]
-                grads = [np.zeros_like(f) for f in self.filters]
-                gx = np.zeros_like(x)
-                for j, (w, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-                    b, t = live[:, j * FILTERS : (j + 1) * FILTERS], top[:, j * FILTERS : (j + 1) * FILTERS]
-                    for k in range(w):
-                        inside = t + k < len(x)
-                        place = np.minimum(t + k, len(x) - 1)
-                        b_in = b * inside
-                        grads[j][k] = np.einsum("nf,nfd->df", b_in, x[place])
-                        np.add.at(gx, place.ravel(), (b_in[:, :, None] * f[k].T[None]).reshape(-1, DIM))
-                used = np.flatnonzero(np.abs(gx).sum(1))
-                step(self.out, active.T @ d)
-                step(self.bias, back.sum(0))
-                for f, g in zip(self.filters, grads, strict=True):
-                    step(f, g)
-                self.start -= np.float32(RATE) * d.sum()
-                slots = part[used].ravel()
-                each = np.repeat(gx[used], part.shape[1], 0)
-                unique, where = np.unique(slots, return_inverse=True)
-                total = np.zeros((len(unique), DIM), np.float32)
-                np.add.at(total, where, each)
-                total[unique == 0] = 0
-                step(self.table, total, unique)
+                g = self.gradients(part, np.concatenate(([0], np.cumsum(np.diff(offsets)[ids]))), y[ids], weight[ids])
+                step(self.out, g["out"])
+                step(self.bias, g["bias"])
+                for f, own in zip(self.filters, g["filters"], strict=True):
+                    step(f, own)
+                self.start -= np.float32(RATE) * g["start"]
+                step(self.table, g["table"], g["slots"])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        rows, offsets, langs = features(texts)
-        z = self.logits(rows, offsets) - self.moves[langs]
+        """Scores before calibration."""
+        z = self.logits(*features(texts))
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -LIMIT, LIMIT)))
 
 
@@ -183,8 +165,8 @@ def threshold(bins: list[tuple[float, float, int, int]]) -> float:
     return float((high[cut - 1] + low[cut]) / 2)
 
 
-def thresholds(counts: list[tuple[int, int, float, float, int, int]]) -> np.ndarray:
-    """By language, from (language, bin, lowest score, highest score, toxic rows, clean rows) of all labelled rows."""
+def thresholds(counts: list[tuple[int, int, float, float, int, int]], langs: int) -> np.ndarray:
+    """Of each of the languages and of none, from (language, bin, lowest score, highest score, toxic rows, clean rows) of all labelled rows."""
     def merged(rows):
         bins: dict[int, tuple] = {}
         for _, b, low, high, toxic, clean in rows:
@@ -193,8 +175,8 @@ def thresholds(counts: list[tuple[int, int, float, float, int, int]]) -> np.ndar
         return [bins[b] for b in sorted(bins)]
 
     common = threshold(merged(counts)) if counts else 0.0
-    moves = np.full(len(LANGS), common)
-    for k in range(len(LANGS)):
+    moves = np.full(langs + 1, common)
+    for k in range(langs + 1):
         own = merged([r for r in counts if r[0] == k])
         if min(sum(r[2] for r in own), sum(r[3] for r in own)) >= LEAST_LABELS:
             moves[k] = threshold(own)
@@ -206,9 +188,22 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return known.filter(~held_out(F.col("_id")))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> TextCnn | float:
+def chosen_ids(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> list:
+    """Ids of the fit: the labelled ones with the smallest hashes, within both bounds."""
+    first = known_labels(labels).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    sizes = docs.select(F.col("doc_id").alias("_id"), F.octet_length(F.coalesce("text", F.lit(""))).alias("_n")).join(F.broadcast(first), "_id").groupBy("_id").agg(F.sum("_n").alias("_n"))
+    ids, total = [], 0
+    for r in sizes.orderBy(F.xxhash64("_id"), "_id").collect():
+        if total + r["_n"] <= most_bytes:
+            ids.append(r["_id"])
+            total += r["_n"]
+    return ids
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> TextCnn | float:
     """The fitted classifier before its calibration, or the share of toxic labels where there is nothing to tell apart."""
-    chosen = known_labels(labels).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    ids = chosen_ids(docs, labels, most, most_bytes)
+    chosen = known_labels(labels).join(F.broadcast(_id_frame(docs, ids)), "_id")
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "text").limit(most).toPandas()
     y = rows["_y"].to_numpy()
     if len(set(y)) < 2:
@@ -216,39 +211,41 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> TextCnn
     model = TextCnn()
     fitted = np.arange(len(y)) % 5 != 4 if len(y) >= 500 else np.ones(len(y), bool)
     texts = rows["text"].tolist()
-    grams, offsets, _ = all_features([t for t, ok in zip(texts, fitted, strict=True) if ok])
+    grams, offsets = all_features([t for t, ok in zip(texts, fitted, strict=True) if ok])
     model.fit(grams, offsets, y[fitted])
     model.fitted = sorted(set(rows["_id"][fitted].tolist())) if len(y) >= 500 else []
     return model
 
 
+def _id_frame(docs: DataFrame, ids: list) -> DataFrame:
+    return docs.sparkSession.createDataFrame([(k,) for k in ids], docs.select(F.col("doc_id").alias("_id")).schema)
+
+
 def label_counts(raw: DataFrame, labels: DataFrame, fitted: list) -> list[tuple]:
     """What thresholds() reads, of all labelled rows but the held-out fold and the fitted ids; bounded by languages and bins."""
     known = known_labels(labels)
     if fitted:
-        out = raw.sparkSession.createDataFrame([(k,) for k in fitted], raw.select(F.col("doc_id").alias("_id")).schema)
-        known = known.join(F.broadcast(out), "_id", "left_anti")
+        known = known.join(F.broadcast(_id_frame(raw, fitted)), "_id", "left_anti")
     rows = raw.select(F.col("doc_id").alias("_id"), "z", "lang").join(known, "_id")
     toxic = F.col("_y") == 1
     bins = rows.groupBy("lang", F.floor(F.col("z") * BINS).alias("bin")).agg(F.min("z"), F.max("z"), F.count_if(toxic), F.count_if(~toxic))
     return [tuple(r) for r in bins.collect()]
 
 
-def raw_scores(docs: DataFrame, model: TextCnn | float) -> DataFrame:
-    """One row per document: the score before calibration and the logistic function, and the guessed language's number."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def raw_scores(rows: DataFrame, model: TextCnn) -> DataFrame:
+    """One row for each of (doc_id, text, lang): the score before calibration and the logistic function, and the language's number."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         model = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts, lambda t: len(t or ""), 1_000_000):
-                rows, offsets, langs = features(texts[lo:hi])
-                z = np.clip(model.logits(rows, offsets).astype(float), -LIMIT, LIMIT)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(z), pa.array(langs.astype(np.int32))], names=["doc_id", "z", "lang"])
+                z = np.clip(model.logits(*features(texts[lo:hi])).astype(float), -LIMIT, LIMIT)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(z), batch.column(2).slice(lo, hi - lo)], names=["doc_id", "z", "lang"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, z double, lang int")
+    return rows.select("doc_id", "text", F.col("lang").cast("int").alias("lang")).mapInArrow(score, f"doc_id {kind}, z double, lang int")
 
 
 def moved(raw: DataFrame, moves: np.ndarray) -> DataFrame:
@@ -256,22 +253,16 @@ def moved(raw: DataFrame, moves: np.ndarray) -> DataFrame:
     return raw.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), z))))).alias("score"))
 
 
-def score_all(docs: DataFrame, model: TextCnn | float) -> DataFrame:
+def score_all(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """doc_id and score of each of (doc_id, text, lang); texts are scored once, and only ids, scores and languages meet the labels."""
+    model = train(docs, labels, most)
     if isinstance(model, float):
         return docs.select("doc_id", F.lit(model).alias("score"))
-    return moved(raw_scores(docs, model), model.moves)
-
-
-def calibrated(docs: DataFrame, labels: DataFrame, model: TextCnn) -> DataFrame:
-    """Scores of all documents; texts are read and scored once, and only ids, scores and languages meet the labels."""
-    raw = cut_lineage(raw_scores(docs, model))
-    model.moves = thresholds(label_counts(raw, labels, model.fitted))
-    return moved(raw, model.moves)
+    rows, langs = guessed(labelled(docs))
+    raw = cut_lineage(raw_scores(rows, model))
+    return moved(raw, thresholds(label_counts(raw, labels, model.fitted), langs))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
-    model = train(docs, labels)
-    scored = score_all(docs, model) if isinstance(model, float) else calibrated(docs, labels, model)
+    scored = score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
