@@ -1,10 +1,12 @@
 import collections
+import math
 import random
 
 import numpy as np
 
 from tracelake.llm.components import connected_components
-from tracelake.llm.near_dedup import Weights, block_links, classes, contents, distinct, frequent_words, keep_one, op9_near_dedup, samples, shingles, similarity
+from tracelake.llm import near_dedup
+from tracelake.llm.near_dedup import LEVEL, Weights, block_links, classes, contents, distinct, keep_one, op9_near_dedup, samples, shingle_weights, shingles, similarity
 
 
 def shingle_set(t):
@@ -12,8 +14,13 @@ def shingle_set(t):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
 
 
+def shingle_counts(t):
+    w = (t or "").split()
+    return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter([()])
+
+
 def plain_classes(rows):
-    """Union of all pairs with a plain Jaccard similarity of 0.8 or more."""
+    """Union of all pairs with a weighted Jaccard similarity of 0.8 or more, weights from exact document frequencies of shingles."""
     parent = list(range(len(rows)))
 
     def find(x):
@@ -22,14 +29,22 @@ def plain_classes(rows):
             x = parent[x]
         return x
 
-    sets = [shingle_set(t) for _, t in rows]
+    counts = [shingle_counts(t) for _, t in rows]
+    df = collections.Counter(h for c in counts for h in c)
+    level = {h: round(LEVEL * (1 + math.log(len(rows) / n) / math.log(max(2, len(rows))))) for h, n in df.items()}
+    total = [sum(level[h] * n for h, n in c.items()) for c in counts]
     index = collections.defaultdict(list)
-    for k, s in enumerate(sets):
-        for h in s:
+    for k, c in enumerate(counts):
+        for h in c:
             index[h].append(k)
-    for k, s in enumerate(sets):
-        for j, n in collections.Counter(j for h in s for j in index[h] if j < k).items():
-            if n / (len(s) + len(sets[j]) - n) >= 0.8:
+    for k, c in enumerate(counts):
+        shared = collections.Counter()
+        for h, n in c.items():
+            for j in index[h]:
+                if j < k:
+                    shared[j] += level[h] * min(n, counts[j][h])
+        for j, x in shared.items():
+            if x >= 0.8 * (total[k] + total[j] - x):
                 parent[find(k)] = find(j)
     groups = collections.defaultdict(set)
     for k, (i, _) in enumerate(rows):
@@ -85,18 +100,50 @@ def test_sampling_agrees_with_weighted_similarity():
 def test_similarity_and_blocks_equal_plain(spark, make_docs):
     texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d e f a b c d e f", "z", ""]
     df = make_docs(texts).selectExpr("cast(cast(doc_id as string) as binary) as node", "text")
-    bodies = {int(r.node): bytes(r.body) for r in contents(df, Weights(np.zeros(0, np.uint64), np.zeros(0), 5)).collect()}
+    bodies = {int(r.node): bytes(r.body) for r in contents(df, Weights(np.zeros(1, np.int64), 5)).collect()}
     assert abs(similarity(bodies[0], bodies[1]) - 4 / 5) < 1e-9
     assert similarity(bodies[0], bodies[3]) == 0 and similarity(bodies[4], bodies[4]) == 1
+    assert abs(similarity(bodies[0], bodies[2]) - 2 / 10) < 1e-9  # an occurrence counts
     assert block_links([0, 1, 2], [bodies[0], bodies[1], bodies[2]], np.zeros(3)) == [(0, 1)]
 
 
-def test_document_frequencies_are_exact(spark, make_docs):
+def test_document_frequencies(spark, make_docs):
+    """Every document adds one to the counter of each of its shingles, whatever the partitions."""
     rng = random.Random(8)
-    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(300)]
-    w = frequent_words(make_docs(texts).repartition(7), floor=0.25)
-    df = collections.Counter(x for t in texts for x in set(t.split()))
-    assert len(w.words) == sum(n >= 0.25 * 300 for n in df.values())
+    texts = [" ".join(rng.choice("abc") for _ in range(8)) for _ in range(300)] + [None, ""]
+    w = shingle_weights(make_docs(texts).repartition(7))
+    df = collections.Counter(h for t in texts for h in set(shingle_counts(t)) if h)
+    for h, n in df.items():
+        key, _ = shingles([" ".join(h)])
+        assert abs(int(w.of(key)[0]) - LEVEL * (1 + math.log(len(texts) / n) / math.log(len(texts)))) <= 1
+
+
+def test_null_and_equal_ids(spark):
+    """Near copies without ids are linked, to each other and to a row with one; texts that share an id are told apart."""
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 9**6)}" for _ in range(200)]
+    near = " ".join(words)
+    nearer = " ".join([*words[:-1], "edit"])
+    other, third = (" ".join(f"v{rng.randint(0, 9**6)}" for _ in range(100)) for _ in range(2))
+    docs = spark.createDataFrame([(None, near), (7, nearer), (5, other), (5, near + " end"), (None, third), (None, None)], "doc_id long, text string")
+    got = {r.text: (r.class_id, r.class_size) for r in classes(docs).join(docs.selectExpr("text", "unhex(md5(coalesce(text, ''))) as node"), "node").collect()}
+    assert got[near] == got[nearer] == got[near + " end"] == (5, 3) and got[other] == (5, 1) and got[third] == (None, 1) and got[None] == (None, 1)
+    kept = sorted(str(r.text) for r in keep_one(spark, docs, "").collect())
+    assert kept == sorted([near + " end", other, third, "None"])
+
+
+def test_one_large_bucket(spark, make_docs, monkeypatch):
+    """Hundreds of near copies of a text, and of another that is 0.6 alike to it, in small blocks: two classes, whatever is hot."""
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 9**6)}" for _ in range(150)]
+    half = base[:110] + [f"u{rng.randint(0, 9**6)}" for _ in range(40)]
+    texts = []
+    for k in range(260):
+        own = list(base if k % 2 else half)
+        own[rng.randrange(150)] = f"edit{k}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    assert found_classes(classes(make_docs(texts)).collect()) == plain_classes(list(enumerate(texts)))
 
 
 def test_components(spark):
@@ -110,8 +157,8 @@ def test_components(spark):
 
 
 def test_distinct_counts():
-    key, level, offsets = shingles(["a b c d e a b c d e a b c d e", "", "x"], Weights(np.zeros(0, np.uint64), np.zeros(0), 1))
-    k, _, n, o = distinct(key, level, offsets)
+    key, offsets = shingles(["a b c d e a b c d e a b c d e", "", "x"])
+    k, n, o = distinct(key, offsets)
     assert n.sum() == len(key) and o.tolist() == [0, 5, 5, 6]
 
 

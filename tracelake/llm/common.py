@@ -63,6 +63,25 @@ def small_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", li
     return left.join(F.broadcast(right) if few else right, on, how)
 
 
+#: A key with more than this part of all rows is hot; there are fewer such keys.
+SHARE = 64
+
+
+def hot_keys(counts: DataFrame, key: str, size: str) -> list:
+    """The keys of (key, size) that hold more than 1 / SHARE of all rows, so fewer than SHARE of them."""
+    total = counts.agg(F.sum(size)).first()[0] or 0
+    return [r[0] for r in counts.filter(F.col(size) > total / SHARE).select(key).collect() if r[0] is not None]
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """Join with a right side of one row for each key; the rows of hot keys stay where they are and meet a broadcast."""
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    rest = left.filter(~is_hot | F.col(key).isNull()).join(right, key, how)
+    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how).unionByName(rest)
+
+
 def literal_doubles(values: np.ndarray) -> Column:
     """A constant array<double> of bounded length, folded once by the optimizer."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
