@@ -75,6 +75,12 @@ def test_null_and_repeated_ids(spark):
     assert reduced(docs.limit(0))[0].count() == 0
 
 
+def test_ids_of_other_types(spark):
+    t = "the quick brown fox jumps over the lazy dog again and again until night falls"
+    rows = [("b", t), ("a", t + " x"), (None, t), ("10", t + "!"), ("9", "short")]
+    assert run(spark.createDataFrame(rows, "doc_id string, text string")) == sorted(plain([(i, t) for i, t in rows]), key=str)
+
+
 def test_stage(spark, make_docs):
     texts = ["é" * 60 + " first", "x" + "é" * 60 + " second text", "é" * 60 + " first", None]
     docs = make_docs(texts).withColumnRenamed("source", "_kept")

@@ -11,11 +11,12 @@ least of some `SPAN`-byte string. Equal strings have equal anchors, so each shar
 3. The latter are cut from their texts and ordered by deep-shallow sorting (deep_shallow.py): equal strings become
    neighbours, and those of larger documents go. Anchors with more than `CROWD` contexts send single strings to
    the strings' own parts instead, so a passage in very many documents does not meet in one task.
-4. Texts with something to remove are joined with their spans; the others are only hashed.
+4. Texts with something to remove are joined with their spans; the others are only hashed. Of texts, only those with contexts to be cut or
+   spans to be removed are shuffled, compressed (all of them beyond `BROADCAST_ROWS` such texts).
 
 Defined cases: a null text is empty; a null doc_id is neither smaller nor larger than any, so such rows are kept
 whole; rows of equal doc_id do not remove from each other; texts under `SPAN` bytes are kept whole; very long texts
-are read whole; extra columns are carried along by the pipeline stage.
+are read whole; ids of any type that Spark can order will do; extra columns are carried along by the pipeline stage.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ GRAM = 20
 BEFORE = SPAN - GRAM
 #: Contexts of one anchor beyond which its strings are dealt out one by one.
 CROWD = 2000
-PART_DOCS = 3000
+#: Bytes of text for one part of anchors.
+PART_BYTES = 8_000_000
 #: Parts of contexts for one of anchors; a context takes its whole text along.
 CONTEXT_PARTS = 4
 #: Bytes of text that a task works on at once.
@@ -352,13 +354,30 @@ def text_mark() -> Column:
     return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), spans: what to remove, for each document with something to remove."""
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
-    parts = max(8, -(-docs.count() // PART_DOCS))
+def with_number(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column in the order of doc_id, null for null ids; ids that are no integers are numbered by a range sort."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    ids = docs.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
+    ids = cut_lineage(ids.repartitionByRange("_id").sortWithinPartitions("_id").withColumn(name, F.monotonically_increasing_id()))
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+
+
+def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with the given keys, found before anything is shuffled where the keys are few."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys), on, "left_semi") if few else rows
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), spans: what to remove, for each document (doc_id long, text) with something to remove."""
+    rows = rows.filter("doc_id is not null").select("doc_id", text_mark().alias("mark"), "text")
+    parts = max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     met = cut_lineage(meet(find_anchors(rows, parts), parts))
-    opened = gather(met, "open", (CONTEXT, CROWDED)).filter(F.size("open") > 0)
-    cut = cut_contexts(squeeze(rows, "text").join(opened, ["doc_id", "mark"]), CONTEXT_PARTS * parts)
+    opened = cut_lineage(gather(met, "open", (CONTEXT, CROWDED)).filter(F.size("open") > 0))
+    asked = only(rows, opened.select("doc_id", "mark"), ["doc_id", "mark"])
+    cut = cut_contexts(squeeze(asked, "text").join(opened, ["doc_id", "mark"]), CONTEXT_PARTS * parts)
     return cut_lineage(gather(met.union(sort_contexts(cut, parts)), "spans", (DECIDED, RUNS)))
 
 
@@ -367,10 +386,11 @@ def reduced(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, str]:
 
     as_text: kept is text instead, without what is left of characters that were cut in two.
     """
-    name, mark, sp = (free_name(docs, x) for x in ("_kept", "_mark", "_spans"))
-    found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("mark").alias(mark), F.col("spans").alias(sp))
-    rows = docs.withColumn(mark, text_mark())
-    same = F.col("doc_id").cast("long") == F.col("_id")
+    name, mark, sp, num = (free_name(docs, x) for x in ("_kept", "_mark", "_spans", "_number"))
+    rows = with_number(docs, num)
+    found = spans(rows.select(F.col(num).alias("doc_id"), "text")).select(F.col("doc_id").alias("_id"), F.col("mark").alias(mark), F.col("spans").alias(sp))
+    rows = rows.withColumn(mark, text_mark())
+    same = F.col(num) == F.col("_id")
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = F.struct(F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (text if as_text else text.cast("binary")).alias("kept"))
     keys = found.select("_id").distinct()
@@ -401,7 +421,7 @@ def reduced(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, str]:
     out = joined.mapInArrow(remove, schema)
     if untouched is not None:
         out = out.union(untouched.withColumn(name, whole))
-    return out.drop(mark), name
+    return out.drop(mark, num), name
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
