@@ -5,11 +5,10 @@ texts are too many to deal out, so anchors choose among them: a run of `GRAM` by
 least of some `SPAN`-byte string. Equal strings have equal anchors, so each shared string meets its copy at one.
 
 1. Tasks find anchors and send (hash, hash of the context) to the hash's part. The context, all `SPAN`-byte strings
-   over the anchor, reaches `SPAN - GRAM` bytes before and `SPAN` after its start. Copies within a task meet there already.
-2. A part finds, for each anchor, contexts that a smaller document has in full (all its strings go), and contexts
-   that only share the anchor.
-3. The latter are cut from their texts and ordered by deep-shallow sorting (deep_shallow.py): equal strings become
-   neighbours, and those of larger documents go. Anchors with more than `CROWD` contexts send single strings to
+   over the anchor, reaches `SPAN - GRAM` bytes before and `SPAN` after its start. Copies within a task meet there already, compared byte by byte.
+2. A part finds the anchors that several documents have; hashes decide nothing else.
+3. The contexts of these are cut from their texts, equal ones of a task are brought to one, and the rest are ordered by deep-shallow sorting
+   (deep_shallow.py): equal strings become neighbours, and those of larger documents go. Anchors with more than `CROWD` contexts send single strings to
    the strings' own parts instead, so a passage in very many documents does not meet in one task.
 4. Texts with something to remove are joined with their spans; the others are only hashed. Of texts, only those with contexts to be cut or
    spans to be removed are shuffled, compressed (all of them beyond `BROADCAST_ROWS` such texts).
@@ -91,12 +90,12 @@ def sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     return least(out[: len(values) - width + 1], out[width - have : len(values) - have + 1]) if width > have else out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all anchors in texts laid end to end, their texts, hashes, and hashes of their contexts."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all anchors in texts laid end to end, their texts, hashes, hashes of their contexts, and where these begin and end."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < SPAN:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     c, q = prefix_sums(data)
     span = lambda a, b: (c[b] - c[a]) * q[a]
     g = mix64((c[GRAM:] - c[:-GRAM]) * q[: n - GRAM + 1])
@@ -109,7 +108,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     doc = np.searchsorted(offsets, at, side="right") - 1
     lo, hi = np.maximum(offsets[doc], at - BEFORE), np.minimum(offsets[doc + 1], at + SPAN)
     around = mix64(mix64(span(lo, hi)) + (at - lo).astype(np.uint64) * np.uint64(64) + (hi - at).astype(np.uint64))
-    return at, doc, g[at], around
+    return at, doc, g[at], around, lo, hi
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a equal those from b, each."""
+    out = np.ones(len(a), bool)
+    for k in range(int(size.max()) if len(size) else 0):
+        live = np.flatnonzero(out & (k < size))
+        out[live] = data[a[live] + k] == data[b[live] + k]
+    return out
 
 
 def _laid(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,15 +220,17 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
         for batch in slices(batches, 2, AT_ONCE):
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = _laid(batch.column(2).to_pylist())
-            at, doc, h, around = anchors(data, offsets)
+            at, doc, h, around, lo, hi = anchors(data, offsets)
             if not len(at):
                 continue
             own, mark, place = ids[doc], marks[doc], at - offsets[doc]
             key = mix64(h ^ (around * np.uint64(0x9E3779B97F4A7C15)))
             order = np.lexsort((own, key))
             new = np.concatenate(([True], np.diff(key[order]) != 0))
-            first = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = own[order] > first
+            first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = own[order] > own[first]
+            x, y = order[late], first[late]
+            late[late] = (hi[x] - lo[x] == hi[y] - lo[y]) & (at[x] - lo[x] == at[y] - lo[y]) & same_bytes(data, lo[x], lo[y], np.minimum(hi[x] - lo[x], hi[y] - lo[y]))
             known = _by_doc(own[order][late], mark[order][late], np.full(late.sum(), DECIDED), place[order][late])
             yield _batch(known[1] % parts, None, *known)
             left = np.sort(order[~late])
@@ -260,12 +270,11 @@ def meet(found: DataFrame, buckets: int) -> DataFrame:
         new_h = np.concatenate(([True], np.diff(h) != 0))
         new_c = new_h | np.concatenate(([True], np.diff(around) != 0))
         at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
-        gh, gc = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        least_c = own[at_c][gc]
+        gh = np.cumsum(new_h) - 1
         several = (np.minimum.reduceat(own, at_h) != np.maximum.reduceat(own, at_h))[gh]
         contexts = np.bincount(gh[at_c], minlength=len(at_h))[gh]
-        kind = np.where(own > least_c, DECIDED, np.where(contexts > CROWD, CROWDED, CONTEXT))
-        keep = (own > least_c) | (several & (contexts > 1))
+        kind = np.where(contexts > CROWD, CROWDED, CONTEXT)
+        keep = several
         ids, marks, kinds, places = _by_doc(own[keep], mark[keep], kind[keep], place[keep])
         return _marks(done, ids, marks, kinds, places, buckets)
 
@@ -282,6 +291,7 @@ def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
         for batch in slices(batches, 2, AT_ONCE // 3):
             ids, marks, texts, opened = (batch.column(k).to_pylist() for k in range(4))
             held: dict[int, list] = {}
+            whole: dict[tuple[int, bytes], list] = {}
             single: dict[bytes, list] = {}
             for i in range(len(ids)):
                 raw = expand(texts[i])
@@ -292,17 +302,20 @@ def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
                             for s in range(a, b - SPAN + 1):
                                 single.setdefault(raw[s : s + SPAN], []).append((ids[i], marks[i], s))
                         else:
-                            gram = raw[p : p + GRAM]
-                            part = int.from_bytes(hashlib.blake2b(gram, digest_size=6).digest(), "big") % parts
-                            held.setdefault(part, []).append((ids[i], marks[i], a, raw[a:b]))
+                            whole.setdefault((p - a, raw[a:b]), []).append((ids[i], marks[i], a))
             done = []
+            for (at, context), places in whole.items():
+                least = min(x[0] for x in places)
+                done += [(i, m, a + at, DECIDED) for i, m, a in places if i > least]
+                part = int.from_bytes(hashlib.blake2b(context[at : at + GRAM], digest_size=6).digest(), "big") % parts
+                held.setdefault(part, []).extend((*x, context) for x in places if x[0] == least)
             for s, places in single.items():
                 least = min(x[0] for x in places)
-                done += [x for x in places if x[0] > least]
+                done += [(*x, RUNS) for x in places if x[0] > least]
                 part = int.from_bytes(hashlib.blake2b(s, digest_size=6).digest(), "big") % parts
                 held.setdefault(part, []).extend((*x, s) for x in places if x[0] == least)
             if done:
-                known = _by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1)), np.full(len(done), RUNS), np.array([x[2] for x in done], np.int64))
+                known = _by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1, 3, 2)))
                 yield _batch(known[1] % parts, None, *known)
             blobs = []
             for entries in held.values():
