@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -99,6 +100,19 @@ def run_id() -> str:
     return uuid.uuid4().hex
 
 
+def _large_arrays_by_page() -> None:
+    """Have the C library map arrays of 2 MB or more by pages of their own, which go back to the machine when an array ends.
+
+    It would else raise that limit with use and keep what tasks have freed, so that workers grow with the number of their tasks.
+    """
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 2_000_000)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_large_arrays_by_page()
+
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _P = 0x9E3779B97F4A7C15 | 1

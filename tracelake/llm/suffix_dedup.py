@@ -41,6 +41,8 @@ CROWD = 2000
 PART_BYTES = 8_000_000
 #: Parts of contexts for one of anchors; a context takes its whole text along.
 CONTEXT_PARTS = 4
+#: Shares that the contexts of a part are ordered in, one after the other.
+SHARES = 16
 #: Bytes of text that a task works on at once.
 AT_ONCE = 600_000
 DECIDED, CONTEXT, CROWDED, RUNS = 0, 1, 2, 3
@@ -281,6 +283,12 @@ def meet(found: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("part").applyInArrow(judge, _MARKS)
 
 
+def _deal(key: bytes, parts: int) -> tuple[int, int]:
+    """The part where strings with this key meet, and the share of it that is ordered at once."""
+    h = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big")
+    return h % parts, h // parts % SHARES
+
+
 def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
     """From (doc_id, mark, text, open: [(kind, places)]): blobs of strings for each part."""
 
@@ -307,20 +315,20 @@ def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
             for (at, context), places in whole.items():
                 least = min(x[0] for x in places)
                 done += [(i, m, a + at, DECIDED) for i, m, a in places if i > least]
-                part = int.from_bytes(hashlib.blake2b(context[at : at + GRAM], digest_size=6).digest(), "big") % parts
-                held.setdefault(part, []).extend((*x, context) for x in places if x[0] == least)
+                part, share = _deal(context[at : at + GRAM], parts)
+                held.setdefault(part, []).extend((*x, context, share) for x in places if x[0] == least)
             for s, places in single.items():
                 least = min(x[0] for x in places)
                 done += [(*x, RUNS) for x in places if x[0] > least]
-                part = int.from_bytes(hashlib.blake2b(s, digest_size=6).digest(), "big") % parts
-                held.setdefault(part, []).extend((*x, s) for x in places if x[0] == least)
+                part, share = _deal(s, parts)
+                held.setdefault(part, []).extend((*x, s, share) for x in places if x[0] == least)
             if done:
                 known = _by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1, 3, 2)))
                 yield _batch(known[1] % parts, None, *known)
             blobs = []
             for entries in held.values():
                 sizes = np.array([len(e[3]) for e in entries], "<u4")
-                blobs.append(press.compress(pack_columns(*(np.array([e[k] for e in entries], "<i8") for k in (0, 1)), np.array([e[2] for e in entries], "<u4"), sizes, np.frombuffer(b"".join(e[3] for e in entries), np.uint8))))
+                blobs.append(press.compress(pack_columns(*(np.array([e[k] for e in entries], "<i8") for k in (0, 1)), np.array([e[2] for e in entries], "<u4"), sizes, np.array([e[4] for e in entries], np.uint8), np.frombuffer(b"".join(e[3] for e in entries), np.uint8))))
             yield _batch(list(held), blobs)
 
     return rows.select("doc_id", "mark", "text", "open").mapInArrow(cut, _OUT)
@@ -334,18 +342,29 @@ def sort_contexts(cut: DataFrame, buckets: int) -> DataFrame:
         done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
         if not rows.num_rows:
             return _marks(done, [], [], [], [], buckets)
-        cols = [unpack_columns(expand(b), "<i8", "<i8", "<u4", "<u4", "u1") for b in rows.column("blob").to_pylist()]
-        own, mark, start, size, data = (np.concatenate([c[k] for c in cols]) for k in range(5))
+        cols = [unpack_columns(expand(b), "<i8", "<i8", "<u4", "<u4", "u1", "u1") for b in rows.column("blob").to_pylist()]
+        own, mark, start, size, share, data = (np.concatenate([c[k] for c in cols]) for k in range(6))
+        del cols
         begin = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-        count = size.astype(np.int64) - SPAN + 1
-        entry = np.repeat(np.arange(len(size)), count)
-        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        order, rank = order_windows(data, begin[entry] + within, SPAN)
-        ids = own[entry[order]]
-        at = np.flatnonzero(np.concatenate(([True], np.diff(rank) != 0)))
-        late = ids > np.minimum.reduceat(ids, at)[rank]
-        w = order[late]
-        ids, marks, kinds, places = _by_doc(own[entry[w]], mark[entry[w]], np.full(len(w), RUNS), start[entry[w]] + within[w])
+        late: list[tuple] = []
+        for k in range(SHARES):
+            some = np.flatnonzero(share == k)
+            if not len(some):
+                continue
+            sizes = size[some].astype(np.int64)
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            part = data[np.repeat(begin[some] - at[:-1], sizes) + np.arange(at[-1])]
+            count = sizes - SPAN + 1
+            entry = np.repeat(np.arange(len(some)), count)
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            order, rank = order_windows(part, at[entry] + within, SPAN)
+            ids = own[some][entry[order]]
+            new = np.flatnonzero(np.concatenate(([True], np.diff(rank) != 0)))
+            w = order[ids > np.minimum.reduceat(ids, new)[rank]]
+            e = some[entry[w]]
+            late.append((own[e], mark[e], start[e] + within[w]))
+        own, mark, place = (np.concatenate([x[k] for x in late]) for k in range(3))
+        ids, marks, kinds, places = _by_doc(own, mark, np.full(len(own), RUNS), place)
         return _marks(done, ids, marks, kinds, places, buckets)
 
     return cut.groupBy("part").applyInArrow(compare, _MARKS)
