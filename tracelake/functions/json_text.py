@@ -46,3 +46,10 @@ def message_text(value: Column) -> Column:
         return values.map(text_of)
 
     return F.pandas_udf(walk, T.StringType())(value)
+
+
+def content_types(content: Column) -> Column:
+    """Distinct types of the blocks of a JSON content array, in first-seen order; `text` for a plain text, none for a null."""
+    blocks = F.from_json(content, "array<string>")
+    types = F.array_distinct(F.array_compact(F.transform(blocks, lambda b: F.get_json_object(b, "$.type"))))
+    return F.when(content.isNull(), F.array().cast("array<string>")).when(F.trim(content).startswith("["), F.coalesce(types, F.array().cast("array<string>"))).otherwise(F.array(F.lit("text")))

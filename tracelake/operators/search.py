@@ -51,23 +51,74 @@ def query_terms(query: str) -> list[str]:
 
 
 def score_postings(postings: DataFrame, stats: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, score (6 decimals), matched_terms; df by a window over the postings of the few terms asked for."""
-    df = F.count(F.lit(1)).over(Window.partitionBy("term"))
-    rows = postings.withColumn("df", df).crossJoin(F.broadcast(stats))
+    """doc_id, score (6 decimals), matched_terms from stored postings of at most MAX_QUERY_TERMS terms, whose df are counted first and broadcast."""
+    rows = postings.join(F.broadcast(term_df(postings)), "term").crossJoin(F.broadcast(stats))
     part = idf(F.col("docs"), F.col("df")) * bm25(F.col("tf"), F.col("doc_len"), F.col("total_doc_len") / F.col("docs"))
     return rows.groupBy(doc_id).agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched_terms"))
 
 
+def live(postings: DataFrame, locator: DataFrame, keys: tuple[str, ...] = ("doc_id", "version")) -> DataFrame:
+    """Postings of the versions that the locator names; those of older versions are stale."""
+    return postings.join(locator.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def query_stats(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """One row for a query: docs, total_doc_len, and df (an array in the terms' order)."""
+    rows = docs.select(tokens(F.col(text)).alias("t"))
+    df = F.array(*(F.count_if(F.array_contains("t", t)) for t in terms))
+    return rows.agg(F.count_if(F.size("t") > 0).alias("docs"), F.sum(F.size("t")).cast("long").alias("total_doc_len"), df.alias("df"))
+
+
+def times(array: str, value: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == value))
+
+
+def score_documents(docs: DataFrame, terms: list[str], text: str = "text", stats: DataFrame | None = None) -> DataFrame:
+    """docs with score and matched_terms, those that match; nothing is shuffled but the one row of the query's statistics."""
+    rows = docs.withColumn("_t", tokens(F.col(text))).withColumn("_n", F.array(*(times("_t", t) for t in terms)))
+    rows = rows.withColumn("_len", F.size("_t")).filter(F.exists("_n", lambda n: n > 0)).drop("_t").crossJoin(F.broadcast(stats if stats is not None else query_stats(docs, terms, text)))
+    part = lambda n, d: idf(F.col("docs"), d) * bm25(n, F.col("_len"), F.col("total_doc_len") / F.col("docs"))
+    parts = F.zip_with("_n", "df", lambda n, d: F.when(n > 0, part(n, d)).otherwise(0.0))
+    score = F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6)
+    return rows.withColumns({"score": score, "matched_terms": F.size(F.filter("_n", lambda n: n > 0)).cast("long")}).drop("_n", "_len", "docs", "total_doc_len", "df")
+
+
 def search_events(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text", limit: int = 25, min_match: int = 1, min_score: float = 0.0) -> DataFrame:
     """Best documents with their text: score descending, then doc_id."""
     terms = query_terms(query)
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched_terms"), text).limit(0)
-    scored = score_postings(build_postings(docs, doc_id, text, terms), corpus_stats(docs, text), doc_id)
+    scored = score_documents(docs.select(doc_id, text), terms, text).select(doc_id, "score", "matched_terms")
     top = scored.filter((F.col("matched_terms") >= min_match) & (F.col("score") >= min_score)).orderBy(F.desc("score"), doc_id).limit(limit)
     return docs.select(doc_id, text).join(F.broadcast(top), doc_id)  # at most `limit` rows
 
 
+def search_scoped(events: DataFrame, query: str, scope: DataFrame | None = None, on: tuple[str, ...] = ("session_id",), page: int = 1, size: int = 25, min_match: int = 1, text: str = "text_content") -> DataFrame:
+    """A page of hits within a scope (sessions, or sessions and turns): frequencies of the scope, equal scores newest first, ranks counted on over pages."""
+    terms = query_terms(query)
+    rows = events.join(scope.select(*on).distinct(), list(on), "left_semi") if scope is not None else events
+    scored = score_documents(rows.select("session_id", "event_uid", "event_ts", text), terms, text) if terms else rows.limit(0).withColumns({"score": F.lit(0.0), "matched_terms": F.lit(0).cast("long")})
+    order = [F.desc("score"), F.desc("event_ts"), F.col("event_uid")]
+    first = (page - 1) * size
+    top = scored.filter(F.col("matched_terms") >= min_match).orderBy(*order).limit(first + size)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))  # at most the pages so far
+    return ranked.filter(F.col("rank") > first).select("rank", "session_id", "event_uid", "event_ts", "score", "matched_terms", text)
+
+
+def in_given_order(df: DataFrame, key: str, wanted: list) -> DataFrame:
+    """The rows whose key is in a list, with their place in it (from 1), in its order."""
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col(key)).cast("long")
+    return df.filter(F.col(key).isin(*wanted)).withColumn("place", place).orderBy("place")
+
+
+def telemetry(query: str, hits: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """What a search leaves behind: one row of the query, and one of each hit with its rank; hits are a page."""
+    qid = F.sha2(F.lit(query), 256)
+    summary = hits.agg(F.count(F.lit(1)).alias("n_hits"), F.max("score").alias("best_score")).select(qid.alias("query_id"), F.lit(query).alias("query"), F.lit(len(query_terms(query))).cast("long").alias("n_terms"), "n_hits", "best_score")
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), doc_id)).cast("long")
+    return summary, hits.select(qid.alias("query_id"), rank.alias("rank"), doc_id, "score", "matched_terms")
+
+
 def search_sessions(docs: DataFrame, query: str, session: str, doc_id: str = "doc_id", text: str = "text", limit: int = 25, min_match: int = 1) -> DataFrame:
     """Sessions by summed event scores, with distinct terms matched and the best event."""
     terms = query_terms(query)

@@ -58,10 +58,20 @@ def neighbours(trace: DataFrame) -> DataFrame:
 def context_window(trace: DataFrame, targets: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
     """Events within `before` and `after` of each target (event_uid) in its session, target flagged."""
     at = trace.join(targets.select("event_uid").distinct(), "event_uid", "left_semi").select("session_id", F.col("event_uid").alias("target_uid"), F.col("event_order").alias("target_order"))
-    near = trace.join(at, "session_id").filter(F.col("event_order").between(F.col("target_order") - before, F.col("target_order") + after))
+    wanted = at.withColumn("event_order", F.explode(F.sequence(F.col("target_order") - before, F.col("target_order") + after)))
+    near = trace.join(wanted, ["session_id", "event_order"])  # a few places for each target, not all events of its session
     return near.withColumn("is_target", F.col("event_uid") == F.col("target_uid"))
 
 
+def open_turn(trace: DataFrame, turn_seq: int, after: int = 0, limit: int = 50, snapshot: Column | None = None) -> DataFrame:
+    """Events of a turn behind an ordinal, with the turn's snapshot; stale tells that the turn is no longer the one of the given snapshot."""
+    rows = trace.filter(F.col("turn_seq") == turn_seq)
+    now = turn_digest(rows).select("session_id", F.col("snapshot").alias("turn_snapshot"))
+    page = rows.filter(F.col("event_ordinal").between(after + 1, after + limit)).join(now, "session_id")
+    stale = F.lit(False) if snapshot is None else ~F.col("turn_snapshot").eqNullSafe(snapshot)
+    return page.withColumn("stale", stale)
+
+
 def turn_digest(trace: DataFrame) -> DataFrame:
     """Of each turn: first user text, last assistant text, terminal event, tools in first-seen order, and its identity hash."""
     user, reply = is_user_message(), (F.col("actor_kind") == "assistant") & (F.col("event_kind") == "message")

@@ -16,7 +16,7 @@ FRAGMENT_CHARS = 20_000
 EPOCH = "1970-01-01 00:00:00"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """source_file, source_line_no (from 1), source_offset (bytes before, for \\n line ends), value."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
     w = Window.partitionBy("source_file").orderBy("_block", "_id")

@@ -7,14 +7,17 @@ collapse versions (`operators.trace.latest`), so a replay changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.functions.redaction import redact
 from tracelake.operators.trace import latest
 from tracelake.sources.adapters import links, normalize
-from tracelake.sources.jsonl import raw_rows, split_records
+from tracelake.sources.jsonl import FRAGMENT_CHARS, exclude_paths, is_object, quarantine, raw_rows, read_lines, split_records
 from tracelake.sources.sinks import append
 
 TABLES = ("raw", "events", "links", "errors")
@@ -27,27 +30,83 @@ def line_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
 
 
 def number_lines(batch: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = batch.withColumn("_id", F.monotonically_increasing_id())
     w = Window.partitionBy("source_file").orderBy("source_offset", "_id")
     return rows.withColumn("source_line_no", F.row_number().over(w).cast("long")).drop("_id")
 
 
-def write_batch(batch: DataFrame, harness: str, base: str) -> None:
-    lines = number_lines(batch).persist()
+def write_batch(batch: DataFrame, harness: str, base: str, excluded: tuple[str, ...] = ()) -> None:
+    """Raw rows, events, links and errors of a batch, in this order; files of excluded paths are passed over, and rows too large for a sink are errors."""
+    lines = number_lines(exclude_paths(batch, list(excluded))).persist()
     records, errors = split_records(lines)
-    events = normalize(records.withColumn("value", redact(F.col("value"))), harness)
+    events, large = quarantine(normalize(records.withColumn("value", redact(F.col("value"))), harness))
+    events = events.persist()
     append(raw_rows(lines.withColumn("value", redact(F.col("value")))), f"{base}/raw")
     append(events, f"{base}/events")
     append(links(events), f"{base}/links")
-    append(errors.withColumn("fragment", redact(F.col("fragment"))), f"{base}/errors")
+    big = large.select("source_file", "source_line_no", F.lit("row_too_large").alias("error_kind"), F.lit("row_too_large").alias("error_text"), F.left("payload_json", F.lit(FRAGMENT_CHARS)).alias("fragment"))
+    append(errors.withColumn("fragment", redact(F.col("fragment"))).unionByName(big), f"{base}/errors")
+    events.unpersist()
     lines.unpersist()
 
 
-def start(spark: SparkSession, path: str, harness: str, base: str, checkpoint: str, once: bool = True, interval: str = "1 second") -> StreamingQuery:
+def progress(raw: DataFrame, events: DataFrame, errors: DataFrame) -> DataFrame:
+    """Counters of each source file: lines, bytes, events and errors so far."""
+    lines = raw.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("value").cast("long")).alias("n_bytes"))
+    of = lambda df, name: df.groupBy("source_file").agg(F.count(F.lit(1)).alias(name))
+    rows = lines.join(of(events, "n_events"), "source_file", "left").join(of(errors, "n_errors"), "source_file", "left")
+    return rows.na.fill(0, ["n_events", "n_errors"])
+
+
+CURSOR = "source_file string, generation int, size long, n_lines long"
+
+
+def tail(spark: SparkSession, path: str, cursors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines appended to the files under a path since the cursors, numbered on, and the new cursors.
+
+    Files that have not grown are not opened; a file shorter than its cursor was written anew, so it is read from the start in its next generation. A last line without
+    its end is left for the next time only if it is no whole JSON value yet, as the text reader does not tell.
+    """
+    found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.col("length").alias("size"))  # lists files, reads no content
+    old = cursors if cursors is not None else spark.createDataFrame([], CURSOR)
+    old = old.select("source_file", F.col("generation").alias("g"), F.col("size").alias("s"), F.col("n_lines").alias("l"))
+    state = found.join(F.broadcast(old), "source_file", "left")
+    state = state.select("source_file", "size", F.when(F.col("size") < F.col("s"), F.col("g") + 1).otherwise(F.coalesce("g", F.lit(0))).alias("generation"), F.when(F.col("size") < F.col("s"), 0).otherwise(F.coalesce("l", F.lit(0))).alias("seen"), F.coalesce(F.col("size") != F.col("s"), F.lit(True)).alias("grown"))
+    grown = [r[0] for r in state.filter("grown").select("source_file").collect()]
+    if not grown:
+        return spark.createDataFrame([], "source_file string, source_line_no long, source_offset long, value string, generation int"), cursors if cursors is not None else old.select("source_file", F.col("g").alias("generation"), F.col("s").alias("size"), F.col("l").alias("n_lines"))
+    lines = read_lines(spark, grown)
+    last = Window.partitionBy("source_file").orderBy(F.desc("source_line_no"))
+    open_end = (F.row_number().over(last) == 1) & ~is_object(F.col("value"))
+    lines = lines.withColumn("_open", open_end).filter("NOT _open").drop("_open").join(F.broadcast(state.filter("grown")), "source_file")
+    fresh = lines.filter(F.col("source_line_no") > F.col("seen")).select("source_file", "source_line_no", "source_offset", "value", "generation")
+    ends = lines.groupBy("source_file").agg(F.max("source_line_no").alias("n"))
+    new = state.join(ends, "source_file", "left").select("source_file", "generation", "size", F.coalesce("n", "seen").cast("long").alias("n_lines"))
+    return fresh, new
+
+
+def stream_latency(events: DataFrame) -> DataFrame:
+    """Streaming `operators.trace.latency`: the delay of an assistant event right after a tool result, the last event of each session held as state."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kind, at = state.get if state.exists else ("", 0)
+        rows = pd.concat(list(frames)).sort_values(["event_ts", "event_uid"], kind="stable")
+        ms = (rows["event_ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+        delays = []
+        for k, actor, t in zip(rows["event_kind"], rows["actor_kind"], ms, strict=True):
+            delays.append(float(max(t - at, 0)) if kind == "tool_result" and actor == "assistant" else None)
+            kind, at = k, t
+        state.update((kind, at))
+        yield pd.DataFrame({"session_id": key[0], "event_uid": rows["event_uid"], "latency_ms": delays})
+
+    own = events.filter(F.lower("actor_kind").isin("user", "assistant", "tool")).select("session_id", "event_uid", "event_ts", "event_kind", "actor_kind")
+    return own.groupBy("session_id").applyInPandasWithState(step, "session_id string, event_uid string, latency_ms double", "kind string, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def start(spark: SparkSession, path: str, harness: str, base: str, checkpoint: str, once: bool = True, interval: str = "1 second", excluded: tuple[str, ...] = ()) -> StreamingQuery:
     """Start the ingest of a directory; once: take what is there and stop."""
-    writer = line_stream(spark, path).writeStream.foreachBatch(lambda df, _: write_batch(df, harness, base)).option("checkpointLocation", checkpoint)
+    writer = line_stream(spark, path).writeStream.foreachBatch(lambda df, _: write_batch(df, harness, base, excluded)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
