@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 
-from tracelake.llm.decontamination import align, drop_leaks, judge, op5_decontamination, reach
+from tracelake.llm.decontamination import align, drop_leaks, judge, op5_decontamination, reach, text_words
 
 
 def plain_align(a, b):
@@ -31,6 +31,32 @@ def test_whole_table_finds_every_copy(spark, sf):
                 assert k in rows[i].item_ids and rows[i].contaminated
 
 
+def test_recall_against_all_pairs(spark, sf, make_docs):
+    """Alignment of every item with every whole text: of what reaches the threshold at least 0.95 is found, and nothing else."""
+    rng = random.Random(8)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:25]
+    words = [w for _, t in items for w in t.split()]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and len(r.text) < 3000][:60]
+    for _, text in items:
+        for rate in (0.05, 0.15, 0.25, 0.35):  # copies with words changed, left out and put in
+            out = []
+            for w in text.split():
+                x = rng.random()
+                out += [w] if x > rate else [rng.choice(words)] if x > 0.6 * rate else [] if x > 0.3 * rate else [w, rng.choice(words)]
+            texts.append(" ".join([*rng.choices(words, k=20), *out, *rng.choices(words, k=20)]))
+    h, offsets = text_words(texts)
+    b, cuts = text_words([t for _, t in items])
+    want = set()
+    for d in range(len(texts)):
+        for k, (i, _) in enumerate(items):
+            item = b[cuts[k] : cuts[k + 1]]
+            if len(item) and align(item, h[offsets[d] : offsets[d + 1]]) >= 0.5 * 2 * len(item):
+                want.add((d, i))
+    rows, x = judge(make_docs(texts), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, m.item_id) for r in rows.collect() for m in r[x]}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
+
+
 def test_edited_copies_and_clean_texts(spark, make_docs):
     rng = random.Random(5)
     words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
