@@ -19,7 +19,7 @@ BLOCKS = [
 SAMPLES = {
     "codex": [{"timestamp": "2026-01-01T00:00:00Z", "type": "session_meta", "payload": {"id": "s", "cwd": "/r"}}, {"timestamp": "2026-01-01T00:00:01Z", "type": "response_item", "payload": {"type": "function_call", "name": "Read", "call_id": "c", "arguments": "{}"}},
               {"timestamp": "2026-01-01T00:00:02Z", "type": "compacted", "payload": {"message": "m", "replacement_history": [{"role": "user", "content": "old"}]}}],
-    "kimi-cli": [{"timestamp": 1775953944.5, "message": {"type": "TurnBegin", "payload": {"user_input": "hi"}}}, {"timestamp": 1775953945, "message": {"type": "ContentPart", "payload": {"type": "think", "think": "t"}}}],
+    "kimi-cli": [{"timestamp": 1790000000.5, "message": {"type": "TurnBegin", "payload": {"user_input": "hi"}}}, {"timestamp": 1790000001, "message": {"type": "ContentPart", "payload": {"type": "think", "think": "t"}}}],
     "qwen-code": [{"uuid": "a", "sessionId": "q", "timestamp": "2026-01-01T00:00:00Z", "type": "assistant", "message": {"parts": [{"text": "t", "thought": True}, {"functionCall": {"id": "f", "name": "sh", "args": {}}}]}}],
     "kiro-cli": [{"kind": "Prompt", "data": {"content": [{"kind": "text", "data": "hi"}], "meta": {"timestamp": 1780000000}}}, {"kind": "Compaction", "data": {"summary": "s"}}],
     "hermes": [{"timestamp": "2026-01-01T00:00:00", "model": "m", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "<think>t</think>\n<tool_call>{\"name\": \"w\", \"arguments\": {}}</tool_call>"}]}],
@@ -100,3 +100,50 @@ def test_documents_and_sqlite(spark, tmp_path):
 def test_merge_patch(spark):
     df = spark.createDataFrame([('{"a": 1, "b": {"c": 2}}', '{"b": {"c": null, "d": 3}}'), ("broken", '{"x": 1}'), (None, None)], "a string, b string")
     assert [r.m for r in df.select(merge_json("a", "b").alias("m")).collect()] == ['{"a":1,"b":{"d":3}}', '{"x":1}', "{}"]
+
+
+def test_tail_of_growing_files(spark, tmp_path):
+    a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    a.write_text('{"n": 1}\n{"n": 2}\n')
+    b.write_text('{"n": 9}\n')
+    said = lambda rows: sorted((r.source_file[-7:], r.source_line_no, r.value, r.generation) for r in rows.collect())
+    new, at = ingest.tail(spark, str(tmp_path))
+    assert said(new) == [("a.jsonl", 1, '{"n": 1}', 0), ("a.jsonl", 2, '{"n": 2}', 0), ("b.jsonl", 1, '{"n": 9}', 0)]
+    at = spark.createDataFrame(at.collect(), ingest.CURSOR)
+    a.write_text('{"n": 1}\n{"n": 2}\n{"n": 3}\n{"n"')  # a line more, and one that is not whole
+    new, at = ingest.tail(spark, str(tmp_path), at)
+    assert said(new) == [("a.jsonl", 3, '{"n": 3}', 0)]
+    at = spark.createDataFrame(at.collect(), ingest.CURSOR)
+    a.write_text('{"n": 1}\n{"n": 2}\n{"n": 3}\n{"n": 4}\n')
+    b.write_text("{}\n")  # written anew
+    new, at = ingest.tail(spark, str(tmp_path), at)
+    assert said(new) == [("a.jsonl", 4, '{"n": 4}', 0), ("b.jsonl", 1, "{}", 1)]
+    at = spark.createDataFrame(at.collect(), ingest.CURSOR)
+    new, again = ingest.tail(spark, str(tmp_path), at)
+    assert new.count() == 0 and sorted(again.collect()) == sorted(at.collect())
+
+
+def test_excluded_paths_and_progress(spark, tmp_path):
+    write(tmp_path / "kept.jsonl", [*BLOCKS, "{broken"])
+    write(tmp_path / "secret.jsonl", BLOCKS)
+    base = str(tmp_path / "out")
+    lines = spark.read.text(str(tmp_path / "*.jsonl")).selectExpr("_metadata.file_path as source_file", "_metadata.file_block_start as source_offset", "value")
+    ingest.write_batch(lines, "claude-code", base, ("secret",))
+    rows = ingest.progress(*(spark.read.parquet(f"{base}/{t}") for t in ("raw", "events", "errors"))).collect()
+    assert [(r.source_file[-10:], r.n_lines, r.n_events, r.n_errors) for r in rows] == [("kept.jsonl", 4, 6, 1)]
+
+
+def test_streaming_latency_equals_batch(spark, tmp_path):
+    from tracelake.operators.trace import conversation_trace, latency
+
+    kinds = [("message", "user"), ("tool_call", "assistant"), ("tool_result", "tool"), ("message", "assistant"), ("note", "system"), ("tool_result", "tool"), ("message", "assistant")]
+    rows = [(f"s{k % 3}", f"u{k:03}", f"2024-01-01 00:00:{k % 60:02}", *kinds[(k // 3) % 7]) for k in range(60)]
+    df = spark.createDataFrame(rows, "session_id string, event_uid string, ts string, event_kind string, actor_kind string").selectExpr("session_id", "event_uid", "timestamp(ts) as event_ts", "event_kind", "actor_kind")
+    for n, part in enumerate((df.filter("event_uid < 'u031'"), df.filter("event_uid >= 'u031'"))):  # two batches of the stream
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = ingest.stream_latency(stream).writeStream.format("memory").queryName("delays").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.event_uid: r.latency_ms for r in spark.table("delays").collect()}
+    want = {r.event_uid: r.latency_ms for r in latency(conversation_trace(df)).collect()}
+    assert got == want and any(want.values())
