@@ -132,6 +132,16 @@ def test_null_and_equal_ids(spark):
     assert kept == sorted([near + " end", other, third, "None"])
 
 
+def test_joins_beyond_the_broadcast_limit(spark, make_docs, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 9**6)}" for _ in range(80)]
+    texts = [" ".join(base[:k] + [f"edit{k}"] + base[k + 1 :]) if k % 2 else f"text {k} " * 9 for k in range(30)] + [None, " ".join(base), " ".join(base)]
+    docs = make_docs(texts)
+    few, kept = found_classes(classes(docs).collect()), sorted(r.doc_id for r in keep_one(spark, docs, "").collect())
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert found_classes(classes(docs).collect()) == few and sorted(r.doc_id for r in keep_one(spark, docs, "").collect()) == kept
+
+
 def test_one_large_bucket(spark, make_docs, monkeypatch):
     """Hundreds of near copies of a text, and of another that is 0.6 alike to it, in small blocks: two classes, whatever is hot."""
     rng = random.Random(3)

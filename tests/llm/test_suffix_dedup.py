@@ -67,6 +67,12 @@ def test_crowded_anchors_give_the_same(spark, make_docs, monkeypatch):
         cp.unregister_pickle_by_value(suffix_dedup)
 
 
+def test_joins_beyond_the_broadcast_limit(spark, make_docs, monkeypatch):
+    texts = adversarial()
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+    assert run(make_docs(texts)) == sorted(plain(list(enumerate(texts))), key=str)
+
+
 def test_null_and_repeated_ids(spark):
     t = "the quick brown fox jumps over the lazy dog again and again until night falls"
     rows = [(None, t), (1, t), (1, t), (2, t + "!"), (None, t)]

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Word separators of every operator: space and U+0009 to U+000D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
-#: Most rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Most rows of a side that may be broadcast; beyond it the join shuffles. Such sides hold ids, fingerprints and numbers, under 100 bytes a row.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
