@@ -6,8 +6,8 @@ outweigh all that it shares with them. Document frequencies are counted over all
 shingles add to a counter on average. Improved consistent weighted sampling draws `BANDS * ROWS` samples of a text; `ROWS` of them
 make a band key. Two texts are linked if their weighted Jaccard similarity is at least `SIMILARITY`.
 
-Texts that are equal are one node from the start. Within a bucket of a band, every node is compared with a leader that the
-bucket's key chooses (a star, linear in the bucket); nodes joined so are one class. In buckets of which more than one class is
+Texts that are equal are one node from the start. Within a bucket of a band, every node is compared with the
+smallest one (a star, linear in the bucket); nodes joined so are one class. In buckets of which more than one class is
 left, nodes are compared completely in pairs of blocks of about `BLOCK` nodes, among those whose total weights allow the similarity, so no link
 between candidates is lost and no pairs are written but links. Keys that hold over 1 / SHARE of the rows are joined by broadcast.
 
@@ -274,8 +274,7 @@ def bodies_of(docs: DataFrame, wanted: DataFrame, weights: Weights) -> DataFrame
 def links_of(docs: DataFrame, nodes: DataFrame, weights: Weights) -> DataFrame:
     """node, label: classes of nodes linked to others."""
     bands = nodes.select("node", "total", F.explode("keys").alias("key"))
-    leader = F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("node")))["node"]
-    leaders = bands.groupBy("key").agg(leader.alias("leader"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("all")).filter("size > 1")
+    leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("all")).filter("size > 1")
     leaders = cut_lineage(leaders)
     members = cut_lineage(join_spread(bands, leaders, "key", hot_keys(leaders, "key", "size")))
     pairs = members.filter("node <> leader").select("node", "leader").distinct()
