@@ -121,6 +121,18 @@ def samples(key: np.ndarray, weight: np.ndarray, offsets: np.ndarray, bands: int
     return out
 
 
+def pack_counts(counters: np.ndarray) -> bytes:
+    """The counters that are not zero, with their places; few of a small task's are."""
+    at = np.flatnonzero(counters)
+    return zlib.compress(at.astype("<u4").tobytes() + counters[at].astype("<i8").tobytes(), 1)
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zlib.decompress(blob)
+    n = len(data) // 12
+    return np.frombuffer(data, "<u4", n).astype(np.int64), np.frombuffer(data, "<i8", n, 4 * n)
+
+
 def shingle_weights(docs: DataFrame, counters: int = COUNTERS) -> Weights:
     """Weights from the counters of all documents; tasks count, and pieces of their counters are summed in two steps."""
     wide = -(-counters // PIECES)
@@ -136,20 +148,22 @@ def shingle_weights(docs: DataFrame, counters: int = COUNTERS) -> Weights:
         if n:
             group = int(total.sum()) % PIECES
             some = [k for k in range(PIECES) if total[k * wide : (k + 1) * wide].any()]
-            blobs = [zlib.compress(total[k * wide : (k + 1) * wide].astype("<i8").tobytes(), 1) for k in some]
+            blobs = [pack_counts(total[k * wide : (k + 1) * wide]) for k in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array(blobs, pa.binary())], names=["piece", "grp", "blob"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(wide, np.int64)
         for blob in group.column("blob").to_pylist():
-            total += np.frombuffer(zlib.decompress(blob), "<i8")
-        return pa.table({"piece": group.column("piece")[:1], "grp": group.column("grp")[:1], "blob": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            at, n = unpack_counts(blob)
+            total[at] += n
+        return pa.table({"piece": group.column("piece")[:1], "grp": group.column("grp")[:1], "blob": pa.array([pack_counts(total)], pa.binary())})
 
     schema = "piece int, grp int, blob binary"
     rows = docs.select("text").mapInArrow(count, schema).groupBy("piece", "grp").applyInArrow(add, schema).groupBy("piece").applyInArrow(add, schema).collect()
     total = np.zeros(PIECES * wide, np.int64)
     for r in rows:
-        total[r["piece"] * wide : (r["piece"] + 1) * wide] = np.frombuffer(zlib.decompress(r["blob"]), "<i8")
+        at, n = unpack_counts(r["blob"])
+        total[r["piece"] * wide + at] = n
     return Weights(total[:counters], docs.count())
 
 
