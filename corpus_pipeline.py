@@ -25,7 +25,7 @@ STAGES = [
     ("best-fit packing", pack_stage),
 ]
 
-#: SQL cannot express trained scores, sampling and packing; tests/llm compares `run` with plain Python.
+#: SQL cannot express trained scores, sampling and packing; tests/llm compares each stage with plain methods, and `run` with the stages in turn.
 ORACLE_SQL = None
 
 
