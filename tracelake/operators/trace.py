@@ -1,6 +1,6 @@
 """Versions, event order, turns, and summaries of turns and sessions.
 
-Windows share one partitioning by session_id, so order, turn and ordinal need a single exchange.
+Order, turn and ordinal come from one window by session and hour, so wide rows are exchanged once and long sessions are split.
 """
 
 from __future__ import annotations
@@ -21,14 +21,44 @@ def is_user_message() -> Column:
     return (F.col("actor_kind") == "user") & (F.col("event_kind") == "message")
 
 
+def _hour(events: DataFrame, first: str) -> Column:
+    """Hours of the column that rows are ordered by first, nulls before all; one value if it is no time."""
+    kind, at = dict(events.dtypes).get(first), F.col(first)
+    if kind == "timestamp":
+        hour = F.floor(F.unix_micros(at) / 3_600_000_000)
+    elif kind == "timestamp_ntz":
+        hour = F.unix_date(F.to_date(at)) * 24 + F.hour(at)
+    else:
+        return F.lit(0).cast("long")
+    return F.coalesce(hour.cast("long"), F.lit(-(1 << 62)))
+
+
 def conversation_trace(events: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """events with event_order, turn_seq (an explicit turn_index wins; at least 1) and event_ordinal within the turn."""
+    """events with event_order, turn_seq (an explicit turn_index wins; at least 1) and event_ordinal within the turn.
+
+    Each hour of a session is ordered as a group of its own and shifted by what the session's earlier hours hold, so a session
+    with a large part of all events is many tasks' work. A narrow pass counts the hours. Only explicit turns are numbered in one group each.
+    """
     order = tuple(c for c in order if c in events.columns)
-    w = Window.partitionBy("session_id").orderBy(*order)
-    running = F.sum(is_user_message().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    explicit = F.coalesce(F.col("turn_index"), F.lit(0)) if "turn_index" in events.columns else F.lit(0)
-    turn = F.when(explicit > 0, explicit).otherwise(F.greatest(running, F.lit(1))).cast("long")
-    rows = events.withColumns({"event_order": F.row_number().over(w).cast("long"), "turn_seq": turn})
+    rows = events.withColumn("_hour", _hour(events, order[0]))
+    w = Window.partitionBy("session_id", "_hour").orderBy(*order)
+    so_far, user = w.rowsBetween(Window.unboundedPreceding, 0), is_user_message()
+    narrow = rows.select(*dict.fromkeys(("session_id", "_hour", *order, "actor_kind", "event_kind"))).withColumn("_n", F.row_number().over(w))
+    hours = narrow.groupBy(F.col("session_id").alias("_session"), F.col("_hour").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(user).alias("_said"), F.max(F.when(user, F.col("_n"))).alias("_last"))
+    earlier = Window.partitionBy("_session").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumns({"_rows": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_said": F.coalesce(F.sum("_said").over(earlier), F.lit(0))})
+    hours = hours.withColumn("_last", F.max(F.col("_rows") + F.col("_last")).over(earlier))
+    rows = rows.withColumn("_n", F.row_number().over(w))
+    rows = rows.withColumns({"_s": F.coalesce(F.sum(user.cast("int")).over(so_far), F.lit(0)), "_l": F.max(F.when(user, F.col("_n"))).over(so_far)})
+    rows = rows.join(hours, F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("_hour") == F.col("_at")))
+    place, said, last = F.col("_n") + F.col("_rows"), F.col("_s") + F.col("_said"), F.coalesce(F.col("_l") + F.col("_rows"), F.col("_last"))
+    explicit = F.coalesce(F.col("turn_index"), F.lit(0)) if "turn_index" in events.columns else None
+    turn = F.greatest(said, F.lit(1))
+    turn = (turn if explicit is None else F.when(explicit > 0, explicit).otherwise(turn)).cast("long")
+    start = F.when(said > 1, last).otherwise(1)  # a turn begins with a user's message, the first one with the session
+    rows = rows.select(*(F.col(f"`{c}`") for c in events.columns), place.cast("long").alias("event_order"), turn.alias("turn_seq"), (place - start + 1).cast("long").alias("event_ordinal"))
+    if explicit is None:
+        return rows
     return rows.withColumn("event_ordinal", F.row_number().over(Window.partitionBy("session_id", "turn_seq").orderBy("event_order")).cast("long"))
 
 

@@ -452,7 +452,33 @@ def redact_literals(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", redaction.redact_literals(added).alias("text"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|access[_-]?token|auth(?:orization)?|bearer|client[_-]?secret|credential|passwd|password|private[_-]?key|secret|token)\b["'']?\s*[:=]\s*["'']?[0-9A-Za-z_./+=-]{20,}')) AS BIGINT) AS n FROM documents""")
+def _literals_gone(text: str) -> str:
+    for rule, shape in redaction.LITERAL.items():
+        text = f"regexp_replace({text}, '{shape}', '{redaction.placeholder(rule)}', 'g')"
+    return text
+
+
+def _judged(text: str) -> str:
+    """Assigned values of documents with their place, bits, the bits they must exceed, and whether a mark says that they are harmless."""
+    shape = redaction.ASSIGNED.replace("'", "''")
+    return f"""rd AS (SELECT doc_id, {text} AS t FROM documents),
+  va AS (SELECT doc_id, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM (SELECT doc_id, regexp_extract_all(t, '{shape}', 2) AS x FROM rd)),
+  ju AS (SELECT doc_id, place, v, (SELECT entropy(c) FROM (SELECT unnest(string_split(v, '')) AS c)) AS bits,
+    regexp_matches(lower(v), 'example|placeholder|changeme|notasecret|not-a-secret|dummy|sample|redacted|password|secret|token') OR len(list_distinct(string_split(lower(v), ''))) = 1
+      OR regexp_replace(lower(v), '[^0-9a-z]', '', 'g') IN ('abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba', '01234567890123456789', '12345678901234567890') AS harmless,
+    CASE WHEN regexp_full_match(v, '[0-9]+') THEN 3.0 + 1.2 / log2(length(v)) WHEN regexp_full_match(v, '[0-9A-Fa-f]+') THEN 3.0 WHEN regexp_full_match(v, '[0-9A-Za-z+/_=-]+') THEN 4.5 ELSE 3.5 END AS bar FROM va)"""
+
+
+@query(f"WITH {_judged('text')} SELECT doc_id, CAST(place AS BIGINT) AS place, CAST(length(v) AS BIGINT) AS n, round(bits, 6) AS bits, NOT harmless AND bits > bar AS secret FROM ju")
+def assigned_secrets(spark, d):
+    """Every assigned value of every document, each judged on its own."""
+    values = F.regexp_extract_all("text", F.lit(redaction.ASSIGNED), F.lit(2))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(values).alias("place", "v"))
+    return rows.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), F.length("v").cast("long").alias("n"), F.round(entropy(F.col("v")), 6).alias("bits"), redaction.looks_secret(F.col("v")).alias("secret"))
+
+
+@query(f"""WITH {_judged(_literals_gone('text'))}, s AS (SELECT doc_id, count(*) AS k FROM ju WHERE NOT harmless AND bits > bar GROUP BY doc_id)
+  SELECT doc_id, CAST(len(regexp_extract_all(t, '\\[REDACTED:[a-z0-9-]+\\]')) + coalesce(k, 0) AS BIGINT) AS n FROM rd LEFT JOIN s USING (doc_id)""")
 def redaction_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", redaction.placeholder_count(redaction.redact(F.col("text"))).cast("long").alias("n"))
 
