@@ -18,13 +18,15 @@ def overlaps(first: Column, last: Column, start, end) -> Column:
     return (last >= F.lit(start)) & (first < F.lit(end))
 
 
-def list_sessions(summary: DataFrame, limit: int, after: tuple | None = None, start=None, end=None, modes: list[str] | None = None, descending: bool = True) -> DataFrame:
-    """A page by last_event_time; one row more than `limit` tells that there is another page."""
+def list_sessions(summary: DataFrame, limit: int, after: tuple | None = None, start=None, end=None, modes: list[str] | None = None, descending: bool = True, among: dict[str, list[str]] | None = None) -> DataFrame:
+    """A page by last_event_time; one row more than `limit` tells that there is another page. `among` names the values that columns of the summary may have."""
     rows = summary
     if start is not None:
         rows = rows.filter(overlaps(F.col("first_event_time"), F.col("last_event_time"), start, end))
     if modes:
         rows = rows.filter(F.col("mode").isin(*modes))
+    for column, values in (among or {}).items():
+        rows = rows.filter(F.col(column).isin(*values))
     if after:
         rows = rows.filter(after_key(F.col("last_event_time"), F.col("session_id"), *after, descending))
     way = F.desc if descending else F.asc
@@ -53,14 +55,35 @@ def display_label(title: Column, first_user: Column, wire_title: Column, summary
     return F.coalesce(some(title), F.left(some(F.substring_index(F.trim(first_user), "\n", 1)), F.lit(120)), some(wire_title), some(summary), some(slug), fallback)
 
 
-def export_events(trace: DataFrame, filters: dict[str, list[str]], columns: list[str], limit: int | None = None, everything: bool = False) -> DataFrame:
-    """Public columns in trace order; filters are OR within a field and AND across fields, and one is needed unless `everything`."""
+#: The columns that an export has if none are named, and those that it has only on request.
+DEFAULT_COLUMNS = (
+    "session_id", "event_uid", "event_ts", "event_order", "turn_seq", "harness", "source_name", "event_kind", "payload_type", "actor_kind", "tool_name", "tool_phase", "tool_error", "model", "project_id",
+)
+SENSITIVE = ("source_file", "source_ref", "repo_rel_path", "worktree_root", "cwd", "text_preview", "text_content", "payload_json", "token_usage_json")
+
+
+def export_columns(trace: DataFrame, names: list[str] | None = None, sensitive: bool = False) -> list[str]:
+    """Columns of an export: the default ones that there are (None), all that are not sensitive (["all"]), or the named ones; sensitive ones only on request."""
+    if names is None:
+        return [c for c in DEFAULT_COLUMNS if c in trace.columns]
+    if names == ["all"]:
+        return [c for c in trace.columns if c not in SENSITIVE]
+    unknown, hidden = [c for c in names if c not in trace.columns], [c for c in names if c in SENSITIVE]
+    if not names or unknown or len(set(names)) < len(names):
+        raise ValueError(f"columns must be known, each once: {unknown or names}")
+    if hidden and not sensitive:
+        raise ValueError(f"sensitive columns are exported on request only: {hidden}")
+    return names
+
+
+def export_events(trace: DataFrame, filters: dict[str, list[str]], columns: list[str] | None = None, limit: int | None = None, everything: bool = False, sensitive: bool = False) -> DataFrame:
+    """Columns in trace order; filters are OR within a field and AND across fields, and one is needed unless `everything`."""
     if not filters and not everything:
         raise ValueError("a filter is needed")
     rows = trace
     for field, values in filters.items():
         rows = rows.filter(F.col(field).isin(*values))
-    rows = rows.select(*columns).orderBy("session_id", "event_order")
+    rows = rows.orderBy("session_id", "event_order").select(*export_columns(trace, columns, sensitive))
     return rows.limit(limit) if limit is not None else rows
 
 

@@ -306,6 +306,21 @@ def export_filtered(spark, d):
     return sessions.export_events(_te(spark, d), {"event_kind": ["tool_call", "tool_result"], "model": ["view"]}, ["session_id", "event_order", "event_uid", "event_kind", "model"])
 
 
+@query(f"{EV} SELECT session_id, event_uid, event_ts, event_order, turn_seq, event_kind, payload_type, actor_kind, tool_name, model FROM te WHERE event_kind = 'message'")
+def export_public(spark, d):
+    """The default columns, none of them sensitive, of all messages."""
+    return sessions.export_events(_te(spark, d), {"event_kind": ["message"]})
+
+
+@query(f"""{EV}, s AS (SELECT session_id, max(event_ts) AS last_event_time, arg_max(model, (event_ts, event_uid)) AS model FROM ev GROUP BY session_id)
+  SELECT * FROM s WHERE model IN ('view', 'click') ORDER BY last_event_time DESC, session_id DESC LIMIT {PAGE + 1}""")
+def list_sessions_among(spark, d):
+    e = activity_events(spark, d)
+    last = sessions.latest_non_null(e, "session_id", ["model"], ["event_ts", "event_uid"])
+    summary = e.groupBy("session_id").agg(F.max("event_ts").alias("last_event_time")).join(last, "session_id")
+    return sessions.list_sessions(summary, PAGE, among={"model": ["view", "click"]}).select("session_id", "last_event_time", "model")
+
+
 @query(f"""{EV}, m AS (SELECT epoch_us(event_ts) // 1000000 AS s, * FROM ev), x AS (
    SELECT s - s % 3600 AS bucket, model, 'value' AS token_bucket, whole AS n, session_id, request_id, event_uid FROM m UNION ALL SELECT s - s % 3600, model, 'k', request_id, session_id, request_id, event_uid FROM m),
   p AS (SELECT bucket, model, token_bucket, CASE WHEN model = 'click' THEN 'r/' || session_id || '/' || request_id ELSE 'e/' || event_uid END AS unit, max(n) AS n FROM x GROUP BY ALL)
