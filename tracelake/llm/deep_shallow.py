@@ -78,7 +78,7 @@ def order_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
         return w >> np.uint64(8 * (8 - (length - depth))) if length - depth < 8 else w
 
     key = word(starts, 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.concatenate((np.ones(min(1, len(order)), bool), np.diff(key[order]) != 0))
     depth = 8
     while depth < min(SHALLOW, length):
@@ -86,11 +86,15 @@ def order_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
         again = np.flatnonzero(np.bincount(group, minlength=group[-1] + 1 if len(group) else 1)[group] > 1)
         if not len(again):
             break
-        w = word(starts[order[again]], depth)
-        inner = np.lexsort((w, group[again]))
+        w, g = word(starts[order[again]], depth), group[again]
+        apart = (w[1:] != w[:-1]) & (g[1:] == g[:-1])
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[g[1:][apart]] = True
+        some = mixed[g]  # a group with one word is in order
+        again, w, g = again[some], w[some], g[some]
+        inner = np.lexsort((w, g))
         order[again] = order[again][inner]
         w = w[inner]
-        g = group[again]
         fresh[again[1:]] |= (w[1:] != w[:-1]) & (g[1:] == g[:-1])
         depth += 8
     if depth < length and len(order):

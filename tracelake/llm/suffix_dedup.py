@@ -7,9 +7,10 @@ least of some `SPAN`-byte string. Equal strings have equal anchors, so each shar
 1. Tasks find anchors and send (hash, hash of the context) to the hash's part. The context, all `SPAN`-byte strings
    over the anchor, reaches `SPAN - GRAM` bytes before and `SPAN` after its start. Copies within a task meet there already, compared byte by byte.
 2. A part finds the anchors that several documents have; hashes decide nothing else.
-3. The contexts of these are cut from their texts, equal ones of a task are brought to one, and the rest are ordered by deep-shallow sorting
-   (deep_shallow.py): equal strings become neighbours, and those of larger documents go. Anchors with more than `CROWD` contexts send single strings to
-   the strings' own parts instead, so a passage in very many documents does not meet in one task.
+3. Each string goes to the anchor that is the leftmost least one in it. The strings of shared anchors are cut from their texts, equal stretches of
+   them within a task are brought to one, and the rest are ordered by deep-shallow sorting
+   (deep_shallow.py): equal strings become neighbours, and those of larger documents go. Strings of anchors with more than `CROWD` contexts are dealt
+   one by one to the strings' own parts instead, so a passage in very many documents does not meet in one task.
 4. Texts with something to remove are joined with their spans; the others are only hashed. Of texts, only those with contexts to be cut or
    spans to be removed are shuffled, compressed (all of them beyond `BROADCAST_ROWS` such texts).
 
@@ -20,8 +21,6 @@ are read whole; ids of any type that Spark can order will do; extra columns are
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -127,19 +126,45 @@ def _laid(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
 
 
-def _by_doc(ids: np.ndarray, marks: np.ndarray, kind: np.ndarray, place: np.ndarray):
-    """(doc_id, mark, kind, packed places) of each document and kind."""
-    order = np.lexsort((place, kind, marks, ids))
-    ids, marks, kind, place = ids[order], marks[order], kind[order], place[order].astype("<u4")
+def _by_doc(ids: np.ndarray, marks: np.ndarray, kind: np.ndarray, *places: np.ndarray):
+    """(doc_id, mark, kind, packed places) of each document and kind; a place has one number, a run of starts its first and last."""
+    order = np.lexsort((places[0], kind, marks, ids))
+    ids, marks, kind = ids[order], marks[order], kind[order]
+    packed = np.stack([x[order] for x in places], 1).astype("<u4")
     cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(ids)), bool), (np.diff(ids) != 0) | (np.diff(marks) != 0) | (np.diff(kind) != 0))))
     ends = np.append(cut[1:], len(ids))[: len(cut)]
-    return ids[cut], marks[cut], kind[cut], [(place[a:b] if kind[a] != RUNS else runs_of(place[a:b])).tobytes() for a, b in zip(cut, ends, strict=True)]
+    return ids[cut], marks[cut], kind[cut], [packed[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+
+
+def _equal_earlier(data: np.ndarray, own: np.ndarray, sig: np.ndarray, lo: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which strings (from lo, size bytes, anchor at byte `at`) equal one of a smaller document; sig only brings candidates together."""
+    order = np.lexsort((own, sig))
+    new = np.concatenate((np.ones(min(1, len(order)), bool), np.diff(sig[order]) != 0))
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    some = own[order] > own[first]
+    x, y = order[some], first[some]
+    out = np.zeros(len(own), bool)
+    out[x] = (size[x] == size[y]) & (at[x] == at[y]) & same_bytes(data, lo[x], lo[y], np.minimum(size[x], size[y]))
+    return out
 
 
-def runs_of(places: np.ndarray) -> np.ndarray:
-    """First and last of each run of consecutive numbers, from sorted ones."""
-    new = np.flatnonzero(np.concatenate(([True], places[1:] - places[:-1] > 1)))
-    return np.stack((places[new], places[np.append(new[1:], len(places)) - 1]), 1).astype("<u4")
+def own_starts(g: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings in which the anchor at each place is the leftmost least one (none if last < first).
+
+    g: hashes of the grams; begin, end: the anchors' texts. Every string has one such anchor, equal ones at the same byte.
+    """
+    padded = np.concatenate((np.zeros(BEFORE, np.uint64), g, np.zeros(BEFORE + GRAM, np.uint64)))
+    here = padded[at + BEFORE]
+    first, last = np.maximum(begin, at - BEFORE), np.minimum(end - SPAN, at)
+    left, right = np.arange(len(at)), np.arange(len(at))
+    for k in range(1, BEFORE + 1):
+        stop = padded[at[left] - k + BEFORE] <= here[left]
+        first[left[stop]] = np.maximum(first[left[stop]], at[left[stop]] - k + 1)
+        left = left[~stop]
+        stop = padded[at[right] + k + BEFORE] < here[right]
+        last[right[stop]] = np.minimum(last[right[stop]], at[right[stop]] + k - BEFORE - 1)
+        right = right[~stop]
+    return first, last
 
 
 _MARKS = "bucket int, blob binary"
@@ -226,16 +251,10 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
             if not len(at):
                 continue
             own, mark, place = ids[doc], marks[doc], at - offsets[doc]
-            key = mix64(h ^ (around * np.uint64(0x9E3779B97F4A7C15)))
-            order = np.lexsort((own, key))
-            new = np.concatenate(([True], np.diff(key[order]) != 0))
-            first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = own[order] > own[first]
-            x, y = order[late], first[late]
-            late[late] = (hi[x] - lo[x] == hi[y] - lo[y]) & (at[x] - lo[x] == at[y] - lo[y]) & same_bytes(data, lo[x], lo[y], np.minimum(hi[x] - lo[x], hi[y] - lo[y]))
-            known = _by_doc(own[order][late], mark[order][late], np.full(late.sum(), DECIDED), place[order][late])
+            late = _equal_earlier(data, own, mix64(h ^ (around * np.uint64(0x9E3779B97F4A7C15))), lo, hi - lo, at - lo)
+            known = _by_doc(own[late], mark[late], np.full(late.sum(), DECIDED), place[late])
             yield _batch(known[1] % parts, None, *known)
-            left = np.sort(order[~late])
+            left = np.flatnonzero(~late)
             part = (h[left] % np.uint64(parts)).astype(np.int64)
             left = left[np.argsort(part, kind="stable")]
             cuts = np.searchsorted(np.sort(part), np.arange(parts + 1))
@@ -243,7 +262,7 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 x = left[cuts[p] : cuts[p + 1]]
                 some, times = np.unique(doc[x], return_counts=True)
-                blobs.append(pack_columns(planes(steps_of(ids[some]), 8), planes(marks[some], 4), planes(times, 4), planes(h[x] // np.uint64(parts), 5), planes(around[x] >> np.uint64(16), 6), planes(steps_of(place[x]), 5)))
+                blobs.append(pack_columns(planes(steps_of(ids[some]), 8), planes(marks[some], 4), planes(times, 4), planes(h[x] // np.uint64(parts), 4), planes(around[x] >> np.uint64(48), 2), planes(steps_of(place[x]), 5)))
                 numbers.append(p)
             yield _batch(numbers, blobs)
 
@@ -262,7 +281,7 @@ def meet(found: DataFrame, buckets: int) -> DataFrame:
         times = [unplanes(c[2], 4).astype(np.int64) for c in cols]
         own = np.concatenate([np.repeat(from_steps(unplanes(c[0], 8)), n) for c, n in zip(cols, times, strict=True)])
         mark = np.concatenate([np.repeat(unplanes(c[1], 4).astype(np.int64), n) for c, n in zip(cols, times, strict=True)])
-        h, around = (np.concatenate([unplanes(c[k], n) for c in cols]) for k, n in ((3, 5), (4, 6)))
+        h, around = (np.concatenate([unplanes(c[k], n) for c in cols]) for k, n in ((3, 4), (4, 2)))
         place = np.concatenate([from_steps(unplanes(c[5], 5)) for c in cols])
         order = np.lexsort((own, around, h))
         own, mark = own[order], mark[order]
@@ -283,57 +302,62 @@ def meet(found: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("part").applyInArrow(judge, _MARKS)
 
 
-def _deal(key: bytes, parts: int) -> tuple[int, int]:
-    """The part where strings with this key meet, and the share of it that is ordered at once."""
-    h = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big")
-    return h % parts, h // parts % SHARES
-
-
 def cut_contexts(rows: DataFrame, parts: int) -> DataFrame:
-    """From (doc_id, mark, text, open: [(kind, places)]): blobs of strings for each part."""
+    """From (doc_id, mark, text compressed, open: [(kind, places)]): blobs of strings for each part.
+
+    An anchor takes the strings in which it is the leftmost least one, so each string is sent once; those of crowded anchors go one by one.
+    """
 
     def cut(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, 2, AT_ONCE // 3):
-            ids, marks, texts, opened = (batch.column(k).to_pylist() for k in range(4))
-            held: dict[int, list] = {}
-            whole: dict[tuple[int, bytes], list] = {}
-            single: dict[bytes, list] = {}
-            for i in range(len(ids)):
-                raw = expand(texts[i])
-                for item in opened[i]:
-                    for p in np.frombuffer(item["places"], "<u4").tolist():
-                        a, b = max(0, p - BEFORE), min(len(raw), p + SPAN)
-                        if item["kind"] == CROWDED:
-                            for s in range(a, b - SPAN + 1):
-                                single.setdefault(raw[s : s + SPAN], []).append((ids[i], marks[i], s))
-                        else:
-                            whole.setdefault((p - a, raw[a:b]), []).append((ids[i], marks[i], a))
-            done = []
-            for (at, context), places in whole.items():
-                least = min(x[0] for x in places)
-                done += [(i, m, a + at, DECIDED) for i, m, a in places if i > least]
-                part, share = _deal(context[at : at + GRAM], parts)
-                held.setdefault(part, []).extend((*x, context, share) for x in places if x[0] == least)
-            for s, places in single.items():
-                least = min(x[0] for x in places)
-                done += [(*x, RUNS) for x in places if x[0] > least]
-                part, share = _deal(s, parts)
-                held.setdefault(part, []).extend((*x, s, share) for x in places if x[0] == least)
-            if done:
-                known = _by_doc(*(np.array([x[k] for x in done], np.int64) for k in (0, 1, 3, 2)))
+        for batch in slices(batches, 2, AT_ONCE):
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw = [expand(t) for t in batch.column(2).to_pylist()]
+            offsets = np.cumsum([0] + [len(r) for r in raw])
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            held = [(i, item["kind"], np.frombuffer(item["places"], "<u4")) for i, items in enumerate(batch.column(3).to_pylist()) for item in items]
+            doc = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[2]) for x in held])
+            crowded = np.repeat(np.array([x[1] for x in held]) == CROWDED, [len(x[2]) for x in held])
+            at = np.concatenate([x[2] for x in held]).astype(np.int64) + offsets[doc]
+            c, q = prefix_sums(data)
+            span = lambda a, b: mix64((c[b] - c[a]) * q[a])
+            g = mix64((c[GRAM:] - c[:-GRAM]) * q[: len(data) - GRAM + 1])
+            first, last = own_starts(g, at, offsets[doc], offsets[doc + 1])
+            some = last >= first
+            doc, crowded, at, first, last = doc[some], crowded[some], at[some], first[some], last[some]
+            times = np.where(crowded, last - first + 1, 1)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            doc, crowded, key, at, lo, last = (np.repeat(x, times) for x in (doc, crowded, g[at], at, first, last))
+            lo = lo + nth
+            size = np.where(crowded, 0, last - lo) + SPAN
+            key = np.where(crowded, span(lo, lo + SPAN), key)
+            within = np.where(crowded, 0, at - lo)
+            own, mark, place = ids[doc], marks[doc], lo - offsets[doc]
+            late = _equal_earlier(data, own, mix64(span(lo, lo + size) + within.astype(np.uint64) * np.uint64(128) + size.astype(np.uint64)), lo, size, within)
+            if late.any():
+                known = _by_doc(own[late], mark[late], np.full(late.sum(), RUNS), place[late], (place + size - SPAN)[late])
                 yield _batch(known[1] % parts, None, *known)
-            blobs = []
-            for entries in held.values():
-                sizes = np.array([len(e[3]) for e in entries], "<u4")
-                blobs.append(press.compress(pack_columns(*(np.array([e[k] for e in entries], "<i8") for k in (0, 1)), np.array([e[2] for e in entries], "<u4"), sizes, np.array([e[4] for e in entries], np.uint8), np.frombuffer(b"".join(e[3] for e in entries), np.uint8))))
-            yield _batch(list(held), blobs)
+            part = (key % np.uint64(parts)).astype(np.int64)
+            share = (key // np.uint64(parts) % np.uint64(SHARES)).astype(np.uint8)
+            left = np.flatnonzero(~late)
+            left = left[np.lexsort((key[left], part[left]))]
+            cuts = np.searchsorted(part[left], np.arange(parts + 1))
+            blobs, numbers = [], np.flatnonzero(np.diff(cuts)).tolist()
+            for p in numbers:
+                x = left[cuts[p] : cuts[p + 1]]
+                blobs.append(press.compress(pack_columns(own[x].astype("<i8"), mark[x].astype("<u4"), place[x].astype("<u4"), size[x].astype("u1"), share[x], data[ranges(lo[x], size[x])])))
+            yield _batch(numbers, blobs)
 
     return rows.select("doc_id", "mark", "text", "open").mapInArrow(cut, _OUT)
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (begin, size), one range after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def sort_contexts(cut: DataFrame, buckets: int) -> DataFrame:
     """Marks (bucket, blob): runs of starts of strings that a smaller document has too."""
 
@@ -342,7 +366,7 @@ def sort_contexts(cut: DataFrame, buckets: int) -> DataFrame:
         done = group.filter(pa.compute.is_null(group.column("blob"))).select(["doc_id", "mark", "kind", "places"])
         if not rows.num_rows:
             return _marks(done, [], [], [], [], buckets)
-        cols = [unpack_columns(expand(b), "<i8", "<i8", "<u4", "<u4", "u1", "u1") for b in rows.column("blob").to_pylist()]
+        cols = [unpack_columns(expand(b), "<i8", "<u4", "<u4", "u1", "u1", "u1") for b in rows.column("blob").to_pylist()]
         own, mark, start, size, share, data = (np.concatenate([c[k] for c in cols]) for k in range(6))
         del cols
         begin = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
@@ -352,19 +376,22 @@ def sort_contexts(cut: DataFrame, buckets: int) -> DataFrame:
             if not len(some):
                 continue
             sizes = size[some].astype(np.int64)
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            part = data[np.repeat(begin[some] - at[:-1], sizes) + np.arange(at[-1])]
+            part = data[ranges(begin[some], sizes)]
             count = sizes - SPAN + 1
             entry = np.repeat(np.arange(len(some)), count)
-            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            order, rank = order_windows(part, at[entry] + within, SPAN)
+            within = ranges(np.zeros(len(some), np.int64), count)
+            order, rank = order_windows(part, (np.cumsum(sizes) - sizes)[entry] + within, SPAN)
             ids = own[some][entry[order]]
             new = np.flatnonzero(np.concatenate(([True], np.diff(rank) != 0)))
-            w = order[ids > np.minimum.reduceat(ids, new)[rank]]
-            e = some[entry[w]]
-            late.append((own[e], mark[e], start[e] + within[w]))
-        own, mark, place = (np.concatenate([x[k] for x in late]) for k in range(3))
-        ids, marks, kinds, places = _by_doc(own, mark, np.full(len(own), RUNS), place)
+            gone = np.zeros(len(entry) + 2, bool)
+            gone[1 + order[ids > np.minimum.reduceat(ids, new)[rank]]] = True
+            edge = np.append(within == 0, True)  # runs end with their entry
+            first = np.flatnonzero(gone[1:-1] & (edge[:-1] | ~gone[:-2]))
+            last = np.flatnonzero(gone[1:-1] & (edge[1:] | ~gone[2:]))
+            e = some[entry[first]]
+            late.append((own[e], mark[e].astype(np.int64), start[e] + within[first], start[e] + within[last]))
+        own, mark, first, last = (np.concatenate([x[k] for x in late]) for k in range(4))
+        ids, marks, kinds, places = _by_doc(own, mark, np.full(len(own), RUNS), first, last)
         return _marks(done, ids, marks, kinds, places, buckets)
 
     return cut.groupBy("part").applyInArrow(compare, _MARKS)
