@@ -45,12 +45,22 @@ def shared_folder(spark: SparkSession) -> str:
 _own_folder: str | None = None
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
+    """Reliable checkpoint in the shared folder. The shuffle files that led to it go, as nothing reads them again."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query takes the setting of the time when it is made
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def settle(rows: DataFrame, name: str, value: Column, drop: list[str]) -> DataFrame:

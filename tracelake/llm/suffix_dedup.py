@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import BROADCAST_ROWS, cut_lineage, free_name, mix64, prefix_sums, slices, table
+from tracelake.llm.common import BROADCAST_ROWS, chunks, cut_lineage, free_name, mix64, prefix_sums, slices, table
 from tracelake.llm.deep_shallow import order_windows
 
 SPAN = 50
@@ -44,6 +44,8 @@ CONTEXT_PARTS = 4
 SHARES = 16
 #: Bytes of text that a task works on at once.
 AT_ONCE = 600_000
+#: Bytes of whole texts that are hashed at once, so that their arrays stay in the cache.
+HASHED_AT_ONCE = 200_000
 DECIDED, CONTEXT, CROWDED, RUNS = 0, 1, 2, 3
 
 
@@ -138,7 +140,10 @@ def _by_doc(ids: np.ndarray, marks: np.ndarray, kind: np.ndarray, *places: np.nd
 
 def _equal_earlier(data: np.ndarray, own: np.ndarray, sig: np.ndarray, lo: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which strings (from lo, size bytes, anchor at byte `at`) equal one of a smaller document; sig only brings candidates together."""
-    order = np.lexsort((own, sig))
+    order = np.argsort(sig)
+    twin = np.concatenate(([False], np.diff(sig[order]) == 0, [False]))
+    order = order[twin[1:] | twin[:-1]] if len(order) else order
+    order = order[np.lexsort((own[order], sig[order]))]
     new = np.concatenate((np.ones(min(1, len(order)), bool), np.diff(sig[order]) != 0))
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     some = own[order] > own[first]
@@ -247,7 +252,11 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
         for batch in slices(batches, 2, AT_ONCE):
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = _laid(batch.column(2).to_pylist())
-            at, doc, h, around, lo, hi = anchors(data, offsets)
+            found = []
+            for a, b in chunks(np.diff(offsets).tolist(), int, HASHED_AT_ONCE):
+                x = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found.append((x[0] + offsets[a], x[1] + a, x[2], x[3], x[4] + offsets[a], x[5] + offsets[a]))
+            at, doc, h, around, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
             if not len(at):
                 continue
             own, mark, place = ids[doc], marks[doc], at - offsets[doc]
@@ -255,9 +264,10 @@ def find_anchors(rows: DataFrame, parts: int) -> DataFrame:
             known = _by_doc(own[late], mark[late], np.full(late.sum(), DECIDED), place[late])
             yield _batch(known[1] % parts, None, *known)
             left = np.flatnonzero(~late)
-            part = (h[left] % np.uint64(parts)).astype(np.int64)
-            left = left[np.argsort(part, kind="stable")]
-            cuts = np.searchsorted(np.sort(part), np.arange(parts + 1))
+            part = (h[left] % np.uint64(parts)).astype(np.min_scalar_type(parts))
+            order = np.argsort(part, kind="stable")
+            left = left[order]
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
             blobs, numbers = [], []
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 x = left[cuts[p] : cuts[p + 1]]
