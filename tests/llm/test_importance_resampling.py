@@ -87,8 +87,11 @@ def test_hashes_of_ngrams():
     rng = random.Random(4)
     text = " ".join("".join(rng.choices("abcé9", k=rng.choice([1, 3, 8, 63, 64, 65, 66, 200]))) for _ in range(400))
     for _, _, some in Words([text.encode(), b"", b"x"]).pieces(100):
-        names = [b" ".join(w for k in range(3) if (at := (int(g) >> 21 * k & (1 << 21) - 1) - 1) >= 0 for w in [some.words[at].as_py()]) for g in some.grams]
-        assert some.crcs().tolist() == [zlib.crc32(x) for x in names] and len(set(names)) == len(names)
+        for grams in (some.counted()[0], some.placed()[0]):
+            names = [b" ".join(some.words[at] for k in range(3) if (at := (int(g) >> 21 * k & (1 << 21) - 1) - 1) >= 0) for g in grams]
+            crcs = [zlib.crc32(x) for x in names]
+            assert some.crcs(grams).tolist() == crcs and len(set(names)) == len(names)
+            assert [k >> 42 for k in some.keys(grams).tolist()] == [c % 10_000 for c in crcs]
 
 
 def test_blobs_round_trip():

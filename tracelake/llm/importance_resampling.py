@@ -1,11 +1,11 @@
 """Importance resampling towards a target: a dictionary of all n-gram strings, bucket gains, and a weighted draw.
 
 The dictionary is counted globally. A task numbers the words of its texts, so that an n-gram is three numbers in one
-long, and counts the distinct ones; each distinct string is hashed once there. Its key is 56 bits: the CRC-32 of the string, which the
-contract asks for, and 24 bits of another hash. Two strings with one key would fall into one bucket anyway, so no
+long, and counts the distinct ones; each distinct string is hashed once there. Its key has 56 bits: bucket and quotient, which are the CRC-32
+that the contract asks for, and 23 bits of another hash. Two strings with one key would fall into one bucket anyway, so no
 bucket's sum depends on it. Sorted keys go out as gaps, in one blob for each part of the key range, which keeps the
 dictionary at about twice the size of compressed input; a part merges the blobs of all tasks, counts
-its strings and sums them by bucket.
+its strings and sums them by bucket. Keys begin with the bucket, so all parts together give few more rows than there are buckets.
 
 The CRC of an n-gram comes from those of its words: appending L bytes is a linear map of 32 bits, kept as four tables of 256
 for each L. N-grams with a longer word are hashed as bytes.
@@ -40,6 +40,8 @@ SEED = 42
 
 #: Words whose n-grams are counted at once, and distinct keys that a task holds before it sends them.
 PIECE, HELD = 1_000_000, 6_000_000
+#: Parts of the key range for each shuffle partition; several, so that partitions are alike and a part is small.
+PARTS_EACH = 8
 #: Longest word for which n-gram hashes are put together from tables.
 TABLED = 64
 #: Rows in a range of scores, while there are at most RANGES ranges.
@@ -63,11 +65,17 @@ def _appended() -> np.ndarray:
     return every
 
 
-def _append(crc: np.ndarray, length: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """CRC-32 of joined byte strings, from theirs and the length of the second."""
-    every, out = _appended(), more.copy()
-    for k in range(4):
-        out ^= every[length, k, (crc >> np.uint32(8 * k)) & np.uint32(255)]
+@functools.cache
+def _tables() -> list[np.ndarray]:
+    """The same for each place k, at 256 * L + byte."""
+    return [np.ascontiguousarray(_appended()[:, k]).ravel() for k in range(4)]
+
+
+def _append(crc: np.ndarray, row: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """CRC-32 of joined byte strings, from theirs and 256 times the length of the second."""
+    crc, out = crc.astype(np.int64), more.copy()
+    for k, values in enumerate(_tables()):
+        out ^= values.take(row + (crc >> 8 * k & 255))
     return out
 
 
@@ -94,55 +102,81 @@ class Words:
 
 
 class Piece:
-    """Distinct n-grams of a run of words: keys, and where each n-gram stands among them."""
+    """N-grams of a run of words as longs of three word numbers: one, two, then three words, each in the order of their starts."""
 
     def __init__(self, encoded, left: np.ndarray) -> None:
         """left: for each start, the number of words up to its text's end."""
-        import pyarrow as pa
-
-        self.words, ids = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        self.words, ids = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
         n = len(left)
         ids = np.concatenate((ids, np.zeros(max(n + 2 - len(ids), 0), np.int64)))
         one = ids[:n]
         two = one | ids[1 : n + 1] << 21
         self.valid = (np.ones(n, bool), left >= 2, left >= 3)
-        found = pa.array(np.concatenate((one, two[self.valid[1]], (two | ids[2 : n + 2] << 42)[self.valid[2]]))).dictionary_encode()
-        self.grams, self.places = found.dictionary.to_numpy(), found.indices.to_numpy(zero_copy_only=False)
+        self.every = np.concatenate((one, two[self.valid[1]], (two | ids[2 : n + 2] << 42)[self.valid[2]]))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams and how often each occurs; those of fewer words come first."""
+        order = np.sort(self.every)
+        new = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
+        return order[new], np.diff(new, append=len(order))
 
-    def crcs(self) -> np.ndarray:
-        """CRC-32 of each distinct n-gram string, its words joined by one space."""
-        words = self.words.to_pylist()
+    def placed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams, those of fewer words first, and where each n-gram stands among them."""
+        import pyarrow as pa
+
+        found = pa.array(self.every).dictionary_encode()
+        return found.dictionary.to_numpy(), found.indices.to_numpy(zero_copy_only=False)
+
+    def _numbers(self, grams: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the first words of all, of the second words of those of two or more, of the third words of those of three."""
+        some = [np.count_nonzero(grams < 1 << 21 * k) if k else 0 for k in range(3)]
+        return [(grams[n:] >> 21 * k & _ID) - 1 for k, n in enumerate(some)]
+
+    def crcs(self, grams: np.ndarray) -> np.ndarray:
+        """CRC-32 of the string of each of some distinct n-grams, its words joined by one space."""
+        words, at = self.words, self._numbers(grams)
         alone = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
         behind = np.fromiter((zlib.crc32(b" " + w) for w in words), np.uint32, len(words))
         length = np.fromiter(map(len, words), np.int64, len(words))
-        at = [(self.grams >> (21 * k) & _ID) - 1 for k in range(3)]
-        out = alone[at[0]]
+        rows = (np.minimum(length, TABLED) + 1) * 256
+        out = alone.take(at[0])
         for place in at[1:]:
-            rows = np.flatnonzero(place >= 0)
-            out[rows] = _append(out[rows], np.minimum(length[place[rows]], TABLED) + 1, behind[place[rows]])
-        long = np.append(length > TABLED, False)  # the last for absent words
-        for k in np.flatnonzero(long[at[1]] | long[at[2]]):
-            out[k] = zlib.crc32(b" ".join(words[p[k]] for p in at if p[k] >= 0))
+            rest = out[len(out) - len(place) :]
+            rest[:] = _append(rest, rows.take(place), behind.take(place))
+        if length.max(initial=0) > TABLED:
+            long = length > TABLED
+            for place in at[1:]:
+                for k in np.flatnonzero(long[place]) + len(grams) - len(place):
+                    out[k] = zlib.crc32(b" ".join(words[p[k - len(grams)]] for p in at if len(p) >= len(grams) - k))
         return out
 
-    def keys(self) -> np.ndarray:
-        """56 bits for each distinct n-gram: its CRC-32, then 24 bits of a hash of its words."""
-        lengths = np.concatenate(([0], np.cumsum([len(w) for w in self.words.to_pylist()])))
-        c, q = prefix_sums(np.frombuffer(b"".join(self.words.to_pylist()), np.uint8))
-        hashes = np.append(mix64((c[lengths[1:]] - c[lengths[:-1]]) * q[lengths[:-1]]), np.uint64(0))  # the last for absent words
-        mixed = np.zeros(len(self.grams), np.uint64)
-        for k in range(3):
-            mixed = mix64(mixed + hashes[(self.grams >> (21 * k) & _ID) - 1])
-        return self.crcs().astype(np.uint64) << np.uint64(24) | mixed >> np.uint64(40)
+    def keys(self, grams: np.ndarray) -> np.ndarray:
+        """56 bits for each of some distinct n-grams: its bucket, the quotient of its CRC-32, 23 bits of a hash of its words."""
+        lengths = np.concatenate(([0], np.cumsum([len(w) for w in self.words]))).astype(np.int64)
+        c, q = prefix_sums(np.frombuffer(b"".join(self.words), np.uint8))
+        hashes = mix64((c[lengths[1:]] - c[lengths[:-1]]) * q[lengths[:-1]])
+        mixed = np.zeros(len(grams), np.uint64)
+        for k, place in enumerate(self._numbers(grams)):
+            mixed[len(grams) - len(place) :] += (hashes * np.uint64(2 * k + 1) + np.uint64(k)).take(place)
+        quotient, bucket = np.divmod(self.crcs(grams), np.uint32(BUCKETS))
+        return bucket.astype(np.uint64) << np.uint64(42) | quotient.astype(np.uint64) << np.uint64(23) | mixed >> np.uint64(41)
+
+
+def _with_counts(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Keys with counts of up to 255 in the last byte, several for a larger count, so that plain numbers can be sorted."""
+    most = (counts - 1) // 255
+    out = [keys << np.uint64(8) | (counts - most * 255).astype(np.uint64)]
+    if most.any():
+        out.append(np.repeat(keys[most > 0] << np.uint64(8) | np.uint64(255), most[most > 0]))
+    return np.concatenate(out)
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts."""
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+def _summed(pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts, from keys with counts."""
+    pairs = np.sort(np.concatenate(pairs))
+    keys, counts = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[new], np.add.reduceat(counts, new)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -170,13 +204,12 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def dictionary(texts: DataFrame, piece: int = PIECE, held: int = HELD) -> DataFrame:
     """(bucket, features, strings): occurrences and distinct strings of all n-grams of the column text, for each bucket found."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS_EACH * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(keys, counts):
         import pyarrow as pa
 
-        part = keys >> np.uint64(24 + 16)
-        part = part * np.uint64(parts) >> np.uint64(16)
+        part = (keys >> np.uint64(24)) * np.uint64(parts) // np.uint64(BUCKETS << 18)
         cuts = np.flatnonzero(np.diff(part)) + 1
         edges = [0, *cuts.tolist(), len(keys)]
         for k in range(0, len(edges) - 1, 64):
@@ -184,27 +217,27 @@ def dictionary(texts: DataFrame, piece: int = PIECE, held: int = HELD) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([int(part[lo]) for lo, _ in some], pa.int32()), pa.array([pack(keys[lo:hi], counts[lo:hi]) for lo, hi in some], pa.binary())], ["part", "blob"])
 
     def count(batches):
-        keys, counts, total = [], [], 0
+        pairs, total = [], 0
         for batch in slices(batches, 0, 4_000_000):
             for _, _, some in Words([x or b"" for x in batch.column(0).to_pylist()]).pieces(piece):
-                keys.append(some.keys())
-                counts.append(np.bincount(some.places, minlength=len(some.grams)))
-                total += len(keys[-1])
+                grams, counts = some.counted()
+                pairs.append(_with_counts(some.keys(grams), counts))
+                total += len(pairs[-1])
                 if total > held:
-                    keys, counts = ([x] for x in _summed(keys, counts))
-                    total = len(keys[0])
+                    keys, counts = _summed(pairs)
+                    pairs, total = [_with_counts(keys, counts)], len(keys)
                     if total > held // 2:
-                        yield from send(keys[0], counts[0])
-                        keys, counts, total = [], [], 0
+                        yield from send(keys, counts)
+                        pairs, total = [], 0
         if total:
-            yield from send(*_summed(keys, counts))
+            yield from send(*_summed(pairs))
 
     def merge(group):
         import pyarrow as pa
 
         found = [unpack(b) for b in group.column("blob").to_pylist()]
-        keys, counts = _summed([k for k, _ in found], [c for _, c in found])
-        bucket = (keys >> np.uint64(24)).astype(np.int64) % BUCKETS
+        keys, counts = _summed([_with_counts(k, c) for k, c in found])
+        bucket = (keys >> np.uint64(42)).astype(np.int64)
         strings = np.bincount(bucket, minlength=BUCKETS)
         features = np.zeros(BUCKETS, np.int64)
         np.add.at(features, bucket, counts)
@@ -236,7 +269,8 @@ def weighed(docs: DataFrame, gain: np.ndarray, piece: int = PIECE) -> DataFrame:
             words = Words([x or b"" for x in batch.column(1).to_pylist()])
             sums = np.zeros(len(words.words) + 1, np.int64)
             for lo, hi, some in words.pieces(piece):
-                each = gain[some.crcs() % BUCKETS][some.places]
+                grams, places = some.placed()
+                each = gain[some.crcs(grams) % BUCKETS].take(places)
                 for valid in some.valid:
                     n = int(valid.sum())
                     sums[lo + 1 : hi + 1][valid] += each[:n]
