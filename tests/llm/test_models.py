@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tracelake.llm import toxicity
-from tracelake.llm.language_id import PART_GRAMS, count_ngrams, fit, guessed, labelled, op8_language_id, score_all
+from tracelake.llm.language_id import PART_GRAMS, count_ngrams, fit, labelled, op8_language_id, score_all
 
 
 def test_language_held_out_accuracy(spark):
@@ -124,23 +124,48 @@ def test_toxicity_learns_held_out(spark):
 
 
 def test_thresholds_count_every_labelled_row(spark, make_docs):
-    """A rare language is calibrated by rows beyond the sample of the fit."""
+    """A rare language is calibrated by rows beyond the sample of the fit, as a kind of its own that texts alone tell."""
     en, es = "the of and to in is that it", "el los las y por una del para"
     texts = [f"{en if k % 10 else es} {'idiot' if k % 3 == 0 else 'garden'} w{k}" for k in range(3000)]
     docs = make_docs(texts).withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "es").otherwise("en"))
     labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(3000)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels, 600)
-    rows, langs = guessed(labelled(docs))
-    counts = toxicity.label_counts(toxicity.raw_scores(rows, model), labels, model.fitted)
+    counts = toxicity.label_counts(toxicity.raw_scores(docs, model), labels, model.fitted)
     pool = {r.doc_id for r in docs.select("doc_id").filter(~toxicity.held_out(F.col("doc_id"))).collect()} - set(model.fitted)
-    assert langs == 2
-    for k, own in ((0, [i for i in pool if i % 10]), (1, [i for i in pool if i % 10 == 0])):
+    kind = model.kinds(texts)
+    assert not set(kind[::10]) & set(kind[[i for i in range(3000) if i % 10]])
+    for k in set(kind):
+        own = [i for i in pool if kind[i] == k]
         assert sum(r[4] for r in counts if r[0] == k) == sum(i % 3 == 0 for i in own)
         assert sum(r[5] for r in counts if r[0] == k) == sum(i % 3 != 0 for i in own)
     got = {r.doc_id: r.score for r in toxicity.score_all(docs, labels, 600).collect()}
     assert np.mean([(got[k] >= 0.5) == (k % 3 == 0) for k in range(0, 3000, 10)]) > 0.95
 
 
+def test_scores_do_not_depend_on_lang_source_or_ids_order(spark):
+    """lang, source and n_chars may be missing, null or shuffled."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scores = lambda d: sorted((r.doc_id, r.score) for r in toxicity.score_all(d, labels).collect())
+    whole = scores(docs)
+    assert whole == scores(docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.col("lang")}))
+    assert whole == scores(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y")).drop("n_chars"))
+
+
+def test_kinds_tell_languages_of_the_documents(spark):
+    """Clusters of letter pairs hold one language nearly alone, and most languages' labels calibrate clusters of their own."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    docs = docs[docs.n_chars > 100]
+    docs = docs.assign(kind=model.kinds(docs.text.tolist())).merge(labels, on="doc_id", how="left")
+    mixed = docs.groupby("kind").lang.agg(lambda x: x.value_counts(normalize=True, dropna=False).iloc[0])
+    sizes = docs.groupby("kind").size()
+    assert (mixed * sizes).sum() / sizes.sum() > 0.95
+    enough = docs.groupby(["kind", "lang"]).toxic.agg([lambda x: (x == 1).sum(), lambda x: (x == 0).sum()]).min(axis=1)
+    assert len(set(enough[enough >= toxicity.LEAST_LABELS].reset_index().lang)) >= 2
+
+
 def test_each_language_has_its_own_threshold():
     row = lambda lang, b, toxic, clean: (lang, b, b / 64, b / 64, toxic, clean)
     moves = toxicity.thresholds([row(0, 0, 0, 500), row(0, 64, 500, 0), row(3, 128, 0, 30), row(3, 192, 30, 0), row(1, 0, 5, 0), row(1, 64, 0, 5)], 4)

@@ -4,9 +4,10 @@ Words and their leading characters hash into one embedding table; filters of sev
 word vectors, max pooling keeps the strongest answer of each filter in the whole text, and a logistic layer
 reads them. The network is fitted on the driver on at most `TRAIN_DOCS` labelled rows, the ones with the
 smallest hashed ids, and on at most `TRAIN_BYTES` of text; every document is scored whole, in parallel. Thresholds are calibrated
-for each language that the character models of `language_id` tell, on all labelled rows outside the held-out fold and the fit, counted on
-Spark in narrow bins of the score, and move each score so that 0.5 is the threshold. A language with under `LEAST_LABELS` toxic or clean
-ones of these takes the threshold of all languages together. With under 500 labelled rows, the rows of the fit calibrate too.
+by language, as far as texts alone tell it: the texts of the fit are clustered by their letter pairs, and the nearest cluster is a document's
+kind; no column but the text has a part in that. The thresholds are set on all labelled rows outside the held-out fold and the fit, counted on
+Spark in narrow bins of the score, and move each score so that 0.5 is the threshold. A kind with under `LEAST_LABELS` toxic or clean
+ones of these takes the threshold of all kinds together. With under 500 labelled rows, the rows of the fit calibrate too.
 
 Defined cases: null and empty texts are scored as texts without words; with labels of one kind or none,
 every score is the share of toxic labels (0 without labels); a null doc_id gives a null held_out and is not learned from; very long
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import chunks, cut_lineage, held_out, mix64, table, word_hashes
-from tracelake.llm.language_id import guessed, labelled
 
 TRAIN_DOCS = 8000
 TRAIN_BYTES = 64_000_000
@@ -37,6 +37,8 @@ SEED = 7
 #: How many false alarms a missed toxic text weighs in the calibration.
 MISS_COST = 3
 LEAST_LABELS = 20
+#: Clusters of letter pairs, slots that the pairs are hashed to, and rounds of the clustering.
+KINDS, PAIRS, ROUNDS = 12, 1024, 15
 #: Bins of a unit of the score before the logistic function, within -LIMIT to LIMIT.
 BINS, LIMIT = 64, 30
 
@@ -69,6 +71,37 @@ def all_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), offsets
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+
+
+def profiles(texts: list[str | None]) -> np.ndarray:
+    """Shares of the letter pairs of each text, as square roots, so of length 1; zeros if it has none. A blank before a word counts as a letter."""
+    raw = [b" " + (t or "").lower().encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"".join(raw) + b" ", np.uint8)
+    letter = _LETTER[data]
+    folded = np.where(letter, data, 32).astype(np.uint64)
+    slot = (mix64(folded[:-1] << np.uint64(8) | folded[1:]) % np.uint64(PAIRS)).astype(np.int64)
+    owner = np.repeat(np.arange(len(raw)), [len(t) for t in raw])
+    counts = np.bincount((owner * PAIRS + slot)[letter[1:]], minlength=len(raw) * PAIRS).reshape(len(raw), PAIRS)
+    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+
+
+def clustered(points: np.ndarray) -> np.ndarray:
+    """Centers of at most KINDS clusters, by cosine; the first centers are the mean and, one after the other, what is farthest from those before."""
+    points = points[points.any(1)]
+    centers = points.mean(0, keepdims=True) if len(points) else np.zeros((0, PAIRS), np.float32)
+    while 0 < len(centers) < min(KINDS, len(points)):
+        centers = np.vstack([centers, points[np.argmin((points @ centers.T).max(1))]])
+    for _ in range(ROUNDS):
+        own = np.argmax(points @ centers.T, 1) if len(points) else points
+        for k in range(len(centers)):
+            if (own == k).any():
+                mean = points[own == k].mean(0)
+                centers[k] = mean / np.linalg.norm(mean)
+    return centers
+
+
 class TextCnn:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -79,6 +112,7 @@ class TextCnn:
         self.out = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
         self.start = np.float32(0)
         self.fitted: list = []
+        self.centers = np.zeros((0, PAIRS), np.float32)
 
     def _maps(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.table[rows[:, 0]]
@@ -148,6 +182,12 @@ class TextCnn:
                 self.start -= np.float32(RATE) * g["start"]
                 step(self.table, g["table"], g["slots"])
 
+    def kinds(self, texts: list[str | None]) -> np.ndarray:
+        """The nearest cluster of each text; len(centers) for texts without letters."""
+        points = profiles(texts)
+        near = np.argmax(points @ self.centers.T, 1) if len(self.centers) else np.zeros(len(texts), int)
+        return np.where(points.any(1), near, len(self.centers))
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores before calibration."""
         z = self.logits(*features(texts))
@@ -166,7 +206,7 @@ def threshold(bins: list[tuple[float, float, int, int]]) -> float:
 
 
 def thresholds(counts: list[tuple[int, int, float, float, int, int]], langs: int) -> np.ndarray:
-    """Of each of the languages and of none, from (language, bin, lowest score, highest score, toxic rows, clean rows) of all labelled rows."""
+    """Of each of the kinds and of none, from (kind, bin, lowest score, highest score, toxic rows, clean rows) of all labelled rows."""
     def merged(rows):
         bins: dict[int, tuple] = {}
         for _, b, low, high, toxic, clean in rows:
@@ -213,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes
     texts = rows["text"].tolist()
     grams, offsets = all_features([t for t, ok in zip(texts, fitted, strict=True) if ok])
     model.fit(grams, offsets, y[fitted])
+    model.centers = clustered(np.vstack([profiles(texts[lo:hi]) for lo, hi in chunks(texts, lambda t: len(t or ""), 1_000_000)]))
     model.fitted = sorted(set(rows["_id"][fitted].tolist())) if len(y) >= 500 else []
     return model
 
@@ -222,18 +263,18 @@ def _id_frame(docs: DataFrame, ids: list) -> DataFrame:
 
 
 def label_counts(raw: DataFrame, labels: DataFrame, fitted: list) -> list[tuple]:
-    """What thresholds() reads, of all labelled rows but the held-out fold and the fitted ids; bounded by languages and bins."""
+    """What thresholds() reads, of all labelled rows but the held-out fold and the fitted ids; bounded by kinds and bins."""
     known = known_labels(labels)
     if fitted:
         known = known.join(F.broadcast(_id_frame(raw, fitted)), "_id", "left_anti")
-    rows = raw.select(F.col("doc_id").alias("_id"), "z", "lang").join(known, "_id")
+    rows = raw.select(F.col("doc_id").alias("_id"), "z", "kind").join(known, "_id")
     toxic = F.col("_y") == 1
-    bins = rows.groupBy("lang", F.floor(F.col("z") * BINS).alias("bin")).agg(F.min("z"), F.max("z"), F.count_if(toxic), F.count_if(~toxic))
+    bins = rows.groupBy("kind", F.floor(F.col("z") * BINS).alias("bin")).agg(F.min("z"), F.max("z"), F.count_if(toxic), F.count_if(~toxic))
     return [tuple(r) for r in bins.collect()]
 
 
 def raw_scores(rows: DataFrame, model: TextCnn) -> DataFrame:
-    """One row for each of (doc_id, text, lang): the score before calibration and the logistic function, and the language's number."""
+    """One row for each of (doc_id, text): the score before calibration and the logistic function, and the number of the text's kind."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -243,24 +284,23 @@ def raw_scores(rows: DataFrame, model: TextCnn) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts, lambda t: len(t or ""), 1_000_000):
                 z = np.clip(model.logits(*features(texts[lo:hi])).astype(float), -LIMIT, LIMIT)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(z), batch.column(2).slice(lo, hi - lo)], names=["doc_id", "z", "lang"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(z), pa.array(model.kinds(texts[lo:hi]).astype(np.int32))], names=["doc_id", "z", "kind"])
 
-    return rows.select("doc_id", "text", F.col("lang").cast("int").alias("lang")).mapInArrow(score, f"doc_id {kind}, z double, lang int")
+    return rows.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, z double, kind int")
 
 
 def moved(raw: DataFrame, moves: np.ndarray) -> DataFrame:
-    z = F.col("z") - F.get(F.array(*[F.lit(float(m)) for m in moves]), F.col("lang"))
+    z = F.col("z") - F.get(F.array(*[F.lit(float(m)) for m in moves]), F.col("kind"))
     return raw.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), z))))).alias("score"))
 
 
 def score_all(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id and score of each of (doc_id, text, lang); texts are scored once, and only ids, scores and languages meet the labels."""
+    """doc_id and score of each of (doc_id, text); texts are scored once, and only ids, scores and kinds meet the labels."""
     model = train(docs, labels, most)
     if isinstance(model, float):
         return docs.select("doc_id", F.lit(model).alias("score"))
-    rows, langs = guessed(labelled(docs))
-    raw = cut_lineage(raw_scores(rows, model))
-    return moved(raw, thresholds(label_counts(raw, labels, model.fitted), langs))
+    raw = cut_lineage(raw_scores(docs, model))
+    return moved(raw, thresholds(label_counts(raw, labels, model.fitted), len(model.centers)))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
