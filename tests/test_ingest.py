@@ -21,9 +21,9 @@ SAMPLES = {
               {"timestamp": "2026-01-01T00:00:02Z", "type": "compacted", "payload": {"message": "m", "replacement_history": [{"role": "user", "content": "old"}]}}],
     "kimi-cli": [{"timestamp": 1790000000.5, "message": {"type": "TurnBegin", "payload": {"user_input": "hi"}}}, {"timestamp": 1790000001, "message": {"type": "ContentPart", "payload": {"type": "think", "think": "t"}}}],
     "qwen-code": [{"uuid": "a", "sessionId": "q", "timestamp": "2026-01-01T00:00:00Z", "type": "assistant", "message": {"parts": [{"text": "t", "thought": True}, {"functionCall": {"id": "f", "name": "sh", "args": {}}}]}}],
-    "kiro-cli": [{"kind": "Prompt", "data": {"content": [{"kind": "text", "data": "hi"}], "meta": {"timestamp": 1780000000}}}, {"kind": "Compaction", "data": {"summary": "s"}}],
+    "kiro-cli": [{"kind": "Prompt", "data": {"content": [{"kind": "text", "data": "hi"}], "meta": {"timestamp": 1714557600}}}, {"kind": "Compaction", "data": {"summary": "s"}}],
     "hermes": [{"timestamp": "2026-01-01T00:00:00", "model": "m", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "<think>t</think>\n<tool_call>{\"name\": \"w\", \"arguments\": {}}</tool_call>"}]}],
-    "opencode": [{"type": "opencode_part", "session_id": "o", "time_created": 1780000001000, "data": {"type": "tool", "tool": "sh", "callID": "c", "state": {"status": "completed", "input": {}, "output": "x"}}}],
+    "opencode": [{"type": "opencode_part", "session_id": "o", "time_created": 1714557601500, "data": {"type": "tool", "tool": "sh", "callID": "c", "state": {"status": "completed", "input": {}, "output": "x"}}}],
     "pi-coding-agent": [{"type": "message", "id": "1", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "bashExecution", "output": "x"}}],
     "cursor": [{"key": "bubbleId:cc:bb", "value": {"type": 1, "text": "hi", "createdAt": "2026-01-01T00:00:00Z"}}],
 }

@@ -44,12 +44,25 @@ def entropy(text: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
+#: What ends a word of a shell command: blanks, quotes, brackets, and signs of redirection, lists and assignments.
+SHELL_BREAKS = r"""[\s'"`=(),;|&<>]+"""
+
+
+def names_a_file(word: Column) -> Column:
+    """Whether a word of a command looks like a path: plain signs in every part, and parts under a folder or a name with an extension."""
+    parts = F.split(word, "/")
+    body = F.when(F.get(parts, F.lit(0)).isin("", ".", ".."), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    plain = (F.size(body) > 0) & F.forall(body, lambda p: p.rlike("^[-.0-9A-Z_a-z]+$"))
+    dotted = word.rlike("^[-0-9A-Z_a-z]") & (F.locate(".", word) > 1) & ~word.endswith(".")
+    return plain & F.when(F.size(parts) == 1, dotted | word.rlike("^[-0-9A-Z_a-z]+[.]+[.]$")).otherwise(F.size(body) > 1)
+
+
 def path_tokens(tool_input: Column) -> Column:
     """Distinct paths named by known keys of a JSON text, by its shell command, or nested in it."""
     keys = "|".join(PATH_KEYS)
     nested = F.regexp_extract_all(tool_input, F.lit(rf'"(?:{keys})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
     command = F.coalesce(null_if_empty(F.get_json_object(tool_input, "$.command")), F.get_json_object(tool_input, "$.cmd"), F.lit(""))
-    shell = F.regexp_extract_all(command, F.lit(r"""(?:^|[\s'"`=(])((?:/|\./|\.\./)?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+|[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)(?=[\s'"`,;|&<>)]|$)"""), F.lit(1))
+    shell = F.filter(F.split(command, SHELL_BREAKS), names_a_file)
     direct = F.array(*(F.coalesce(F.get_json_object(tool_input, f"$.{k}"), F.lit("")) for k in PATH_KEYS))
     found = F.concat(F.coalesce(nested, F.array().cast("array<string>")), F.coalesce(shell, F.array().cast("array<string>")), direct)
     return F.filter(F.array_distinct(found), lambda p: p != "")

@@ -64,19 +64,26 @@ def live(postings: DataFrame, locator: DataFrame, keys: tuple[str, ...] = ("doc_
 
 def query_stats(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """One row for a query: docs, total_doc_len, and df (an array in the terms' order)."""
-    rows = docs.select(tokens(F.col(text)).alias("t"))
-    df = F.array(*(F.count_if(F.array_contains("t", t)) for t in terms))
-    return rows.agg(F.count_if(F.size("t") > 0).alias("docs"), F.sum(F.size("t")).cast("long").alias("total_doc_len"), df.alias("df"))
+    rows = term_counts(docs.select(text), terms, text)
+    df = F.array(*(F.count_if(F.get("_n", F.lit(k)) > 0) for k in range(len(terms))))
+    return rows.agg(F.count_if(F.col("_len") > 0).alias("docs"), F.sum("_len").cast("long").alias("total_doc_len"), df.alias("df"))
 
 
-def times(array: str, value: str) -> Column:
-    return F.size(F.filter(array, lambda x: x == value))
+def term_counts(docs: DataFrame, terms: list[str], text: str) -> DataFrame:
+    """docs with _len, the number of tokens, and _n, how often each term is among them.
+
+    Counts are made above a generator of one row, which filters and sums cannot be pushed through: below it, each of them would
+    take the text apart again for every term.
+    """
+    once = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
+    of = lambda t, term: F.size(F.filter(t, lambda x: x == term))
+    counts = once(tokens(F.col(text)), lambda t: F.struct(F.size(t).alias("_len"), F.array(*(of(t, x) for x in terms)).alias("_n")))
+    return docs.withColumn("_c", F.explode(F.array(counts))).select(*(F.col(f"`{c}`") for c in docs.columns), "_c._len", "_c._n")
 
 
 def score_documents(docs: DataFrame, terms: list[str], text: str = "text", stats: DataFrame | None = None) -> DataFrame:
     """docs with score and matched_terms, those that match; nothing is shuffled but the one row of the query's statistics."""
-    rows = docs.withColumn("_t", tokens(F.col(text))).withColumn("_n", F.array(*(times("_t", t) for t in terms)))
-    rows = rows.withColumn("_len", F.size("_t")).filter(F.exists("_n", lambda n: n > 0)).drop("_t").crossJoin(F.broadcast(stats if stats is not None else query_stats(docs, terms, text)))
+    rows = term_counts(docs, terms, text).filter(F.exists("_n", lambda n: n > 0)).crossJoin(F.broadcast(stats if stats is not None else query_stats(docs, terms, text)))
     part = lambda n, d: idf(F.col("docs"), d) * bm25(n, F.col("_len"), F.col("total_doc_len") / F.col("docs"))
     parts = F.zip_with("_n", "df", lambda n, d: F.when(n > 0, part(n, d)).otherwise(0.0))
     score = F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6)

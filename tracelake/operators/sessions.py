@@ -80,6 +80,9 @@ def export_events(trace: DataFrame, filters: dict[str, list[str]], columns: list
     """Columns in trace order; filters are OR within a field and AND across fields, and one is needed unless `everything`."""
     if not filters and not everything:
         raise ValueError("a filter is needed")
+    commas = {field: v for field, values in filters.items() for v in values if "," in v}
+    if commas:
+        raise ValueError(f"a filter takes one value each time it is given, not a list with commas: {commas}")
     rows = trace
     for field, values in filters.items():
         rows = rows.filter(F.col(field).isin(*values))
@@ -90,3 +93,26 @@ def export_events(trace: DataFrame, filters: dict[str, list[str]], columns: list
 def preview(df: DataFrame, limit: int) -> DataFrame:
     """The first rows by all columns, 1 to 500 of them."""
     return df.orderBy(*df.columns).limit(max(1, min(500, limit)))
+
+
+#: Most roots that are broadcast; more are joined by a shuffle.
+BROADCAST_ROOTS = 200_000
+
+
+def longest_root(df: DataFrame, path: str, roots: DataFrame) -> DataFrame:
+    """df with the longest of the roots (root, and further columns) that holds its path, nulls if none does.
+
+    A path lies under each of its ancestors, so the distinct paths' ancestors are joined to the roots by equality: no row meets a root that
+    does not hold it. Of equal roots (slashes at the end do not count), the least of the further columns is taken.
+    """
+    more = [c for c in roots.columns if c != "root"]
+    plain = lambda c: F.when(F.rtrim(F.col(c), F.lit("/")) == "", "/").otherwise(F.rtrim(F.col(c), F.lit("/")))
+    own = roots.filter("root <> ''").withColumn("_at", plain("root")).groupBy("_at").agg(F.min(F.struct("root", *more)).alias("_r"))
+    few = own.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS
+    paths = df.select(F.col(path).alias("_path")).filter("_path <> ''").distinct()
+    parts = F.split(F.rtrim(F.col("_path"), F.lit("/")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    steps = paths.select("_path", F.explode(F.array_distinct(F.transform(above, lambda a: F.when(a == "", "/").otherwise(a)))).alias("_at"))
+    held = steps.join(F.broadcast(own) if few else own, "_at").groupBy("_path").agg(F.max_by("_r", F.length("_at")).alias("_r"))
+    rows = df.join(held, df[path] == held["_path"], "left")
+    return rows.select(*(df[c] for c in df.columns), "_r.*")

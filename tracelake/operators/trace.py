@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.written import written
+
 ORDER = ("event_ts", "source_file", "source_generation", "source_offset", "source_line_no", "emission_index", "event_uid")
 
 
@@ -40,17 +42,18 @@ def conversation_trace(events: DataFrame, order: tuple[str, ...] = ORDER) -> Dat
     with a large part of all events is many tasks' work. A narrow pass counts the hours. Only explicit turns are numbered in one group each.
     """
     order = tuple(c for c in order if c in events.columns)
-    rows = events.withColumn("_hour", _hour(events, order[0]))
-    w = Window.partitionBy("session_id", "_hour").orderBy(*order)
+    key = F.struct("session_id").alias("_key")  # never null itself, so that window and join agree on how rows lie
+    rows = events.select("*", key, _hour(events, order[0]).alias("_hour"))
+    w = Window.partitionBy("_key", "_hour").orderBy(*order)
     so_far, user = w.rowsBetween(Window.unboundedPreceding, 0), is_user_message()
-    narrow = rows.select(*dict.fromkeys(("session_id", "_hour", *order, "actor_kind", "event_kind"))).withColumn("_n", F.row_number().over(w))
-    hours = narrow.groupBy(F.col("session_id").alias("_session"), F.col("_hour").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(user).alias("_said"), F.max(F.when(user, F.col("_n"))).alias("_last"))
+    narrow = rows.select(*dict.fromkeys(("_key", "_hour", *order, "actor_kind", "event_kind"))).withColumn("_n", F.row_number().over(w))
+    hours = narrow.groupBy(F.col("_key").alias("_session"), F.col("_hour").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(user).alias("_said"), F.max(F.when(user, F.col("_n"))).alias("_last"))
     earlier = Window.partitionBy("_session").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     hours = hours.withColumns({"_rows": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_said": F.coalesce(F.sum("_said").over(earlier), F.lit(0))})
     hours = hours.withColumn("_last", F.max(F.col("_rows") + F.col("_last")).over(earlier))
     rows = rows.withColumn("_n", F.row_number().over(w))
     rows = rows.withColumns({"_s": F.coalesce(F.sum(user.cast("int")).over(so_far), F.lit(0)), "_l": F.max(F.when(user, F.col("_n"))).over(so_far)})
-    rows = rows.join(hours, F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("_hour") == F.col("_at")))
+    rows = rows.join(hours, (F.col("_key") == F.col("_session")) & (F.col("_hour") == F.col("_at")))
     place, said, last = F.col("_n") + F.col("_rows"), F.col("_s") + F.col("_said"), F.coalesce(F.col("_l") + F.col("_rows"), F.col("_last"))
     explicit = F.coalesce(F.col("turn_index"), F.lit(0)) if "turn_index" in events.columns else None
     turn = F.greatest(said, F.lit(1))
@@ -145,6 +148,52 @@ def pair_tools(trace: DataFrame) -> DataFrame:
     return rows.filter("event_kind = 'tool_result'").select(*key, F.col("event_uid").alias("result_uid"), "call_uid")
 
 
+def pair_in_order(trace: DataFrame) -> DataFrame:
+    """Tool results with the call that they answer where calls wait in a line: a session's next result takes the first call that waits.
+
+    A result that comes when none waits takes none. So the calls used up are the results so far, less those that came too early; these
+    are the largest lack of calls so far, and a result is one of them if it makes that lack larger.
+    tool_call_id is the result's own, else its call's, else made from its uid; a call takes over the id of the result that answers it. tool_name likewise.
+    """
+    rows = trace.filter(F.col("event_kind").isin("tool_call", "tool_result"))
+    by = Window.partitionBy("session_id").orderBy("event_order")
+    so_far, call = by.rowsBetween(Window.unboundedPreceding, 0), F.col("event_kind") == "tool_call"
+    rows = rows.withColumns({"_c": F.sum(call.cast("int")).over(so_far), "_r": F.sum((~call).cast("int")).over(so_far)})
+    rows = rows.withColumn("_lack", F.greatest(F.lit(0), F.max(F.when(~call, F.col("_r") - F.col("_c"))).over(so_far)))
+    before = F.coalesce(F.lag("_lack").over(by), F.lit(0))
+    rows = rows.withColumn("_k", F.when(call, F.col("_c")).when(F.coalesce("_lack", F.lit(0)) == before, F.col("_r") - F.coalesce("_lack", F.lit(0))))
+    own = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    calls = rows.filter(call).select("session_id", "_k", F.col("event_uid").alias("call_uid"), own("tool_call_id").alias("_id"), own("tool_name").alias("_name"))
+    results = rows.filter(~call).select("session_id", "_k", F.col("event_uid").alias("result_uid"), own("tool_call_id").alias("tool_call_id"), own("tool_name").alias("tool_name"))
+    both = results.join(calls, ["session_id", "_k"], "left")
+    made = F.concat(F.lit("result-"), F.col("result_uid"))
+    return both.select("session_id", "result_uid", "call_uid", F.coalesce("tool_call_id", "_id", made).alias("tool_call_id"), F.coalesce("tool_name", "_name", F.lit("")).alias("tool_name"))
+
+
+def root_sessions(links: DataFrame) -> DataFrame:
+    """(session_id, parent_id) to (session_id, root_id, depth): the top of each chain of parents, by pointer jumping.
+
+    A chain of n sessions takes log n rounds, each a join of narrow rows. Of several parents the least counts; a session that is its own parent has
+    none; a parent without a row of its own is a root. Sessions on a circle, and those below it, have the circle's least session as root and a null depth.
+    """
+    own = links.filter("session_id is not null").groupBy("session_id").agg(F.min(F.nullif("parent_id", "session_id")).alias("parent_id"))
+    inner = own.select("session_id", F.coalesce("parent_id", "session_id").alias("at"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
+    strangers = inner.select(F.col("at").alias("session_id")).distinct().join(own, "session_id", "left_anti")
+    up = inner.unionByName(strangers.select("session_id", F.col("session_id").alias("at"), F.lit(0).cast("long").alias("depth")))
+    up = written(up.withColumn("least", F.least("session_id", "at")))
+    for _ in range(up.count().bit_length() + 1):
+        further = up.select(F.col("session_id").alias("at"), F.col("at").alias("_to"), F.col("depth").alias("_more"), F.col("least").alias("_least"))
+        rows = up.join(further, "at").select("session_id", F.col("_to").alias("at"), (F.col("depth") + F.col("_more")).alias("depth"), F.least("least", "_least").alias("least"), (F.col("_to") != F.col("at")).alias("_moved"))
+        rows = written(rows)
+        up = rows.drop("_moved")
+        if rows.filter("_moved").isEmpty():
+            break
+    ends = up.select(F.col("session_id").alias("at"), F.col("depth").alias("_deep"), F.col("least").alias("_circle"))
+    top = F.col("_deep") == 0
+    found = up.join(ends, "at").select("session_id", F.when(top, F.col("at")).otherwise(F.col("_circle")).alias("root_id"), F.when(top, F.col("depth")).alias("depth"))
+    return found.join(own.select("session_id"), "session_id", "left_semi")
+
+
 def semantic_uid(fields: list[Column]) -> Column:
     """SHA-256 over length-prefixed fields (bytes), so that no two lists of fields look alike."""
     parts = [F.concat(F.octet_length(F.coalesce(f.cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(f.cast("string"), F.lit(""))) for f in fields]
@@ -186,9 +235,7 @@ def completed_by_list(trace: DataFrame, terminal: tuple[str, ...] = ("task_compl
 
 def hit_details(hits: DataFrame, trace: DataFrame) -> DataFrame:
     """Hits (session_id, event_uid, score) with their place in session and turn, and the score against the best one."""
-    from pyspark.sql import Window
-
     place = trace.select("session_id", "event_uid", "event_order", "turn_seq", "event_ordinal")
     totals = trace.groupBy("session_id").agg(F.max("turn_seq").alias("total_turns"), F.count(F.lit(1)).alias("total_events"))
-    best = F.max("score").over(Window.partitionBy(F.lit(0)))  # hits are one page
-    return hits.join(place, ["session_id", "event_uid"]).join(totals, "session_id").withColumn("score_share", F.round(F.col("score") / best, 6))
+    best = hits.agg(F.max("score").alias("_best"))
+    return hits.join(place, ["session_id", "event_uid"]).join(totals, "session_id").crossJoin(F.broadcast(best)).withColumn("score_share", F.round(F.col("score") / F.col("_best"), 6)).drop("_best")

@@ -15,6 +15,7 @@ from tracelake.functions.json_text import content_types
 from tracelake.functions.text import compact, ends_with_path, entropy, path_tokens, snippet, tokens
 from tracelake.functions.paths import normal_path
 from tracelake.operators import analytics, attention, search, sessions, trace
+from tracelake.sources import keyvalue, sidecar
 from tracelake.sources.adapters import normalize
 from tracelake.streaming.ingest import progress
 from tracelake.plans.canonical import ACTIVITY_SQL, CONVERSATIONS_SQL, activity_events, conversation_events, table
@@ -410,6 +411,91 @@ def scope_semi_join(spark, d):
     return sessions.sessions_under(e, ["/srv/p1", "/srv/p2"])
 
 
+@query(f"""{EV}, t AS (SELECT session_id, event_uid, event_order, event_kind, CASE WHEN event_kind = 'tool_call' OR request_id % 3 = 0 THEN tool_call_id ELSE '' END AS cid, CASE WHEN event_kind = 'tool_call' OR request_id % 4 = 0 THEN tool_name ELSE '' END AS name FROM te WHERE event_kind IN ('tool_call', 'tool_result')),
+  n AS (SELECT *, count(*) FILTER (WHERE event_kind = 'tool_call') OVER w AS c, count(*) FILTER (WHERE event_kind = 'tool_result') OVER w AS r FROM t WINDOW w AS (PARTITION BY session_id ORDER BY event_order)),
+  l AS (SELECT *, greatest(0, max(r - c) OVER (PARTITION BY session_id ORDER BY event_order)) AS lack FROM n), m AS (SELECT *, coalesce(lag(lack) OVER (PARTITION BY session_id ORDER BY event_order), 0) AS before FROM l)
+  SELECT x.session_id, x.event_uid AS result_uid, y.event_uid AS call_uid, coalesce(nullif(x.cid, ''), nullif(y.cid, ''), 'result-' || x.event_uid) AS tool_call_id, coalesce(nullif(x.name, ''), nullif(y.name, ''), '') AS tool_name
+  FROM m x LEFT JOIN m y ON y.session_id = x.session_id AND y.event_kind = 'tool_call' AND x.lack = x.before AND y.c = x.r - x.lack WHERE x.event_kind = 'tool_result'""")
+def tool_pairing_in_order(spark, d):
+    """Results of trajectories, of which only some name their call or tool."""
+    call = F.col("event_kind") == "tool_call"
+    rows = _te(spark, d).withColumns({"tool_call_id": F.when(call | (F.col("request_id") % 3 == 0), F.col("tool_call_id")).otherwise(""), "tool_name": F.when(call | (F.col("request_id") % 4 == 0), F.col("tool_name")).otherwise("")})
+    return trace.pair_in_order(rows)
+
+
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS s, CASE WHEN c_custkey % 50 = 1 THEN c_custkey + 1 WHEN c_custkey % 50 = 2 THEN c_custkey - 1 WHEN c_custkey % 7 <> 0 THEN c_custkey // 3 END AS p FROM customer),
+  up AS (SELECT s, s AS top, 0 AS depth FROM l UNION ALL SELECT up.s, l.p, depth + 1 FROM up JOIN l ON l.s = up.top WHERE l.p IS NOT NULL AND depth < 40)
+  SELECT s AS session_id, CASE WHEN max(depth) = 40 THEN min(top) FILTER (WHERE depth > 30) ELSE arg_max(top, depth) END AS root_id, CASE WHEN max(depth) < 40 THEN CAST(max(depth) AS BIGINT) END AS depth FROM up GROUP BY s""")
+def session_roots(spark, d):
+    """Customers as sessions with chains of parents, parents without a row, and circles."""
+    k = F.col("c_custkey")
+    parent = F.when(k % 50 == 1, k + 1).when(k % 50 == 2, k - 1).when(k % 7 != 0, F.floor(k / 3).cast("long"))
+    return trace.root_sessions(table(spark, d, "customer").select(k.cast("long").alias("session_id"), parent.cast("long").alias("parent_id")))
+
+
+@query("""WITH m AS (SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id),
+  d AS (SELECT *, conv_id % 7 <> 0 AS valid0, conv_id % 11 <> 0 AS valid1, conv_id % 3 = 0 AS moved, conv_id % 3 = 1 AS titled FROM m),
+  t AS (SELECT *, valid1 AND (NOT valid0 OR moved) AS rewrite, valid1 AND (NOT valid0 OR moved OR titled) AS changed FROM d),
+  e AS (SELECT c.conv_id, c.turn + 1 AS line, 'message' AS event_kind, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS actor_kind, text AS text_content, '' AS usage FROM conversations c
+    UNION ALL SELECT conv_id, 0, 'session_meta', 'system', CASE WHEN titled THEN 'b' ELSE 'a' END, chars || '/' || turns FROM t WHERE changed)
+  SELECT 's' || e.conv_id AS session_id, e.line AS source_line_no, event_kind, actor_kind, text_content, CASE WHEN moved THEN '/new' ELSE '/old' END AS cwd, 'm1' AS model, CAST(2 AS BIGINT) AS event_version, usage
+  FROM e JOIN t USING (conv_id) WHERE (rewrite OR (changed AND line = 0))""")
+def sidecar_replays(spark, d):
+    """Conversations as transcripts, with documents of which some are edited, broken or mended between two passes: the events that are due."""
+    c = table(spark, d, "conversations").select("*", F.concat(F.lit("/t/"), F.col("conv_id").cast("string")).alias("stem"))
+
+    def documents(version: int):
+        per = c.groupBy("conv_id", "stem").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).cast("long").alias("chars"))
+        k, later = F.col("conv_id"), F.lit(version == 1)
+        turn = lambda n, paid: F.struct(n.alias("input_token_count"), F.array(F.struct(F.lit("credit").alias("unit"), paid.cast("double").alias("value")), F.struct(F.lit("second").alias("unit"), F.lit(9.0).alias("value"))).alias("metering_usage"))
+        state = F.struct(F.struct(F.struct(F.lit("m1").alias("model_id")).alias("model_info")).alias("rts_model_state"), F.struct(F.array(turn(F.col("chars") - 1, F.col("turns") - 1), turn(F.lit(1).cast("long"), F.lit(1))).alias("user_turn_metadatas")).alias("conversation_metadata"))
+        doc = F.to_json(F.struct(F.concat(F.lit("s"), k.cast("string")).alias("session_id"), F.when(later & (k % 3 == 0), "/new").otherwise("/old").alias("cwd"), F.when(later & (k % 3 == 1), "b").otherwise("a").alias("title"), state.alias("session_state")))
+        return sidecar.metadata(per.select("stem", F.when(k % (11 if version else 7) == 0, "{broken").otherwise(doc).alias("doc")))
+
+    first = sidecar.replays(documents(0), spark.createDataFrame([], sidecar.STATE)).drop("changed", "rewrite")
+    now = documents(1)
+    turned = sidecar.replays(now, first)
+    content = F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("data")))
+    kind = F.when(F.col("role") == "user", "Prompt").otherwise("AssistantMessage")
+    lines = c.join(turned.filter("rewrite").select("stem"), "stem", "left_semi").select(F.concat("stem", F.lit(".jsonl")).alias("source_file"), (F.col("turn") + 1).alias("source_line_no"), F.lit(0).cast("long").alias("source_offset"), F.to_json(F.struct(kind.alias("kind"), F.struct(content.alias("content")).alias("data"))).alias("value"))
+    events = normalize(sidecar.paired(lines.unionByName(sidecar.meta_records(now, turned)), now, turned), "kiro-cli")
+    usage = lambda p: F.get_json_object("token_usage_json", f"$.{p}").cast("double").cast("long").cast("string")
+    return events.select("session_id", "source_line_no", "event_kind", "actor_kind", "text_content", "cwd", "model", "event_version", F.when(F.col("event_kind") == "session_meta", F.concat(usage("input_tokens"), F.lit("/"), usage("credits"))).otherwise("").alias("usage"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS ms FROM orders),
+  hit AS (SELECT DISTINCT o_custkey FROM o WHERE o_orderkey % 16 = 3 UNION SELECT DISTINCT o_custkey FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE l_orderkey % 32 = 5 AND l_linenumber = 1 UNION SELECT c_custkey FROM customer WHERE c_custkey % 40 = 7)
+  SELECT CAST(c_custkey AS VARCHAR) AS session_id, 'session_meta' AS event_kind, 'system' AS actor_kind, c_name AS text_content, '' AS model, '/c/' || c_nationkey AS cwd FROM customer JOIN hit ON o_custkey = c_custkey
+  UNION ALL SELECT CAST(o.o_custkey AS VARCHAR), CASE WHEN l_linenumber % 3 = 0 THEN 'reasoning' ELSE 'message' END, CASE WHEN l_linenumber % 3 = 0 OR o_orderstatus = 'F' THEN 'assistant' ELSE 'user' END, l_orderkey || ':' || l_linenumber, 'm-' || lower(o_orderstatus), '/c/' || c_nationkey
+  FROM lineitem JOIN o ON o_orderkey = l_orderkey JOIN hit USING (o_custkey) JOIN customer ON c_custkey = o_custkey""")
+def store_assembly(spark, d):
+    """Customers, orders and lines as sessions, messages and parts of a store: the events of the sessions that some later changes touch."""
+    text, later = lambda c: F.col(c).cast("string"), lambda c: F.when(c, 9).otherwise(1)
+    file, o = F.lit("/s/store.db").alias("source_file"), table(spark, d, "orders")
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    s = table(spark, d, "customer").select(file, text("c_custkey").alias("id"), F.col("c_name").alias("title"), F.concat(F.lit("/c/"), text("c_nationkey")).alias("directory"), F.lit(0).cast("long").alias("time_created"), later(F.col("c_custkey") % 40 == 7).alias("time_updated"))
+    role = F.when(F.col("o_orderstatus") == "F", "assistant").otherwise("user")
+    m = o.select(file, text("o_orderkey").alias("id"), text("o_custkey").alias("session_id"), at.alias("time_created"), later(F.col("o_orderkey") % 16 == 3).alias("time_updated"), F.to_json(F.struct(role.alias("role"), F.concat(F.lit("m-"), F.lower("o_orderstatus")).alias("modelID"))).alias("data"))
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "reasoning").otherwise("text")
+    name = F.concat(text("l_orderkey"), F.lit(":"), text("l_linenumber"))
+    p = table(spark, d, "lineitem").select(file, name.alias("id"), text("l_orderkey").alias("message_id"), F.col("l_linenumber").cast("long").alias("time_created"), later((F.col("l_orderkey") % 32 == 5) & (F.col("l_linenumber") == 1)).alias("time_updated"), F.to_json(F.struct(kind.alias("type"), name.alias("text"))).alias("data"))
+    events = normalize(keyvalue.store_records(*keyvalue.affected(s, m, p, 5)), "opencode")
+    head = F.col("event_kind") == "session_meta"
+    return events.select("session_id", "event_kind", "actor_kind", "text_content", F.when(head, "").otherwise(F.col("model")).alias("model"), "cwd")
+
+
+@query("""WITH p AS (SELECT event_id, '/a/' || event_type || '/' || (event_id % 100) || '/u' || (user_id % 7) AS path FROM events),
+  r AS (SELECT DISTINCT '/a/' || event_type AS root FROM events WHERE event_type <> 'error' UNION SELECT DISTINCT '/a/' || event_type || '/' || (event_id % 100) FROM events WHERE event_id % 3 = 0)
+  SELECT event_id, arg_max(root, length(root)) AS root FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY event_id""")
+def longest_root_join(spark, d):
+    """The project of each path, from a table of roots that lie within one another."""
+    e = table(spark, d, "events")
+    kind, k = F.concat(F.lit("/a/"), F.col("event_type")), (F.col("event_id") % 100).cast("string")
+    roots = e.filter("event_type <> 'error'").select(kind.alias("root")).unionByName(e.filter("event_id % 3 = 0").select(F.concat(kind, F.lit("/"), k).alias("root"))).distinct()
+    paths = e.select("event_id", F.concat(kind, F.lit("/"), k, F.lit("/u"), (F.col("user_id") % 7).cast("string")).alias("path"))
+    return sessions.longest_root(paths, "path", roots).select("event_id", "root")
+
+
 @query("SELECT l_orderkey, l_linenumber, coalesce('new-' || o_orderkey, 'old-' || l_orderkey) AS uid FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey")
 def uid_remap_join(spark, d):
     m = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("new-"), F.col("o_orderkey").cast("string")).alias("new"))
@@ -451,9 +537,10 @@ def touch_union(spark, d):
     return analytics.merge_touches(exact, e.withColumn("basis", F.lit("fallback")).drop("model"))
 
 
+_ASSIGNED_SQL = redaction.ASSIGNED.replace("'", "''")
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract(text, '(?i)(\b(?:api[_-]?key|access[_-]?token|auth(?:orization)?|bearer|client[_-]?secret|credential|passwd|password|private[_-]?key|secret|token)\b["'']?\s*[:=]\s*["'']?)([0-9A-Za-z_./+=-]{20,})', 2) AS v FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract(text, '{_ASSIGNED_SQL}', 2) AS v FROM documents)
   SELECT doc_id, CAST(length(v) AS BIGINT) AS n, round((SELECT entropy(c) FROM (SELECT unnest(string_split(v, '')) AS c)), 6) AS bits FROM t WHERE v <> ''""")
 def entropy_secrets(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", redaction.ASSIGNED, 2).alias("v")).filter("v <> ''")
@@ -473,15 +560,19 @@ def _literals_gone(text: str) -> str:
     return text
 
 
+#: Whether a value v is harmless, and the bits that a random one must exceed.
+_GATES = f"""regexp_matches(lower(v), '{redaction.HARMLESS.rsplit("|", 1)[0]}') OR len(list_distinct(string_split(lower(v), ''))) = 1
+      OR regexp_replace(lower(v), '[^0-9a-z]', '', 'g') IN ({", ".join(f"'{x}'" for x in redaction.HARMLESS_RUNS)}) AS harmless,
+    CASE WHEN regexp_full_match(v, '[0-9]+') THEN {redaction.HEX_BITS} + {redaction.DIGIT_PENALTY} / log2(length(v)) WHEN regexp_full_match(v, '[0-9A-Fa-f]+') THEN {redaction.HEX_BITS} WHEN regexp_full_match(v, '[0-9A-Za-z+/_=-]+') THEN {redaction.BASE64_BITS} ELSE {redaction.OTHER_BITS} END AS bar"""
+
+
 def _judged(text: str) -> str:
     """Assigned values of documents with their place, bits, the bits they must exceed, and whether a mark says that they are harmless."""
     shape = redaction.ASSIGNED.replace("'", "''")
     return f"""rd AS (SELECT doc_id, {text} AS t FROM documents),
   va AS (SELECT doc_id, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM (SELECT doc_id, regexp_extract_all(t, '{shape}', 2) AS x FROM rd)),
   ju AS (SELECT doc_id, place, v, (SELECT entropy(c) FROM (SELECT unnest(string_split(v, '')) AS c)) AS bits,
-    regexp_matches(lower(v), 'example|placeholder|changeme|notasecret|not-a-secret|dummy|sample|redacted|password|secret|token') OR len(list_distinct(string_split(lower(v), ''))) = 1
-      OR regexp_replace(lower(v), '[^0-9a-z]', '', 'g') IN ('abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba', '01234567890123456789', '12345678901234567890') AS harmless,
-    CASE WHEN regexp_full_match(v, '[0-9]+') THEN 3.0 + 1.2 / log2(length(v)) WHEN regexp_full_match(v, '[0-9A-Fa-f]+') THEN 3.0 WHEN regexp_full_match(v, '[0-9A-Za-z+/_=-]+') THEN 4.5 ELSE 3.5 END AS bar FROM va)"""
+    {_GATES} FROM va)"""
 
 
 @query(f"WITH {_judged('text')} SELECT doc_id, CAST(place AS BIGINT) AS place, CAST(length(v) AS BIGINT) AS n, round(bits, 6) AS bits, NOT harmless AND bits > bar AS secret FROM ju")
@@ -498,6 +589,36 @@ def redaction_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", redaction.placeholder_count(redaction.redact(F.col("text"))).cast("long").alias("n"))
 
 
+#: Assignments whose value is a known token, tokens in a webhook's address, a token that holds another, and a placeholder, behind each document.
+_OVERLAPS = "text || ' api_key = \"sk-ant-' || md5('a' || doc_id) || '\" https://hooks.slack.com/services/xoxb-' || md5('b' || doc_id) || ' token: ghp_' || md5('c' || doc_id) || md5('d' || doc_id) || '.x' || doc_id || ' [REDACTED:jwt] sk-proj-hf_' || md5('e' || doc_id) || ' acme-' || doc_id"
+_ACME = "acme-[0-9]+"
+
+
+def _span_sql() -> str:
+    shape_of = lambda s: s.replace("'", "''")
+    rules = [*redaction.LITERAL.items(), (redaction.GENERIC, redaction.ASSIGNED), ("extra-pattern-1", _ACME)]
+    each = " UNION ALL ".join(f"""SELECT doc_id, t, '{rule}' AS rule, {k} AS priority, unnest(regexp_extract_all(t, '{shape_of(shape)}', 0)) AS whole,
+      unnest(list_slice(string_split_regex(t, '{shape_of(shape)}'), 1, -2)) AS piece, unnest({f"regexp_extract_all(t, '{shape_of(shape)}', 1)" if rule == redaction.GENERIC else f"list_transform(regexp_extract_all(t, '{shape_of(shape)}', 0), lambda x: '')"}) AS head,
+      unnest(generate_series(1, len(regexp_extract_all(t, '{shape_of(shape)}', 0)))) AS place FROM rd""" for k, (rule, shape) in enumerate(rules))
+    return f"""WITH RECURSIVE rd AS (SELECT doc_id, {_OVERLAPS} AS t FROM documents), mt AS ({each}),
+      po AS (SELECT *, sum(length(piece)) OVER w + coalesce(sum(length(whole)) OVER (PARTITION BY doc_id, rule ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM mt WINDOW w AS (PARTITION BY doc_id, rule ORDER BY place)),
+      sp AS (SELECT doc_id, t, rule, priority, begun + length(head) AS start, begun + length(whole) AS stop, substr(whole, length(head) + 1) AS v FROM po),
+      ju AS (SELECT *, (SELECT entropy(c) FROM (SELECT unnest(string_split(v, '')) AS c)) AS bits,
+        {_GATES} FROM sp WHERE NOT contains(v, '[REDACTED:')),
+      ok AS (SELECT doc_id, start, stop, rule, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC, priority) AS k FROM ju WHERE (rule <> '{redaction.GENERIC}' OR (NOT harmless AND bits > bar))
+        AND NOT (start < length(t) - length(' sk-proj-hf_' || md5('e' || doc_id) || ' acme-' || doc_id) AND stop > length(t) - length('[REDACTED:jwt] sk-proj-hf_' || md5('e' || doc_id) || ' acme-' || doc_id))),
+      sw AS (SELECT doc_id, k, start, stop, rule, stop AS until, true AS kept FROM ok WHERE k = 1 UNION ALL
+        SELECT ok.doc_id, ok.k, ok.start, ok.stop, ok.rule, CASE WHEN ok.start >= sw.until THEN ok.stop ELSE sw.until END, ok.start >= sw.until FROM sw JOIN ok ON ok.doc_id = sw.doc_id AND ok.k = sw.k + 1)
+      SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, rule FROM sw WHERE kept"""
+
+
+@query(_span_sql())
+def redaction_spans(spark, d):
+    """Every span of every document with overlapping secrets behind it, own pattern included."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(redaction.spans(F.expr(_OVERLAPS), (_ACME,))).alias("s"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"), "s.rule")
+
+
 @query("SELECT event_id, sha256(concat(length(CAST(event_id AS VARCHAR)), ':', event_id, strlen(event_type), ':', event_type, strlen(props), ':', props)) AS uid FROM events")
 def semantic_uid(spark, d):
     return table(spark, d, "events").select("event_id", trace.semantic_uid([F.col("event_id"), F.col("event_type"), F.col("props")]).alias("uid"))

@@ -144,7 +144,9 @@ def kinds_items() -> Column:
             .otherwise(item("unknown", "unknown", "system", js(b, "data")))
         )
 
-    return F.when(k.isin("Prompt", "AssistantMessage", "ToolResults"), F.transform(blocks, block)).when(k == "Compaction", F.array(item("summary", "compacted", "system", j("data.summary")))).otherwise(F.array(item("unknown", "unknown", "system", j("data.message"))))
+    used = F.to_json(F.struct(*(j(f"data.{c}").cast("double").alias(c) for c in ("input_tokens", "output_tokens", "credits"))))
+    meta = item("session_meta", "session_meta", "system", j("data.title"), item_id=j("data.session_id"), usage=used)
+    return F.when(k == "SessionMeta", F.array(meta)).when(k.isin("Prompt", "AssistantMessage", "ToolResults"), F.transform(blocks, block)).when(k == "Compaction", F.array(item("summary", "compacted", "system", j("data.summary")))).otherwise(F.array(item("unknown", "unknown", "system", j("data.message"))))
 
 
 def trajectory_items() -> Column:
@@ -244,8 +246,15 @@ FORMATS: dict[str, tuple[Callable[[], Column], tuple[str, ...], tuple[str, ...],
 
 
 def normalize(records: DataFrame, harness: str, source_name: str | None = None, author: str = "") -> DataFrame:
-    """Canonical events of records (source_file, source_line_no, source_offset, value)."""
+    """Canonical events of records (source_file, source_line_no, source_offset, value).
+
+    What earlier records of a file name for later ones is carried over its records here; columns session_hint, model_hint and cwd_hint, if
+    there are     are any, stand for the records that were read before; record_version is the version of the events.
+    """
+    hint = lambda c: F.col(f"{c}_hint") if f"{c}_hint" in records.columns else F.lit(None).cast("string")
+    generation = ["source_generation"] if "source_generation" in records.columns else []
     items, session, time, model, cwd = FORMATS[harness]
+    version = F.coalesce(F.col("record_version") if "record_version" in records.columns else F.lit(None), F.lit(1)).cast("long")
     first = lambda paths: F.coalesce(*(F.nullif(j(p), F.lit("")) for p in paths), F.lit(None).cast("string")) if paths else F.lit(None).cast("string")
     w = Window.partitionBy("source_file").orderBy("source_line_no")
     before = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -258,16 +267,16 @@ def normalize(records: DataFrame, harness: str, source_name: str | None = None,
     stem = F.regexp_extract("source_file", r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
     ts, known = parse_time(first(time))
     rows = records.select(
-        "source_file", "source_line_no", "source_offset", "value", ts.alias("event_ts"), known.alias("_timed"), first(time).alias("record_ts"),
-        F.coalesce(F.last(own_id, ignorenulls=True).over(before), F.nullif(in_path, F.lit("")), stem).alias("session_id"),
-        canonical_model(F.last(first(model), ignorenulls=True).over(before)).alias("model"), F.last(first(cwd), ignorenulls=True).over(before).alias("cwd"),
+        "source_file", "source_line_no", "source_offset", *generation, version.alias("event_version"), "value", ts.alias("event_ts"), known.alias("_timed"), first(time).alias("record_ts"),
+        F.coalesce(F.last(own_id, ignorenulls=True).over(before), hint("session"), F.nullif(in_path, F.lit("")), stem).alias("session_id"),
+        canonical_model(F.coalesce(F.last(first(model), ignorenulls=True).over(before), hint("model"))).alias("model"), F.coalesce(F.last(first(cwd), ignorenulls=True).over(before), hint("cwd")).alias("cwd"),
         F.coalesce(j("requestId"), j("payload.turn_id")).alias("request_id"), F.coalesce(j("parentUuid"), j("parent_id"), j("parentId")).alias("parent_uid"),
         j("durationMs").cast("long").alias("latency_ms"), j("retryAttempt").cast("int").alias("retry_count"), items().alias("_items"),
     )
     rows = rows.select("*", F.posexplode("_items").alias("emission_index", "_i")).select("*", "_i.*").drop("_items", "_i")
     rows = rows.withColumns({
         "event_kind": F.when(F.col("event_kind").isin(*DOMAINS["event_kind"]), F.col("event_kind")).otherwise("unknown"), "text_content": F.left(F.coalesce("text_content", F.lit("")), F.lit(TEXT_LIMIT)),
-        "harness": F.lit(harness), "source_name": F.lit(source_name or harness), "author": F.lit(author), "payload_json": F.col("value"), "token_usage_json": F.coalesce("usage", F.lit("")), "event_version": F.lit(1).cast("long"),
+        "harness": F.lit(harness), "source_name": F.lit(source_name or harness), "author": F.lit(author), "payload_json": F.col("value"), "token_usage_json": F.coalesce("usage", F.lit(""))
     })
     keys = ["session_id", "harness", "record_ts", "event_kind", "payload_type", "actor_kind", "tool_call_id", "tool_phase", "text_content", "payload_json"]
     rows = rows.withColumn("event_uid", semantic_uid([F.col(k) for k in keys]))

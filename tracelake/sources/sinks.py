@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.operators.sessions import longest_root
+
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("append")
@@ -17,11 +19,10 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 def route(events: DataFrame, roots: dict[str, str], default: str) -> DataFrame:
     """events with the backend of their session's first non-empty cwd: the longest root that holds it."""
+    table = events.sparkSession.createDataFrame(list(roots.items()), "root string, backend string")
     first = events.groupBy("session_id").agg(F.min_by(F.when(F.col("cwd") != "", F.col("cwd")), F.when(F.col("cwd") != "", F.struct("event_ts", "event_uid"))).alias("_origin"))
-    where = F.lit(default)
-    for root in sorted(roots, key=len):  # a longer root overrides
-        where = F.when((F.col("_origin") == root) | F.col("_origin").startswith(root.rstrip("/") + "/"), roots[root]).otherwise(where)
-    return events.join(first.select("session_id", where.alias("backend")), "session_id")
+    found = longest_root(first, "_origin", table)
+    return events.join(found.select("session_id", F.coalesce("backend", F.lit(default)).alias("backend")), "session_id")
 
 
 def tee(routed: DataFrame, paths: dict[str, str]) -> None:

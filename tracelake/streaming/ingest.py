@@ -1,8 +1,9 @@
 """Incremental ingest of trace files.
 
-A file stream reads new lines; every micro-batch writes raw rows, events, links and errors in that order and
-only then does the stream commit, so delivery is at least once. Uids do not depend on the batch, and readers
-collapse versions (`operators.trace.latest`), so a replay changes nothing.
+A stream follows growing files by byte offset (`sources.growing`); every micro-batch writes raw rows, events, links, errors and
+cursors in that order and only then does the stream commit, so delivery is at least once. Uids do not depend on the batch, and
+readers collapse versions (`operators.trace.latest`), so a replay changes nothing. A cursor row says, of a file up to a byte, how many lines it
+had and which session, model and working directory its records named last, for the lines that come later.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.functions.redaction import redact
 from tracelake.operators.trace import latest
+from tracelake.sources import growing
 from tracelake.sources.adapters import links, normalize
-from tracelake.sources.jsonl import FRAGMENT_CHARS, exclude_paths, is_object, quarantine, raw_rows, read_lines, split_records
+from tracelake.sources.jsonl import FRAGMENT_CHARS, exclude_paths, quarantine, raw_rows, split_records
 from tracelake.sources.sinks import append
 
-TABLES = ("raw", "events", "links", "errors")
+TABLES = ("raw", "events", "links", "errors", "cursors")
 
 
-def line_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Lines of new files under a path, with their file."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("source_offset"), "value")
+def line_stream(spark: SparkSession, path: str, state: str, part_bytes: int = growing.PART_BYTES) -> DataFrame:
+    """Lines appended to the files under a path; `state` is the folder of its snapshots."""
+    spark.dataSource.register(growing.GrowingLines)
+    return spark.readStream.format("growing_lines").options(path=path, state=state, part_bytes=part_bytes).load()
 
 
 def number_lines(batch: DataFrame) -> DataFrame:
@@ -35,17 +37,49 @@ def number_lines(batch: DataFrame) -> DataFrame:
     return rows.withColumn("source_line_no", F.row_number().over(w).cast("long")).drop("_id")
 
 
+HINTS = ("session", "model", "cwd")
+COUNTED = "source_file string, source_generation int, start long, n_lines long, session_hint string, model_hint string, cwd_hint string"
+
+
+def known_cursors(spark: SparkSession, base: str) -> DataFrame:
+    """(COUNTED) for every file and byte that a batch ended at; a batch that was written twice counts once."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/cursors")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], COUNTED)
+    rows = spark.read.schema(COUNTED).parquet(f"{base}/cursors")
+    return rows.groupBy("source_file", "source_generation", "start").agg(*(F.max(c).alias(c) for c in rows.columns[3:]))
+
+
+def latest_cursors(spark: SparkSession, base: str) -> DataFrame:
+    """Of each file the cursor of the highest generation and then the furthest byte."""
+    rows = known_cursors(spark, base)
+    return rows.groupBy("source_file").agg(F.max(F.struct(*rows.columns[1:])).alias("_c")).select("source_file", "_c.*")
+
+
+def _cursors(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """Cursors behind the lines of a batch; where they made no events, hints stay as they were."""
+    before = lines.groupBy("source_file").agg(*(F.max(f"{h}_hint").alias(f"_{h}") for h in HINTS))
+    at = F.struct("source_line_no", "emission_index")
+    last = events.groupBy("source_file").agg(*(F.max_by(F.nullif(F.col(c), F.lit("")), at).alias(f"{h}_hint") for h, c in zip(HINTS, ("session_id", "model", "cwd"), strict=True)))
+    rows = growing.line_counts(lines).join(before, "source_file").join(last, "source_file", "left")
+    return rows.select("source_file", "source_generation", "start", "n_lines", *(F.coalesce(f"{h}_hint", f"_{h}").alias(f"{h}_hint") for h in HINTS))
+
+
 def write_batch(batch: DataFrame, harness: str, base: str, excluded: tuple[str, ...] = ()) -> None:
-    """Raw rows, events, links and errors of a batch, in this order; files of excluded paths are passed over, and rows too large for a sink are errors."""
-    lines = number_lines(exclude_paths(batch, list(excluded))).persist()
+    """Raw rows, events, links, errors and, of followed files, cursors of a batch, in this order; files of excluded paths are passed over, and rows too large for a sink are errors."""
+    batch, followed = exclude_paths(batch, list(excluded)), "part_line" in batch.columns
+    lines = (growing.numbered(batch, known_cursors(batch.sparkSession, base)) if followed else number_lines(batch)).persist()
     records, errors = split_records(lines)
     events, large = quarantine(normalize(records.withColumn("value", redact(F.col("value"))), harness))
     events = events.persist()
-    append(raw_rows(lines.withColumn("value", redact(F.col("value")))), f"{base}/raw")
+    kept = [c for c in ("source_file", "source_generation", "source_line_no", "source_offset", "value") if c in lines.columns]
+    append(raw_rows(lines.select(*kept).withColumn("value", redact(F.col("value")))), f"{base}/raw")
     append(events, f"{base}/events")
     append(links(events), f"{base}/links")
     big = large.select("source_file", "source_line_no", F.lit("row_too_large").alias("error_kind"), F.lit("row_too_large").alias("error_text"), F.left("payload_json", F.lit(FRAGMENT_CHARS)).alias("fragment"))
     append(errors.withColumn("fragment", redact(F.col("fragment"))).unionByName(big), f"{base}/errors")
+    if followed:
+        append(_cursors(lines, events), f"{base}/cursors")
     events.unpersist()
     lines.unpersist()
 
@@ -58,31 +92,13 @@ def progress(raw: DataFrame, events: DataFrame, errors: DataFrame) -> DataFrame:
     return rows.na.fill(0, ["n_events", "n_errors"])
 
 
-CURSOR = "source_file string, generation int, size long, n_lines long"
-
+CURSOR = growing.CURSOR
 
-def tail(spark: SparkSession, path: str, cursors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Lines appended to the files under a path since the cursors, numbered on, and the new cursors.
 
-    Files that have not grown are not opened; a file shorter than its cursor was written anew, so it is read from the start in its next generation. A last line without
-    its end is left for the next time only if it is no whole JSON value yet, as the text reader does not tell.
-    """
-    found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.col("length").alias("size"))  # lists files, reads no content
-    old = cursors if cursors is not None else spark.createDataFrame([], CURSOR)
-    old = old.select("source_file", F.col("generation").alias("g"), F.col("size").alias("s"), F.col("n_lines").alias("l"))
-    state = found.join(F.broadcast(old), "source_file", "left")
-    state = state.select("source_file", "size", F.when(F.col("size") < F.col("s"), F.col("g") + 1).otherwise(F.coalesce("g", F.lit(0))).alias("generation"), F.when(F.col("size") < F.col("s"), 0).otherwise(F.coalesce("l", F.lit(0))).alias("seen"), F.coalesce(F.col("size") != F.col("s"), F.lit(True)).alias("grown"))
-    grown = [r[0] for r in state.filter("grown").select("source_file").collect()]
-    if not grown:
-        return spark.createDataFrame([], "source_file string, source_line_no long, source_offset long, value string, generation int"), cursors if cursors is not None else old.select("source_file", F.col("g").alias("generation"), F.col("s").alias("size"), F.col("l").alias("n_lines"))
-    lines = read_lines(spark, grown)
-    last = Window.partitionBy("source_file").orderBy(F.desc("source_line_no"))
-    open_end = (F.row_number().over(last) == 1) & ~is_object(F.col("value"))
-    lines = lines.withColumn("_open", open_end).filter("NOT _open").drop("_open").join(F.broadcast(state.filter("grown")), "source_file")
-    fresh = lines.filter(F.col("source_line_no") > F.col("seen")).select("source_file", "source_line_no", "source_offset", "value", "generation")
-    ends = lines.groupBy("source_file").agg(F.max("source_line_no").alias("n"))
-    new = state.join(ends, "source_file", "left").select("source_file", "generation", "size", F.coalesce("n", "seen").cast("long").alias("n_lines"))
-    return fresh, new
+def tail(spark: SparkSession, path: str, cursors: DataFrame | None = None, part_bytes: int = growing.PART_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Lines appended to the files under a path since the cursors, numbered on, and the new cursors (CURSOR)."""
+    lines, now = growing.appended(spark, path, cursors, part_bytes)
+    return lines.select("source_file", "source_line_no", "source_offset", "value", F.col("source_generation").alias("generation")), now
 
 
 def stream_latency(events: DataFrame) -> DataFrame:
@@ -105,8 +121,8 @@ def stream_latency(events: DataFrame) -> DataFrame:
 
 
 def start(spark: SparkSession, path: str, harness: str, base: str, checkpoint: str, once: bool = True, interval: str = "1 second", excluded: tuple[str, ...] = ()) -> StreamingQuery:
-    """Start the ingest of a directory; once: take what is there and stop."""
-    writer = line_stream(spark, path).writeStream.foreachBatch(lambda df, _: write_batch(df, harness, base, excluded)).option("checkpointLocation", checkpoint)
+    """Start the ingest of a directory; once: take what is there and stop. Started again with the same checkpoint, it takes what has been appended."""
+    writer = line_stream(spark, path, f"{checkpoint}/snapshots").writeStream.foreachBatch(lambda df, _: write_batch(df, harness, base, excluded)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
