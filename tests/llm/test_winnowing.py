@@ -18,7 +18,8 @@ def plain(text):
     chosen = set()
     for s in range(max(len(hashes) - WINDOW, 0) + 1):
         window = hashes[s : s + WINDOW]
-        chosen.add(s + max(k for k, h in enumerate(window) if h == min(window)))
+        least = min(window)
+        chosen.add(s + max(k for k, h in enumerate(window) if h == least))
     return [(hashes[p], p) for p in sorted(chosen)]
 
 

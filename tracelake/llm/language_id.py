@@ -4,7 +4,7 @@ Every training text counts, and every 4-gram of characters (packed as four 16-bi
 language, and continuation counts of the lower orders are sums over all distinct grams of the next order. Spark then works out,
 order by order, the bits of every 4-gram that occurs in any document, in each language. These go to the tasks
 as sorted arrays of keys, in parts of at most about `PART_GRAMS` keys, one pass over the documents for each part; a text's entropy is a sum
-over its 4-grams, so parts add up, and the model may grow with the corpus without a bound. A language wins by the lowest
+over its 4-grams, so parts add up; all parts together must fit the driver's and a worker's memory. A language wins by the lowest
 cross-entropy per character; a text whose entropy exceeds the limit of its language, a quantile over all training texts,
 gets a score below one half.
 
