@@ -32,6 +32,7 @@ TABLES = {
     "postings": "term string, doc_id {0}, version {1}, doc_len long, tf long, sign long", "terms": "term string, df long, max_tf long, min_len long",
     "forward": "doc_id {0}, version {1}, doc_len long, term string, tf long", "locator": "doc_id {0}, version {1}, doc_len long",
 }
+#: One folder, and for documents one task of a batch, each: 64 for some GB of text, thousands for some TB.
 BUCKETS = 64
 #: Postings beyond the first terms' that make it worth a job to find the score which a page's last hit has at least.
 PRUNE_ROWS = 100_000
@@ -160,10 +161,10 @@ def append(docs: DataFrame, base: str, batch: int, buckets: int = BUCKETS) -> In
     new = given.join(held.select("bucket", "doc_id", "_old"), ["bucket", "doc_id"], "left").filter("_old IS NULL OR version > _old")
     words = new.select("bucket", *DOC, tokens(F.col("text")).alias("_t")).withColumn("doc_len", F.size("_t").cast("long"))
     indexed = words.select("bucket", *DOC, "doc_len", F.explode_outer(F.filter("_t", term_is_indexed)).alias("term"))
-    counted = indexed.groupBy("bucket", *DOC, "doc_len", "term").agg(F.count("term").alias("tf"))  # by doc_id, which the rows are dealt by
-    _write(counted, to["forward"], "bucket", "doc_id", "term")
+    counted = indexed.groupBy("bucket", *DOC, "doc_len", "term").agg(F.count("term").alias("tf"))
+    _write(counted.repartition("bucket"), to["forward"], "bucket", "doc_id", "term")
     added = _read(spark, "forward", types, to["forward"])
-    _write(added.groupBy("bucket", *DOC).agg(F.max("doc_len").alias("doc_len")), to["locator"], "bucket", "doc_id")
+    _write(added.groupBy("bucket", *DOC).agg(F.max("doc_len").alias("doc_len")).repartition("bucket"), to["locator"], "bucket", "doc_id")
     located = _read(spark, "locator", types, to["locator"])
     signed = added.withColumn("sign", F.lit(1).cast("long"))
     gone = located.select("bucket", "doc_id").join(held, ["bucket", "doc_id"]).select("bucket", "doc_id", F.col("_old").alias("version"), F.col("_old_len").alias("doc_len"))
@@ -174,7 +175,7 @@ def append(docs: DataFrame, base: str, batch: int, buckets: int = BUCKETS) -> In
     _write(rows.repartitionByRange("bucket", "term", "doc_id"), to["postings"], "bucket", "term", "doc_id")
     plus = F.col("sign") > 0
     per_term = _read(spark, "postings", types, to["postings"]).groupBy("bucket", "term").agg(F.sum("sign").alias("df"), F.max(F.when(plus, F.col("tf"))).alias("max_tf"), F.min(F.when(plus, F.col("doc_len"))).alias("min_len"))
-    _write(per_term, to["terms"], "bucket", "term")
+    _write(per_term.repartition("bucket"), to["terms"], "bucket", "term")
     change = located.select("doc_len", F.lit(1).alias("sign")).unionByName(gone.select("doc_len", F.lit(-1).alias("sign"))).filter("doc_len > 0")
     _commit(change, to["commits"], batch, False, types)
     return Index(spark, base, buckets)
@@ -196,13 +197,13 @@ def merge(spark: SparkSession, base: str, buckets: int = BUCKETS) -> Index:
     if not now.commits or (len(now.commits) == 1 and now.commits[0].merged):
         return now
     to = {t: f"{base}/{t}/{_segment(now.last, True)}" for t in (*TABLES, "commits")}
-    _write(now.live(), to["locator"], "bucket", "doc_id")
+    _write(now.live().repartition("bucket"), to["locator"], "bucket", "doc_id")
     located = _read(spark, "locator", now.types, to["locator"])
-    _write(now.table("forward").join(located.select("bucket", *DOC), ["bucket", *DOC], "left_semi"), to["forward"], "bucket", "doc_id", "term")
+    _write(now.table("forward").join(located.select("bucket", *DOC), ["bucket", *DOC], "left_semi").repartition("bucket"), to["forward"], "bucket", "doc_id", "term")
     rows = now.postings().withColumn("sign", F.lit(1).cast("long"))
     _write(rows.repartitionByRange("bucket", "term", "doc_id"), to["postings"], "bucket", "term", "doc_id")
     per_term = _read(spark, "postings", now.types, to["postings"]).groupBy("bucket", "term").agg(F.sum("sign").alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
-    _write(per_term, to["terms"], "bucket", "term")
+    _write(per_term.repartition("bucket"), to["terms"], "bucket", "term")
     _commit(located.filter("doc_len > 0").withColumn("sign", F.lit(1)), to["commits"], now.last, True, now.types)
     return Index(spark, base, buckets)
 

@@ -14,7 +14,8 @@ from tracelake.functions import classify, redaction
 from tracelake.functions.json_text import content_types
 from tracelake.functions.text import compact, ends_with_path, entropy, path_tokens, snippet, tokens
 from tracelake.functions.paths import normal_path
-from tracelake.operators import analytics, attention, search, sessions, trace
+from tracelake.operators import analytics, attention, search, sessions, stored_index, trace
+from tracelake.operators.written import new_folder
 from tracelake.sources import keyvalue, sidecar
 from tracelake.sources.adapters import normalize
 from tracelake.streaming.ingest import progress
@@ -180,6 +181,39 @@ def postings_live(spark, d):
     return search.live(stored, trace.latest(every.select("doc_id", "version"), ["doc_id"], "version")).select("doc_id", "term", "tf", "version")
 
 
+INDEX_BUCKETS = 8
+
+
+def index_of_documents(spark, d) -> stored_index.Index:
+    """Documents in a first batch, those labelled bad withdrawn and those of good ones spoken twice in a second, a stale copy of all in a third."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("version"), "text")
+    quality = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    said = F.when(F.col("quality") == 0, "withdrawn").otherwise(F.concat("text", F.lit(" "), F.col("text")))
+    edits = docs.join(quality, "doc_id").select("doc_id", F.lit(2).alias("version"), said.alias("text"))
+    base = new_folder(spark, "index")
+    for k, batch in enumerate((docs, edits, docs)):
+        index = stored_index.append(batch, base, k, INDEX_BUCKETS)
+    return index
+
+
+EDITED = POSTINGS.replace("FROM documents)", """FROM (SELECT d.doc_id, CASE WHEN quality IS NULL THEN text WHEN quality = 0 THEN 'withdrawn' ELSE text || ' ' || text END AS text
+  FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)))""")
+
+
+@query(f"WITH {EDITED}, {STATS}, {SCORED} SELECT doc_id, score, matched_terms FROM sc WHERE matched_terms >= 2 ORDER BY score DESC, doc_id LIMIT 25")
+def index_search(spark, d):
+    """The best documents by an index that took edits, withdrawals and stale copies."""
+    return index_of_documents(spark, d).search(SEARCH, min_match=2)
+
+
+@query(f"WITH {EDITED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM po GROUP BY term")
+def index_views(spark, d):
+    """Frequencies of every term as the segments' deltas add up, beside the uses that the view of postings counts."""
+    index = index_of_documents(spark, d)
+    uses = index.postings().groupBy("term").agg(F.sum("tf").alias("n"))
+    return index.terms().select("term", "df").join(uses, "term", "full")
+
+
 SCOPED = f"""{CV}, own AS (SELECT session_id FROM cv GROUP BY session_id HAVING count(*) >= 6), tk AS (SELECT session_id, event_uid, event_ts, text_content, regexp_extract_all(lower(text_content), '[a-z0-9_]+') AS t FROM cv WHERE session_id IN (FROM own)),
   po AS (SELECT event_uid, term, len(t) AS doc_len, count(*) AS tf FROM (SELECT event_uid, t, unnest(t) AS term FROM tk) WHERE term IN {IN_TERMS} GROUP BY event_uid, term, len(t)), {STATS},
   df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
