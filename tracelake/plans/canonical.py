@@ -23,7 +23,10 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events rows as tool calls, results, messages and notes of one session for each user."""
-    e = table(spark, sf_dir, "events")
+    return as_activity(table(spark, sf_dir, "events"))
+
+
+def as_activity(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.col("event_type")
     return e.select(

@@ -19,7 +19,8 @@ from tracelake.operators.written import new_folder
 from tracelake.sources import keyvalue, sidecar
 from tracelake.sources.adapters import normalize
 from tracelake.streaming.ingest import progress
-from tracelake.plans.canonical import ACTIVITY_SQL, CONVERSATIONS_SQL, activity_events, conversation_events, table
+from tracelake.streaming import ordered
+from tracelake.plans.canonical import ACTIVITY_SQL, CONVERSATIONS_SQL, activity_events, as_activity, conversation_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -406,6 +407,23 @@ def latency_enrichment(spark, d):
     return trace.latency(_te(spark, d)).select("session_id", "event_uid", "latency_ms")
 
 
+@query(f"""{EV}, r AS (SELECT *, epoch_us(event_ts) AS us, epoch_us(event_ts) // 1000 AS ms FROM te WHERE actor_kind IN ('user', 'assistant', 'tool')),
+  l AS (SELECT session_id, event_uid, us, CASE WHEN lag(event_kind) OVER w = 'tool_result' AND actor_kind = 'assistant' THEN CAST(greatest(ms - lag(ms) OVER w, 0) AS DOUBLE) END AS latency_ms FROM r WINDOW w AS (PARTITION BY session_id ORDER BY event_order))
+  SELECT session_id, event_uid, latency_ms FROM l WHERE us <= (SELECT (max(ms) - 600000) * 1000 FROM r)""")
+def latency_stream(spark, d):
+    """Latencies by a stream of the events: of all that its watermark, ten minutes behind the newest, has passed."""
+    key, folder = "spark.sql.streaming.stateStore.providerClass", new_folder(spark, "latency")
+    before = spark.conf.get(key)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+    spark.conf.set(key, ordered.STORE)
+    try:
+        due = ordered.ordered_latency(as_activity(stream)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        due.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema("session_id string, event_uid string, latency_ms double").parquet(f"{folder}/out")
+
+
 @query(f"""{EV}, p AS (SELECT *, sum(CASE WHEN event_kind = 'tool_call' THEN 1 ELSE -1 END) OVER k AS s FROM te WHERE event_kind IN ('tool_call', 'tool_result') WINDOW k AS (PARTITION BY session_id, turn_seq, tool_call_id ORDER BY event_order)),
   q AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY session_id, turn_seq, tool_call_id ORDER BY event_order)) AS depth FROM p),
   l AS (SELECT *, CASE WHEN event_kind = 'tool_call' THEN depth ELSE coalesce(lag(depth) OVER (PARTITION BY session_id, turn_seq, tool_call_id ORDER BY event_order), 0) END AS lvl FROM q)
