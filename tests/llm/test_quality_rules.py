@@ -3,8 +3,10 @@ import math
 import re
 
 import pandas as pd
+import pytest
+import xxhash
 
-from tracelake.llm.quality_rules import SMOOTHING, fit_ratio, judge, keep_good, op2_quality_rules
+from tracelake.llm.quality_rules import BUCKETS, SMOOTHING, THRESHOLD, fit_ratio, judge, keep_good, op2_quality_rules
 
 
 def base(text):
@@ -52,6 +54,35 @@ def test_ratio_against_plain_counts(spark, make_docs):
         assert abs(got[b] - want) < 1e-12
 
 
+def plain_grams(text):
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    one = [xxhash.xxh64_intdigest(w, seed=42) for w in words]
+    return [h % BUCKETS for h in one + [xxhash.xxh64_intdigest(b, seed=h) for h, b in zip(one, words[1:], strict=False)]]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_scores_and_verdicts_of_whole_tables(spark, sf, size):
+    folder = sf.replace("sf0.001", size)
+    docs = pd.read_parquet(f"{folder}/documents.parquet")
+    good = set(pd.read_parquet(f"{folder}/labels.parquet").query("quality == 1").doc_id)
+    grams = [plain_grams(t) for t in docs.text]
+    raw, target = collections.Counter(), collections.Counter()
+    for d, g in zip(docs.doc_id, grams, strict=True):
+        raw.update(g)
+        target.update(g if d in good else [])
+    sums = (target.total(), raw.total())
+    share = lambda n, total: math.log((n + SMOOTHING) / (total + SMOOTHING * BUCKETS))
+    ratio = {b: share(target[b], sums[0]) - share(raw[b], sums[1]) for b in raw}
+    found = {r.doc_id: r for r in op2_quality_rules(spark, folder).collect()}
+    assert len(found) == len(docs) == docs.doc_id.nunique()
+    for d, g, t in zip(docs.doc_id, grams, docs.text, strict=True):
+        score = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert found[d].score == pytest.approx(score, abs=1e-9)
+        if abs(score - THRESHOLD) > 1e-9:
+            assert found[d].kept == (not base(t)[5] and score >= THRESHOLD)
+    assert len({r.kept for r in found.values()}) == 2
+
+
 def test_clashing_columns_and_empty_table(spark, make_docs):
     docs = make_docs(["w " * 60 + "end"]).withColumnRenamed("source", "_quality").withColumnRenamed("lang", "n_words")
     rows, q = judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
