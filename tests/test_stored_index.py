@@ -149,3 +149,24 @@ def test_equals_a_scan_of_the_documents(spark, sf, tmp_path):
     terms = query_terms("the with erat")
     want = score_documents(docs, terms).orderBy(F.desc("score"), "doc_id").limit(25).select("doc_id", "score", "matched_terms", "text").collect()
     assert sorted(stored_index.with_text(index.search("the with erat"), docs).collect()) == sorted(want)
+
+
+def test_documents_of_a_bucket_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """One task a bucket wrote all documents before, and a row for each term of each."""
+    monkeypatch.setattr(stored_index, "TASK_DOCS", 10)
+    monkeypatch.setattr(stored_index, "TASK_POSTINGS", 50)
+    rows = [(k, 1, f"alpha w{k % 7} w{k}") for k in range(200)]
+    index = stored_index.append(spark.createDataFrame(rows, ROWS), str(tmp_path / "h"), 0, 2)
+    assert index.table("forward").count() == 200 and len(index.table("forward").inputFiles()) == 20
+    alpha = index.table("postings").filter("term = 'alpha'").groupBy(F.input_file_name()).count().collect()
+    assert len(alpha) == 6 and max(r["count"] for r in alpha) < 60
+    same(index, final([rows]))
+
+
+def test_texts_of_stale_versions_are_not_moved(spark, index, batches):
+    held = index.live().withColumnsRenamed({"version": "_old", "doc_len": "_old_len"})
+    stale = stored_index._newest(spark.createDataFrame(batches[0], ROWS), held)
+    assert stale.count() == 0 and "Exchange" not in stale._jdf.queryExecution().executedPlan().toString()
+    tied = [(500, 9, "b"), (500, 9, "c"), (500, 8, "d"), (501, None, "n"), (0, 10, None)]
+    found = stored_index._newest(spark.createDataFrame(tied, ROWS), held).select("doc_id", "version", "text").collect()
+    assert sorted(map(tuple, found), key=lambda r: r[0]) == [(0, 10, ""), (500, 9, "c"), (501, None, "n")]

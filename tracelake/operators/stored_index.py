@@ -5,7 +5,7 @@ A batch of documents becomes a segment: what it adds has sign +1, what it takes
 
 * `postings`: bucket, term, doc_id, version, doc_len, tf, sign; a bucket (of the term) is a folder, files are sorted by term
 * `terms`: bucket, term, df (signed), max_tf and min_len (of what was added)
-* `forward`: bucket (of the document), doc_id, version, doc_len, term, tf; term is null where a document has none that is indexed
+* `forward`: bucket (of the document), doc_id, version, doc_len, terms (array of term, tf); a row for each document
 * `locator`: bucket, doc_id, version, doc_len
 * `commits`: batch, merged, types of the keys, docs, total_doc_len (signed); written last, so that a segment without it is not read
 
@@ -18,22 +18,31 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracelake.functions.text import term_is_indexed, tokens
+from tracelake.functions.text import MAX_TERM, MIN_TERM, TOKEN
 from tracelake.operators.search import B, K1, bm25, query_terms
 
 #: Columns beside bucket and segment, which are folders; doc_id and version have the types of the first batch.
 TABLES = {
     "postings": "term string, doc_id {0}, version {1}, doc_len long, tf long, sign long", "terms": "term string, df long, max_tf long, min_len long",
-    "forward": "doc_id {0}, version {1}, doc_len long, term string, tf long", "locator": "doc_id {0}, version {1}, doc_len long",
+    "forward": "doc_id {0}, version {1}, doc_len long, terms array<struct<term:string,tf:long>>", "locator": "doc_id {0}, version {1}, doc_len long",
 }
-#: One folder, and for documents one task of a batch, each: 64 for some GB of text, thousands for some TB.
+#: One folder each: 64 for some GB of text, thousands for some TB. A batch's tasks follow from its rows.
 BUCKETS = 64
+#: Documents and postings that a task writes, of some thousand words and some dozen bytes each.
+TASK_DOCS, TASK_POSTINGS = 10_000, 1_000_000
+#: Documents of a batch whose keys are broadcast to find their texts; beyond it the texts are shuffled.
+BROADCAST_ROWS = 500_000
+_TOKENS = re.compile(TOKEN.encode()).findall
+COUNTED = "struct<doc_len:long,terms:array<struct<term:string,tf:long>>>"
 #: Postings beyond the first terms' that make it worth a job to find the score which a page's last hit has at least.
 PRUNE_ROWS = 100_000
 DOC = ["doc_id", "version"]
@@ -147,6 +156,49 @@ def needed_terms(order: list[str], best: dict[str, float], least: float) -> list
     return order[:cut]
 
 
+def _counted(texts: pa.Array) -> pa.Array:
+    """Number of tokens, and the distinct indexed terms with their uses, of lower-cased texts as UTF-8, as `functions.text.tokens` and `term_is_indexed` tell them."""
+    lengths, ends, terms, uses = [], [0], [], []
+    for x in texts:
+        found = _TOKENS(x.as_py() or b"")
+        held = {t: n for t, n in Counter(found).items() if MIN_TERM <= len(t) <= MAX_TERM}
+        lengths.append(len(found))
+        terms += held
+        uses += held.values()
+        ends.append(len(terms))
+    pairs = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(uses, pa.int64())], names=["term", "tf"])
+    return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["doc_len", "terms"])
+
+
+def _newest(docs: DataFrame, held: DataFrame | None) -> DataFrame:
+    """doc_id, version, text of the documents that a batch changes.
+
+    Keys alone are compared first, so that texts of stale versions are not moved, and no text is if every document comes once and is new.
+    """
+    given = docs.filter("doc_id IS NOT NULL").select(*DOC, F.coalesce("text", F.lit("")).alias("text"))
+    keys = given.groupBy("doc_id").agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("_rows"))
+    if held is not None:
+        keys = keys.join(held.select("doc_id", "_old"), "doc_id", "left").filter("_old IS NULL OR version > _old").drop("_old")
+    keys = keys.withColumnsRenamed({"doc_id": "_id", "version": "_new"})
+    fresh, rows = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    if not fresh:
+        return given.limit(0)
+    if held is None and fresh == rows:  # of the whole batch
+        return given
+    side = F.broadcast(keys) if fresh <= BROADCAST_ROWS else keys
+    own = given.join(side, (F.col("doc_id") == F.col("_id")) & F.col("version").eqNullSafe(F.col("_new")))
+    if fresh == rows:
+        return own.select(*DOC, "text")
+    once = own.filter("_rows = 1").select(*DOC, "text")  # several rows of a document: of its highest version, the greatest text
+    return once.unionByName(own.filter("_rows > 1").groupBy(*DOC).agg(F.max("text").alias("text")))
+
+
+def _dealt(rows: DataFrame, n: int, buckets: int, most: int) -> DataFrame:
+    """Rows by bucket, and by document where a bucket has more than `most` of them, so that no task grows with the batch or with a frequent term."""
+    parts = max(1, -(-n // (buckets * most)))
+    return rows.repartitionById(buckets * parts, (F.col("bucket") * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int"))
+
+
 def append(docs: DataFrame, base: str, batch: int, buckets: int = BUCKETS) -> Index:
     """Take a batch of (doc_id, version, text) into the index and give the index after it."""
     spark = docs.sparkSession
@@ -155,24 +207,19 @@ def append(docs: DataFrame, base: str, batch: int, buckets: int = BUCKETS) -> In
         return before
     to = {t: f"{base}/{t}/{_segment(batch, False)}" for t in (*TABLES, "commits")}
     types = (docs.schema["doc_id"].dataType.simpleString(), docs.schema["version"].dataType.simpleString())
-    given = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("version", F.coalesce("text", F.lit("")).alias("text"))).alias("_v")).select("doc_id", "_v.*")
-    given = given.withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
-    held = before.live().withColumnsRenamed({"version": "_old", "doc_len": "_old_len"}) if before.commits else given.limit(0).select("bucket", "doc_id", F.col("version").alias("_old"), F.lit(0).cast("long").alias("_old_len"))
-    new = given.join(held.select("bucket", "doc_id", "_old"), ["bucket", "doc_id"], "left").filter("_old IS NULL OR version > _old")
-    words = new.select("bucket", *DOC, tokens(F.col("text")).alias("_t")).withColumn("doc_len", F.size("_t").cast("long"))
-    indexed = words.select("bucket", *DOC, "doc_len", F.explode_outer(F.filter("_t", term_is_indexed)).alias("term"))
-    counted = indexed.groupBy("bucket", *DOC, "doc_len", "term").agg(F.count("term").alias("tf"))
-    _write(counted.repartition("bucket"), to["forward"], "bucket", "doc_id", "term")
+    held = before.live().withColumnsRenamed({"version": "_old", "doc_len": "_old_len"}) if before.commits else None
+    new = _newest(docs, held)
+    words = new.select(bucket_of(F.col("doc_id"), buckets).alias("bucket"), *DOC, F.arrow_udf(_counted, COUNTED)(F.lower("text").cast("binary")).alias("_c")).select("bucket", *DOC, "_c.doc_len", "_c.terms")
+    _write(_dealt(words, new.select("doc_id").count(), buckets, TASK_DOCS), to["forward"], "bucket", "doc_id")
     added = _read(spark, "forward", types, to["forward"])
-    _write(added.groupBy("bucket", *DOC).agg(F.max("doc_len").alias("doc_len")).repartition("bucket"), to["locator"], "bucket", "doc_id")
+    _write(added.select("bucket", *DOC, "doc_len").repartition("bucket"), to["locator"], "bucket", "doc_id")
     located = _read(spark, "locator", types, to["locator"])
     signed = added.withColumn("sign", F.lit(1).cast("long"))
-    gone = located.select("bucket", "doc_id").join(held, ["bucket", "doc_id"]).select("bucket", "doc_id", F.col("_old").alias("version"), F.col("_old_len").alias("doc_len"))
+    gone = located.select("bucket", "doc_id").join(held, ["bucket", "doc_id"]).select("bucket", "doc_id", F.col("_old").alias("version"), F.col("_old_len").alias("doc_len")) if held is not None else located.limit(0)
     if before.commits:
         old = before.table("forward").join(gone.select("bucket", *DOC), ["bucket", *DOC], "left_semi")
         signed = signed.unionByName(old.withColumn("sign", F.lit(-1).cast("long")))
-    rows = signed.filter("term IS NOT NULL").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    _write(rows.repartitionByRange("bucket", "term", "doc_id"), to["postings"], "bucket", "term", "doc_id")
+    _write_postings(signed, to["postings"], buckets)
     plus = F.col("sign") > 0
     per_term = _read(spark, "postings", types, to["postings"]).groupBy("bucket", "term").agg(F.sum("sign").alias("df"), F.max(F.when(plus, F.col("tf"))).alias("max_tf"), F.min(F.when(plus, F.col("doc_len"))).alias("min_len"))
     _write(per_term.repartition("bucket"), to["terms"], "bucket", "term")
@@ -181,6 +228,12 @@ def append(docs: DataFrame, base: str, batch: int, buckets: int = BUCKETS) -> In
     return Index(spark, base, buckets)
 
 
+def _write_postings(signed: DataFrame, path: str, buckets: int) -> None:
+    n = signed.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0
+    rows = signed.select(*DOC, "doc_len", "sign", F.explode("terms").alias("_t")).select(F.col("_t.term").alias("term"), *DOC, "doc_len", F.col("_t.tf").alias("tf"), "sign")
+    _write(_dealt(rows.withColumn("bucket", bucket_of(F.col("term"), buckets)), n, buckets, TASK_POSTINGS), path, "bucket", "term", "doc_id")
+
+
 def _write(rows: DataFrame, path: str, *order: str) -> None:
     rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
@@ -199,9 +252,9 @@ def merge(spark: SparkSession, base: str, buckets: int = BUCKETS) -> Index:
     to = {t: f"{base}/{t}/{_segment(now.last, True)}" for t in (*TABLES, "commits")}
     _write(now.live().repartition("bucket"), to["locator"], "bucket", "doc_id")
     located = _read(spark, "locator", now.types, to["locator"])
-    _write(now.table("forward").join(located.select("bucket", *DOC), ["bucket", *DOC], "left_semi").repartition("bucket"), to["forward"], "bucket", "doc_id", "term")
-    rows = now.postings().withColumn("sign", F.lit(1).cast("long"))
-    _write(rows.repartitionByRange("bucket", "term", "doc_id"), to["postings"], "bucket", "term", "doc_id")
+    live = now.table("forward").join(located.select("bucket", *DOC), ["bucket", *DOC], "left_semi")
+    _write(_dealt(live, located.count(), buckets, TASK_DOCS), to["forward"], "bucket", "doc_id")
+    _write_postings(_read(spark, "forward", now.types, to["forward"]).withColumn("sign", F.lit(1).cast("long")), to["postings"], buckets)
     per_term = _read(spark, "postings", now.types, to["postings"]).groupBy("bucket", "term").agg(F.sum("sign").alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
     _write(per_term.repartition("bucket"), to["terms"], "bucket", "term")
     _commit(located.filter("doc_len > 0").withColumn("sign", F.lit(1)), to["commits"], now.last, True, now.types)
