@@ -90,3 +90,15 @@ def test_values_of_other_kinds_and_empty_table(spark, tmp_path):
     load = lambda t: sqlite_table(spark, str(tmp_path / "*.db"), t)
     assert [tuple(r)[1:] for r in load("t").orderBy("source_rowid").collect()] == [(1, 1, 2.5, "a"), (2, None, None, "�"), (3, None, None, None)]
     assert load("e").count() == 0
+
+
+def test_tasks_follow_the_rows(spark, store, monkeypatch):
+    """The session's shuffle partitions, four here, took all rows of any store before."""
+    from tracelake.sources import keyvalue
+
+    monkeypatch.setattr(keyvalue, "TASK_ROWS", 2)
+    s, m, p = store[1]()
+    want = sorted(map(tuple, store_records(s, m, p).collect()))
+    assert store_records(s, m, p).rdd.getNumPartitions() == -(-len(want) // 2) > 8
+    monkeypatch.setattr(keyvalue, "TASK_ROWS", 10**9)
+    assert sorted(map(tuple, store_records(s, m, p).collect())) == want

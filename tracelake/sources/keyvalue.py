@@ -158,6 +158,15 @@ def _as(value, kind: str):
     return value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
 
 
+#: Rows of a store that one task joins or orders, some hundred bytes each.
+TASK_ROWS = 100_000
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for rows that are joined or ordered: their number follows the rows, so that no task grows with the store, whatever the session's number of shuffle partitions is."""
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
 def store_records(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:
     """Flat records (source_file, source_line_no, source_offset, value) of a store's tables, for `adapters.normalize(.., "opencode")`.
 
@@ -170,15 +179,16 @@ def store_records(sessions: DataFrame, messages: DataFrame, parts: DataFrame) ->
 
     m = messages.select("source_file", F.col("id").alias("message_id"), "session_id", F.get_json_object("data", "$.role").alias("message_role"), F.coalesce(F.get_json_object("data", "$.modelID"), F.get_json_object("data", "$.model.modelID")).alias("message_model_id"))
     d = sessions.select("source_file", F.col("id").alias("session_id"), "directory")
-    rows = parts.select("source_file", "id", "message_id", "time_created", "data").join(m, ["source_file", "message_id"], "left").withColumn("session_id", F.coalesce("session_id", "message_id"))
-    rows = rows.join(d, ["source_file", "session_id"], "left")
+    n = _tasks(parts.select("source_file").unionByName(sessions.select("source_file")))
+    rows = parts.select("source_file", "id", "message_id", "time_created", "data").repartition(n, "source_file", "message_id").join(m, ["source_file", "message_id"], "left").withColumn("session_id", F.coalesce("session_id", "message_id"))
+    rows = rows.repartition(n, "source_file", "session_id").join(d, ["source_file", "session_id"], "left")
     fields = F.struct(F.lit("opencode_part").alias("type"), "session_id", "id", "message_id", "time_created", "message_role", "message_model_id", "directory", F.parse_json("data").alias("data"))
     each = rows.select("source_file", "session_id", "time_created", "id", F.lit(1).alias("_rank"), F.to_json(fields).alias("value"))
     head = F.struct(F.lit("opencode_session").alias("type"), "id", "title", "directory", "time_created")
     heads = sessions.select("source_file", F.col("id").alias("session_id"), "time_created", "id", F.lit(0).alias("_rank"), F.to_json(head).alias("value"))
     # every session is a file of records of its own, so that one store's sessions are numbered apart
     w = Window.partitionBy("source_file").orderBy("_rank", "time_created", "id")
-    every = heads.unionByName(each).withColumn("source_file", F.concat("source_file", F.lit("#"), "session_id"))
+    every = heads.unionByName(each).withColumn("source_file", F.concat("source_file", F.lit("#"), "session_id")).repartition(n, "source_file")
     return every.select("source_file", F.row_number().over(w).cast("long").alias("source_line_no"), F.lit(0).cast("long").alias("source_offset"), "value")
 
 
@@ -195,4 +205,4 @@ def affected(sessions: DataFrame, messages: DataFrame, parts: DataFrame, since:
     s = sessions.join(touched.withColumnRenamed("session_id", "id"), ["source_file", "id"], "left_semi")
     loose = of_parts.join(messages.select("source_file", "id"), ["source_file", "id"], "left_anti")
     keys = m.select("source_file", F.col("id").alias("message_id")).unionByName(loose.withColumnRenamed("id", "message_id"))
-    return s, m, parts.join(keys, ["source_file", "message_id"], "left_semi")
+    return s, m, parts.repartition(_tasks(parts), "source_file", "message_id").join(keys, ["source_file", "message_id"], "left_semi")
