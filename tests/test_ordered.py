@@ -1,7 +1,9 @@
 """Event-time order of streams whose rows come late and shuffled."""
 
+import functools
 import random
 
+import pandas as pd
 import pytest
 
 from tracelake.operators.trace import conversation_trace, latency
@@ -45,3 +47,28 @@ def test_shuffled_batches_equal_the_batch_operator(spark, tmp_path, rocks):
     got = run(spark, tmp_path, [parts[0] + twice, parts[1] + [(None, "n", None, "message", "user"), ("s0", "n2", None, "message", "user")], parts[2], end, late], "shuffled")
     want = {r.event_uid: r.latency_ms for r in latency(conversation_trace(frame(spark, rows))).collect()}
     assert len(got) == len(dict(got)) and dict(got) == want and any(want.values())
+
+
+def test_state_calls_follow_buckets_not_rows(spark, tmp_path, rocks):
+    rows = [(f"s{k % 40}", f"u{k:04}", f"2024-01-01 00:00:{k % 60:02}", *KINDS[k % 7]) for k in range(2000)]
+    assert run(spark, tmp_path, [rows], "held") == []  # two minutes have not passed, so all of them wait
+    state = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "c"))
+    assert 0 < state.count() <= 40  # one value for each row before
+
+
+def test_sessions_that_share_a_bucket_stay_apart(spark, tmp_path, rocks, monkeypatch):
+    rows = [(f"s{k * k % 11}", f"u{k:03}", f"2024-01-01 00:{k // 30:02}:{k % 30:02}.{k % 10}00", *KINDS[k % 7]) for k in range(600)]
+    mixed = sorted(rows, key=lambda r: (r[2][:16], random.Random(r[1]).random()))  # shuffled within each minute
+    parts = [mixed[n : n + 120] for n in range(0, 600, 120)] + [[("s0", "z", "2024-01-02 00:00:00", "message", "user")]]
+    monkeypatch.setattr(ordered, "ordered_latency", functools.partial(ordered.ordered_latency, buckets=2))
+    got = run(spark, tmp_path, parts, "shared")  # tool results of one release are answered in later ones
+    want = {r.event_uid: r.latency_ms for r in latency(conversation_trace(frame(spark, rows))).collect()}
+    assert len(got) == len(dict(got)) and dict(got) == want and sum(d is not None for d in want.values()) > 20
+
+
+def test_rows_ahead_of_a_release_are_kept_until_answered():
+    ahead, seen = ordered._frame([]), []
+    for part in ([("s", 1_000, "a", True, False), ("t", 1_500, "b", True, False)], [("s", 5_999, "d", False, True), ("s", 5_999, "c", True, False), ("s", 6_000, "c", False, True)], [("t", 9_000, "e", False, True)]):
+        out, ahead = ordered.delays(pd.DataFrame(part, columns=ordered.ROW), ordered._frame([ordered._text(ahead)]))
+        seen += [(r.event_uid, None if pd.isna(r.latency_ms) else r.latency_ms) for r in out.itertuples()]
+    assert seen == [("a", None), ("b", None), ("c", None), ("d", 0.0), ("e", 8.0)] and not len(ahead)
