@@ -53,7 +53,7 @@ def test_state_calls_follow_buckets_not_rows(spark, tmp_path, rocks):
     rows = [(f"s{k % 40}", f"u{k:04}", f"2024-01-01 00:00:{k % 60:02}", *KINDS[k % 7]) for k in range(2000)]
     assert run(spark, tmp_path, [rows], "held") == []  # two minutes have not passed, so all of them wait
     state = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "c"))
-    assert 0 < state.count() <= 40  # one value for each row before
+    assert 0 < state.count() <= 40  # an entry for each bucket, where each row had a value of its own
 
 
 def test_sessions_that_share_a_bucket_stay_apart(spark, tmp_path, rocks, monkeypatch):

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Of a row: whether it is a tool result, and whether the assistant's.
 ROW = ["session_id", "us", "event_uid", "result", "reply"]
-#: The state store that list states and timers need.
+#: The state store that map states and timers need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -50,9 +50,9 @@ class Latencies(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "least long, rows string")
+        self.held = handle.getMapState("held", "n long, least long", "rows string")  # entries of their own: appending to a list reads what is there
         self.ahead = handle.getValueState("ahead", "rows string")
-        self.times = handle.getValueState("times", "upto long, due long")
+        self.times = handle.getValueState("times", "upto long, due long, n long")
 
     def _wake(self, us: int) -> int:
         due = -(-us // 1000)
@@ -60,38 +60,41 @@ class Latencies(StatefulProcessor):
         return due
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        upto, due = self.times.get() or (None, None)
+        upto, due, n = self.times.get() or (None, None, 0)
         least = None
         for frame in rows:
             if upto is not None:
                 frame = frame[frame["us"] > upto]
             if len(frame):
                 first = int(frame["us"].min())
-                self.held.appendValue((first, _text(frame)))
+                self.held.updateValue((n, first), (_text(frame),))
+                n += 1
                 least = first if least is None else min(least, first)
-        if least is not None and (due is None or -(-least // 1000) < due):
-            if due is not None:
-                self.handle.deleteTimer(due)
-            self.times.update((upto, self._wake(least)))
+        if least is not None:
+            if due is None or -(-least // 1000) < due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                due = self._wake(least)
+            self.times.update((upto, due, n))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        due, wait = [], []
-        for least, text in self.held.get():
-            (due.append(text) if least <= upto else wait.append((least, text)))
-        rows = _frame(due)
+        n = self.times.get()[2]
+        keys = sorted(tuple(k) for k in self.held.keys())
+        due, wait = [k for k in keys if k[1] <= upto], [k[1] for k in keys if k[1] > upto]
+        rows = _frame([self.held.getValue(k)[0] for k in due])
+        for k in due:
+            self.held.removeKey(k)
         later = rows["us"] > upto
         if later.any():
-            wait.append((int(rows["us"][later].min()), _text(rows[later])))
-        if wait:
-            self.held.put(wait)
-        else:
-            self.held.clear()
+            wait.append(int(rows["us"][later].min()))
+            self.held.updateValue((n, wait[-1]), (_text(rows[later]),))
+            n += 1
         before = self.ahead.get()
         out, ahead = delays(rows[~later], _frame(list(before or ())))
         self.ahead.update((_text(ahead),))
-        self.times.update((upto, self._wake(min(w[0] for w in wait)) if wait else None))
+        self.times.update((upto, self._wake(min(wait)) if wait else None, n))
         if len(out):
             yield out
 
