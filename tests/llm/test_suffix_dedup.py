@@ -67,6 +67,48 @@ def test_crowded_anchors_give_the_same(spark, make_docs, monkeypatch):
         cp.unregister_pickle_by_value(suffix_dedup)
 
 
+def by_value(monkeypatch, **changed):
+    """suffix_dedup with other globals, in tasks too."""
+    import pyspark.cloudpickle as cp
+
+    for k, v in changed.items():
+        monkeypatch.setattr(suffix_dedup, k, v)
+    cp.register_pickle_by_value(suffix_dedup)
+    return lambda: cp.unregister_pickle_by_value(suffix_dedup)
+
+
+def test_small_pieces_and_many_parts_give_the_same(spark, make_docs, monkeypatch):
+    texts = adversarial() * 2
+    done = by_value(monkeypatch, AT_ONCE=700, HASHED_AT_ONCE=300, PART_BYTES=400, BUCKET_PARTS=3)
+    try:
+        assert run(make_docs(texts)) == sorted(plain(list(enumerate(texts))), key=str)
+    finally:
+        done()
+
+
+def test_colliding_hashes_give_the_same(spark, make_docs, monkeypatch):
+    texts = adversarial()
+    done = by_value(monkeypatch, mix64=lambda x: x & np.uint64(7))
+    try:
+        assert run(make_docs(texts)) == sorted(plain(list(enumerate(texts))), key=str)
+    finally:
+        done()
+
+
+def test_a_piece_of_text_sends_one_blob_to_a_part(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(x) for x in rng.choice(list("abcdefgh"), (1500, 2000))]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, mark long, text string").coalesce(1)
+    found = suffix_dedup.find_anchors(rows, 64).select("part").collect()
+    assert len({r.part for r in found}) == 64 and len(found) == 64  # for 3 MB it was one each 0.6 MB
+
+
+def test_only_strings_of_several_documents_are_ordered():
+    sig, own = np.array([5, 7, 5, 9, 7, 5], np.uint64), np.array([1, 2, 3, 4, 2, 1])
+    assert suffix_dedup.shared(sig, own).tolist() == [0, 2, 5]
+    assert suffix_dedup.shared(sig[:0], own[:0]).tolist() == []
+
+
 def test_joins_beyond_the_broadcast_limit(spark, make_docs, monkeypatch):
     texts = adversarial()
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
